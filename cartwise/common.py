@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,3 +96,17 @@ def positions(df: DataFrame, key: str, column: str = "position", slices: int = 1
         .withColumn(column, F.col("_shift") + F.col("_inside") - 1)
         .drop("_slice", "_shift", "_inside")
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to reliable storage and read back, so that later steps
+    start from data and not from its plan, also after an executor is lost.
+
+    The folder is the one the cluster names in `spark.checkpoint.dir`; a
+    session without one (a test) gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
