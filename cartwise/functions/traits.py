@@ -96,24 +96,17 @@ def identity_traits(text: Column) -> Column:
     return _tags(vocab.IDENTITY_TRAITS, words=True)(F.lower(text))
 
 
-def _for_category(rules: dict, checks: dict, sub_code: Column, text: Column, value: Callable[[str, Column], Column], empty: Column) -> Column:
-    by_checks: dict[tuple, list[str]] = {}
-    for code, names in rules.items():
-        if names:
-            by_checks.setdefault(tuple(names), []).append(code)
-    chosen = empty
-    for names, codes in by_checks.items():
-        chosen = F.when(sub_code.isin(*codes), value(names, text)).otherwise(chosen)
-    return chosen
+def _categories(rules: dict, check: str) -> list[str]:
+    return [code for code, names in rules.items() if check in names]
 
 
 def hard_values(sub_code: Column, text: Column) -> Column:
-    """Values of the category's hard checks in their order, NULL for unknown."""
+    """Value of every hard check in registry order; NULL where it is unknown
+    or where the category does not list the check."""
     low = F.lower(text)
-    return _for_category(
-        vocab.HARD_CHECKS, HARD, sub_code, low,
-        lambda names, t: F.array(*[HARD[n](t).cast("string") for n in names]), F.array().cast("array<string>"),
-    )
+    return F.array(*[
+        F.when(sub_code.isin(*_categories(vocab.HARD_CHECKS, name)), check(low)).cast("string") for name, check in HARD.items()
+    ])
 
 
 def _named(check: str, tags: Column) -> Column:
@@ -124,11 +117,11 @@ def downgrade_tags(sub_code: Column, text: Column) -> Column:
     """Tags of the category's downgrade checks, each with its check's name, so
     that equal arrays mean equal sets under every check."""
     low = F.lower(text)
-    return _for_category(
-        vocab.DOWNGRADE_CHECKS, DOWNGRADE, sub_code, low,
-        lambda names, t: F.concat(*[_named(n, DOWNGRADE[n](t)) for n in names]),
-        F.array().cast("array<string>"),
-    )
+    none = F.array().cast("array<string>")
+    return F.concat(*[
+        F.when(sub_code.isin(*_categories(vocab.DOWNGRADE_CHECKS, name)), _named(name, check(low))).otherwise(none)
+        for name, check in DOWNGRADE.items()
+    ])
 
 
 def hard_ok(sub_code: Column, original: Column, candidate: Column) -> Column:
