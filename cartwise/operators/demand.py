@@ -335,8 +335,9 @@ def export_brand(groups: DataFrame, demand: DataFrame, matrix: DataFrame, chains
     rows = groups.select(F.col("id").alias("group_id"), F.coalesce("canonical_name", F.concat(F.lit("Toode #"), F.col("id"))).alias("name"))
     rows = rows.join(demand, "group_id", "left").join(matrix.select("group_id", *[F.col(f"`{c}`") for c in chains]), "group_id", "left")
     views, adds = F.coalesce("views", F.lit(0)), F.coalesce("adds", F.lit(0))
-    share = F.coalesce(comma(F.concat(F.format_string("%.1f", F.bround(adds / views * 100, 1)), F.lit("%"))), F.lit(""))
-    cells = [F.coalesce(comma(F.format_string("%.2f", F.col(f"`{c}`") / scale)), F.lit("")).alias(f"price_{c.replace(' ', '_')}") for c in chains]
+    share = comma(F.concat(F.format_string("%.1f", F.bround(adds / views * 100, 1)), F.lit("%")))
+    money = lambda c: F.when(F.col(f"`{c}`").isNotNull(), comma(F.format_string("%.2f", F.col(f"`{c}`") / scale))).otherwise("")
+    cells = [money(c).alias(f"price_{c.replace(' ', '_')}") for c in chains]
     lacking = F.array_join(F.array_except(
         F.array(*[F.lit(c.capitalize()) for c in chains]), F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), c.capitalize()) for c in chains]))
     ), ", ")
