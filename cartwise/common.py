@@ -64,6 +64,12 @@ def round2(column: Column) -> Column:
     return F.round(column, 2)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses
+    it. Plain nesting would copy the expression to every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal_map(values: dict) -> Column:
     """A small constant dict as a map literal (folded at plan time)."""
     flat: list[Column] = []
@@ -72,7 +78,7 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*flat)
 
 
-def positions(df: DataFrame, key: str, column: str = "position", slices: int = 1024) -> DataFrame:
+def positions(df: DataFrame, key: str, column: str = "position", slices: int = 256) -> DataFrame:
     """Zero-based position of every row in the order of a unique numeric key.
 
     A global `row_number()` would pull all rows into one task. Here the key
@@ -80,7 +86,7 @@ def positions(df: DataFrame, key: str, column: str = "position", slices: int = 1
     and shifted by the number of rows in the slices before it. The cuts decide
     only the balance, never the result.
     """
-    share = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    share = F.expr("array(" + ", ".join(f"{i / slices}D" for i in range(1, slices)) + ")")
     cuts = df.agg(F.percentile_approx(F.col(key), share, slices * 4).alias("_cuts"))
     sliced = df.crossJoin(F.broadcast(cuts)).withColumn(  # one row: the cut points
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(key)))

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartwise.common import blank_to_null
+from cartwise.common import blank_to_null, let
 from cartwise.functions import vocab
 from cartwise.functions.names import slug
 
@@ -39,22 +39,19 @@ def normalize_ean(raw: Column, variant: str = "digits") -> Column:
               result fits; otherwise the digits stay as they are
     """
     d = F.nullif(digits(raw), F.lit(""))
-    size = F.length(d)
-    tail, padded = F.substring(d, 2, 13), F.concat(F.lit("0"), d)
     if variant == "digits":
         return d
-    if variant == "staging":
-        cut = F.when((size == 14) & d.startswith("0"), tail).when(size == 12, padded).otherwise(d)
-        return F.when(size.isin(8, 12, 13, 14), cut)
-    if variant == "logistic":
-        cut = F.when((size == 14) & d.rlike("^[01]"), tail).when(size == 12, padded).otherwise(d)
-        return F.when(F.length(cut).isin(8, 13), cut)
+    if variant in ("staging", "logistic"):
+        lead, kept = ("0", "8}|[0-9]{13}|[0-9]{14") if variant == "staging" else ("[01]", "8}|[0-9]{13")
+        cut = F.regexp_replace(d, f"^{lead}([0-9]{{13}})$", "$1")
+        padded = F.regexp_replace(cut, "^([0-9]{12})$", "0$1")
+        return F.nullif(F.regexp_extract(padded, f"^([0-9]{{{kept}}})$", 1), F.lit(""))
     if variant == "checked":
-        return (
-            F.when((size == 14) & d.rlike("^[01]") & is_valid_ean13(tail), tail)
-            .when((size == 12) & is_valid_ean13(padded), padded)
-            .otherwise(d)
-        )
+        return let(d, lambda c: (
+            F.when(c.rlike("^[01][0-9]{13}$") & is_valid_ean13(c.substr(2, 13)), c.substr(2, 13))
+            .when(c.rlike("^[0-9]{12}$") & is_valid_ean13(F.concat(F.lit("0"), c)), F.concat(F.lit("0"), c))
+            .otherwise(c)
+        ))
     raise ValueError(variant)
 
 
@@ -174,8 +171,9 @@ def owner_uuid(value: Column, prefix: str = "grocery-user:") -> Column:
     prefixed text in the URL namespace."""
     bare = F.lower(F.regexp_replace(F.regexp_replace(value, r"^urn:uuid:", ""), r"[{}-]", ""))
     name = F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(F.concat(F.lit(prefix), value), "UTF-8"))
-    hashed = F.sha1(name)
-    variant = F.substring(F.lit("89ab"), F.conv(F.substring(hashed, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
-    v5 = F.concat(F.substring(hashed, 1, 12), F.lit("5"), F.substring(hashed, 14, 3), variant, F.substring(hashed, 18, 15))
+    v5 = let(F.sha1(name), lambda h: F.concat(
+        h.substr(1, 12), F.lit("5"), h.substr(14, 3),
+        F.substring(F.lit("89ab"), F.conv(h.substr(17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1)), h.substr(18, 15),
+    ))
     plain = F.when(bare.rlike("^[0-9a-f]{32}$"), bare).otherwise(v5)
     return F.regexp_replace(plain, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartwise.common import let
+
 MONEY = "decimal(18,2)"
 
 
@@ -27,14 +29,17 @@ def parse_price_text(raw: Column, variant: str = "card") -> Column:
     """
     text = F.trim(F.replace(F.coalesce(raw, F.lit("")), F.lit("\u00a0"), F.lit(" ")))
     if variant == "card":
-        bare = F.regexp_replace(text, r"[^\d]", "")
-        return F.when(text.rlike(r"^\d+\s*%+$"), F.lit(None).cast(MONEY)).otherwise(F.coalesce(
-            _euros(F.nullif(F.regexp_replace(F.regexp_extract(text, r"(\d[\d\s]*)€\s*(\d{1,2})", 1), r"\D", ""), F.lit("")),
-                   _group(text, r"(\d[\d\s]*)€\s*(\d{1,2})", 2)),
-            _euros(_group(text, r"(\d+)[,.](\d{1,2})", 1), _group(text, r"(\d+)[,.](\d{1,2})", 2)),
-            _euros(_group(text, r"(\d+)\s+(\d{2})", 1), _group(text, r"(\d+)\s+(\d{2})", 2)),
-            F.when(F.length(bare) > 2, (bare.try_cast("decimal(18,0)") / 100).cast(MONEY)),
-        ))
+        def read(t: Column) -> Column:
+            bare = F.regexp_replace(t, r"[^\d]", "")
+            with_sign = r"(\d[\d\s]*)€\s*(\d{1,2})"
+            return F.when(~t.rlike(r"^\d+\s*%+$"), F.coalesce(
+                _euros(F.nullif(F.regexp_replace(F.regexp_extract(t, with_sign, 1), r"\D", ""), F.lit("")), _group(t, with_sign, 2)),
+                _euros(_group(t, r"(\d+)[,.](\d{1,2})", 1), _group(t, r"(\d+)[,.](\d{1,2})", 2)),
+                _euros(_group(t, r"(\d+)\s+(\d{2})", 1), _group(t, r"(\d+)\s+(\d{2})", 2)),
+                F.when(F.length(bare) > 2, (bare.try_cast("decimal(18,0)") / 100).cast(MONEY)),
+            ))
+
+        return let(text, read)
     if variant == "spaced":
         joined = F.replace(text, F.lit(" "), F.lit(""))
         split = text.contains(" ") & joined.rlike(r"^\d{3,}$")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartwise.common import blank_to_null
+from cartwise.common import blank_to_null, let
 from cartwise.functions import vocab
 
 SPACES = " \t\r\n\f"
@@ -72,12 +72,13 @@ def _clean_maker(raw: Column, longest: int) -> Column:
     text = F.trim(F.coalesce(raw, F.lit("")))
     text = F.regexp_replace(text, r"(?iU)^\s*(tootja|manufacturer|producer|valmistaja)\b\s*[:\-]?\s*", "")
     text = F.trim(F.regexp_replace(text, r"(?iU)^\s*(kaubam[aä]rk|brand|br[äa]nd)\b\s*[:\-]?\s*", ""))
-    bad = (
-        text.contains(":") | text.contains("\n") | ~F.length(text).between(2, longest)
-        | ~text.rlike("[A-Za-zÄÖÜÕäöüõŠšŽž]") | contains_any(F.lower(text), vocab.BAD_BRAND_WORDS)
-    )
-    unset = key_norm(text).isin(*vocab.UNSET_BRANDS)
-    return F.when(text == "", "").when(unset, vocab.UNSET_LABEL).when(bad, "").otherwise(text)
+    return let(text, lambda t: (
+        F.when(t == "", "")
+        .when(key_norm(t).isin(*vocab.UNSET_BRANDS), vocab.UNSET_LABEL)
+        .when(t.contains(":") | t.contains("\n") | ~F.length(t).between(2, longest), "")
+        .when(~t.rlike("[A-Za-zÄÖÜÕäöüõŠšŽž]") | contains_any(F.lower(t), vocab.BAD_BRAND_WORDS), "")
+        .otherwise(t)
+    ))
 
 
 def clean_brand(raw: Column) -> Column:
@@ -144,9 +145,12 @@ def produce_family(name: Column) -> Column:
         F.when(contains_any(text, stems), F.struct(F.lit(priority).alias("priority"), F.lit(family).alias("family")))
         for family, stems, priority in vocab.PRODUCE_FAMILIES
     ]))
-    top = F.array_max(F.transform(hits, lambda h: h["priority"]))
-    best = F.filter(hits, lambda h: h["priority"] == top)
-    return F.when(F.size(best) == 1, F.get(best, F.lit(0))["family"])
+    def winner(found: Column) -> Column:
+        top = F.array_max(F.transform(found, lambda h: h["priority"]))
+        best = F.filter(found, lambda h: h["priority"] == top)
+        return F.when(F.size(best) == 1, F.get(best, F.lit(0))["family"])
+
+    return let(hits, winner)
 
 
 def infer_city(text: Column) -> Column:
@@ -206,18 +210,21 @@ def plausible_product(name: Column, price: Column, ean: Column, brand: Column, m
     """Whether a scraped row can be a product. With a barcode any name that is
     not noise will do; without one it needs a price and a size, a maker or a
     name of two words."""
-    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
-    words = F.size(F.split(low, r"\s+"))
-    noise = (
-        (low == "") | low.isin(*vocab.NOISE_EXACT, *vocab.NOISE_PLACES) | contains_any(low, vocab.NOISE_CONTAINED)
-        | reduce(lambda hit, p: hit | low.startswith(p), vocab.NOISE_PREFIXES, F.lit(False))
-        | ((words == 1) & (F.length(low) <= 6))
-    )
-    sized = low.rlike(r"(?iU)\b\d+[,.]?\d*\s?(?:kg|g|l|ml|tk|pcs|x|×)\s?\d*\b")
     made = blank_to_null(brand).isNotNull() | blank_to_null(maker).isNotNull()
-    named = (F.length(low) >= 6) & (words >= 2)
-    coded = blank_to_null(ean).isNotNull()
-    return ~noise & (coded | (F.coalesce(price > 0, F.lit(False)) & (sized | made | named)))
+    coded, priced = blank_to_null(ean).isNotNull(), F.coalesce(price > 0, F.lit(False))
+
+    def judge(low: Column) -> Column:
+        words = F.size(F.split(low, r"\s+"))
+        noise = (
+            (low == "") | low.isin(*vocab.NOISE_EXACT, *vocab.NOISE_PLACES) | contains_any(low, vocab.NOISE_CONTAINED)
+            | reduce(lambda hit, p: hit | low.startswith(p), vocab.NOISE_PREFIXES, F.lit(False))
+            | ((words == 1) & (F.length(low) <= 6))
+        )
+        sized = low.rlike(r"(?iU)\b\d+[,.]?\d*\s?(?:kg|g|l|ml|tk|pcs|x|×)\s?\d*\b")
+        named = (F.length(low) >= 6) & (words >= 2)
+        return ~noise & (coded | (priced & (sized | made | named)))
+
+    return let(F.lower(F.trim(F.coalesce(name, F.lit("")))), judge)
 
 
 def plausible_address(line: Column) -> Column:
@@ -232,10 +239,12 @@ def clean_store_name(name: Column) -> Column:
     """Store name without opening hours, city prefix or doubled spaces; the
     bare chain name and the online shop become empty."""
     text = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?s)\s+(?:E[-–]?P|E[-–]?[A-Z](?:\s*\d)?)\b.*$", ""))
-    rest = F.trim(F.regexp_extract(text, r"(?i)^(?:Tallinn|Tartu)\s+(.*)$", 1))
-    low = F.lower(rest)
-    text = F.when(low.contains("selver") & (low != "selver"), rest).otherwise(text)
-    text = F.regexp_replace(text, r"\s{2,}", " ")
-    named = F.regexp_extract(text, vocab.STORE_NAME, 1)
-    text = F.when(named != "", named).otherwise(text)
-    return F.when(text.rlike(r"(?i)^(?:e-?Selver|Selver)$|\be-?selver\b"), "").otherwise(F.trim(text))
+    def shortened(t: Column) -> Column:
+        rest = F.trim(F.regexp_extract(t, r"(?i)^(?:Tallinn|Tartu)\s+(.*)$", 1))
+        return F.regexp_replace(F.when(F.lower(rest).contains("selver") & (F.lower(rest) != "selver"), rest).otherwise(t), r"\s{2,}", " ")
+
+    def named(t: Column) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(t, vocab.STORE_NAME, 1), F.lit("")), t)
+
+    final = lambda t: F.when(t.rlike(r"(?i)^(?:e-?Selver|Selver)$|\be-?selver\b"), "").otherwise(F.trim(t))
+    return let(let(let(text, shortened), named), final)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartwise.common import literal_map
+from cartwise.common import let, literal_map
 from cartwise.functions import vocab
 from cartwise.functions.names import collapse
 
@@ -82,36 +82,39 @@ def parse_quantity(name: Column) -> Column:
     pack whose decimal sign was lost ("10 X 12 5 G"), a pack, a single size. A
     single size below 15 that is no known portion is left for review.
     """
+    broken = r"(?iU)\d+\s*[x×*]\s*\d+\s+\d\s*(?:kg|g|l|ml)\b"
+    multi = r"(?iU)\d+\s*[x×*]\s*\d+[.,]?\d*\s*(?:kg|g|l|ml)\b"
+    single = r"(?iU)\d+[.,]?\d*\s*(?:kg|g|l|ml)\b"
+    bare_kg = r"(?iU)(?<![\d.,])\s*kg\s*$"
     name = F.coalesce(name, F.lit(""))
-    broken = r"(?iU)(\d+)\s*[x×*]\s*(\d+)\s+(\d)\s*(kg|g|l|ml)\b"
-    multi = r"(?iU)(\d+)\s*[x×*]\s*(\d+[.,]?\d*)\s*(kg|g|l|ml)\b"
-    single = r"(?iU)(\d+[.,]?\d*)\s*(kg|g|l|ml)\b"
-    bare_kg = name.rlike(r"(?iU)(?<![\d.,])\s*kg\s*$") & ~name.rlike(multi)
-    by_weight = bare_kg & ~F.lower(F.coalesce(_group(name, single, 2), F.lit(""))).eqNullSafe("kg")
-    is_broken, is_multi, is_single = (name.rlike(p) for p in (broken, multi, single))
-    unit = F.when(is_broken, _group(name, broken, 4)).when(is_multi, _group(name, multi, 3)).otherwise(_group(name, single, 2))
-    qty = (
-        F.when(is_broken, _number(F.concat(_group(name, broken, 2), F.lit("."), _group(name, broken, 3))))
-        .when(is_multi, _number(_group(name, multi, 2)))
-        .otherwise(_number(_group(name, single, 1)))
-    )
-    packs = F.when(is_broken, _group(name, broken, 1)).when(is_multi, _group(name, multi, 1)).otherwise(F.lit("1")).try_cast("long")
-    base = _base_qty(qty, unit)
-    tiny = (base < 15) & ~F.floor(base).isin(8, 10, 12, 14)
-    status = (
-        F.when(by_weight, "SKIP_KG_PRICED")
-        .when(is_broken, "WOULD_SET_MULTIPACK_RECOVERED_DECIMAL")
-        .when(is_multi, "WOULD_SET_MULTIPACK")
-        .when(is_single & tiny, "SKIP_AMBIGUOUS_SMALL_QTY")
-        .when(is_single, "WOULD_SET_SINGLE")
-        .otherwise("SKIP_UNPARSEABLE")
-    )
-    kept = status.startswith("WOULD_SET")
-    return F.struct(
-        status.alias("status"), F.when(kept, base).alias("net_qty"), F.when(kept, _base_unit(unit)).alias("net_unit"),
-        F.when(kept, packs).alias("pack_count"),
+    hits = F.struct(
+        *[F.regexp_extract(name, pattern, 0).alias(kind) for kind, pattern in (("broken", broken), ("multi", multi), ("single", single))],
+        name.rlike(bare_kg).alias("bare"),
     )
 
+    def read(h: Column) -> Column:
+        text = F.coalesce(F.nullif(h["broken"], F.lit("")), F.nullif(h["multi"], F.lit("")), h["single"])
+        lost = F.regexp_replace(F.regexp_extract(text, r"(\d+\s+\d)\s*[A-Za-z]+$", 1), r"\s+", ".")
+        qty = F.when(h["broken"] != "", lost).otherwise(F.regexp_extract(text, r"(\d+[.,]?\d*)\s*[A-Za-z]+$", 1))
+        kind = (
+            F.when(h["bare"] & (h["multi"] == "") & ~h["single"].rlike("(?i)kg$"), "SKIP_KG_PRICED")
+            .when(h["broken"] != "", "WOULD_SET_MULTIPACK_RECOVERED_DECIMAL").when(h["multi"] != "", "WOULD_SET_MULTIPACK")
+            .when(h["single"] != "", "WOULD_SET_SINGLE").otherwise("SKIP_UNPARSEABLE")
+        )
+        packs = F.coalesce(_group(text, r"^(\d+)\s*[x×*X]", 1), F.lit("1"))
+        return F.struct(kind.alias("kind"), _number(qty).alias("qty"), F.regexp_extract(text, r"([A-Za-z]+)$", 1).alias("unit"), packs.try_cast("long").alias("packs"))
+
+    def judge(r: Column) -> Column:
+        base = _base_qty(r["qty"], r["unit"])
+        tiny = (r["kind"] == "WOULD_SET_SINGLE") & (base < 15) & ~F.floor(base).isin(8, 10, 12, 14)
+        kept = r["kind"].startswith("WOULD_SET") & ~tiny
+        return F.struct(
+            F.when(tiny, "SKIP_AMBIGUOUS_SMALL_QTY").otherwise(r["kind"]).alias("status"), F.when(kept, base).alias("net_qty"),
+            F.when(kept, _base_unit(r["unit"])).alias("net_unit"), F.when(kept, r["packs"]).alias("pack_count"),
+        )
+
+    return let(let(hits, read), judge)
+
 
 def size_from_description(text: Column) -> Column:
     """Size line of a dish description."""

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.common import blank_to_null, fresh, pick_first, top_n
+from cartwise.common import blank_to_null, fresh, pick_first, settled, top_n
 from cartwise.functions import vocab
 from cartwise.functions.names import canonical_name, contains_any, produce_family, unaccent
 from cartwise.functions.similarity import set_similarity, trigrams, with_word_similarity
@@ -201,6 +201,25 @@ def category_of(names: DataFrame, grouped: DataFrame) -> DataFrame:
     return exact.unionByName(found)
 
 
+def _families(name: Column, canonical: Column, code: Column) -> Column:
+    """Produce families a product can stand in for; the empty family stands
+    for no family filter."""
+    low, curated = F.lower(name), F.lower(F.coalesce(canonical, F.lit("")))
+    own = F.array_compact(F.array(*[
+        F.when(contains_any(low, stems) | contains_any(curated, stems), family) for family, stems, _ in vocab.PRODUCE_FAMILIES
+    ]))
+    return F.when(code.isin(*vocab.FAMILY_FILTER_CATEGORIES), F.concat(F.array(F.lit("")), own)).otherwise(F.array(F.lit("")))
+
+
+def similar_names(wanted: DataFrame, shown: DataFrame) -> DataFrame:
+    """Word similarity above zero of distinct names of the same category. Only
+    names that share a trigram meet; all other pairs are zero."""
+    left = wanted.select("code", "wanted").distinct().withColumn("_gram", F.explode(trigrams(F.col("wanted"))))
+    right = shown.select("code", "shown").distinct().withColumn("_gram", F.explode(trigrams(F.col("shown"))))
+    pairs = left.join(right, ["code", "_gram"]).select("code", "wanted", "shown").distinct()
+    return with_word_similarity(pairs, "wanted", "shown", "similarity").filter("similarity > 0")
+
+
 def alternatives(
     requests: DataFrame, grouped: DataFrame, prices: DataFrame, source: DataFrame, as_of, days: int = 7, limit: int = 6, tie: str = "price_id",
 ) -> DataFrame:
@@ -208,36 +227,40 @@ def alternatives(
     (request_id, product_name, store_id).
 
     Prices come from the store's effective source, newest first. Categories
-    with produce families keep the family of the wanted name only. Similarity
-    depends on the pair of names alone, so it is scored once per distinct pair
-    of a wanted and a shown name and not per request and store.
+    with produce families keep the family of the wanted name only. The order is
+    similarity, price, name. Goods with a similarity come from the names that
+    share a trigram; the cheapest goods of the shelf fill up what is left, and
+    twice the limit of them is enough, as fewer than the limit can be similar
+    when there is something to fill.
     """
-    coded = category_of(requests, grouped)
+    coded = settled(category_of(requests, grouped)).withColumnRenamed("sub_code", "code")
     asked = requests.join(coded, "product_name").join(source, "store_id")
-    family = F.when(F.col("sub_code").isin(*vocab.FAMILY_FILTER_CATEGORIES), produce_family(F.col("product_name")))
-    stems = {f: words for f, words, _ in vocab.PRODUCE_FAMILIES}
-    first_stem = F.coalesce(*[F.when(F.col("family") == f, words[0]) for f, words in stems.items()])
-    asked = asked.withColumn("family", family).withColumn("wanted", unaccent(F.lower(F.coalesce(first_stem, F.col("product_name")))))
+    family = F.when(F.col("code").isin(*vocab.FAMILY_FILTER_CATEGORIES), produce_family(F.col("product_name")))
+    asked = asked.withColumn("family", F.coalesce(family, F.lit("")))
+    stem = F.coalesce(*[F.when(F.col("family") == f, stems[0]) for f, stems, _ in vocab.PRODUCE_FAMILIES])
+    asked = settled(asked.withColumn("wanted", unaccent(F.lower(F.coalesce(stem, F.trim("product_name"))))))
     recent = fresh(prices.filter(F.col("price") > 0), as_of, days)
-    stores = asked.select(F.col("source_store_id").alias("store_id")).distinct()
-    latest = pick_first(recent.join(stores, "store_id", "left_semi"), ["product_id", "store_id"], F.col("collected_at").desc_nulls_last(), F.col(tie).desc())
+    shelves = asked.select(F.col("source_store_id").alias("store_id")).distinct()
+    latest = pick_first(recent.join(shelves, "store_id", "left_semi"), ["product_id", "store_id"], F.col("collected_at").desc_nulls_last(), F.col(tie).desc())
     offers = latest.select(F.col("product_id").alias("id"), F.col("store_id").alias("source_store_id"), effective_price().alias("price"))
-    goods = grouped.withColumn("code", F.coalesce(blank_to_null("group_sub_code"), F.col("sub_code"))).withColumn("shown", unaccent(F.lower(shown_name())))
-    listed = offers.join(goods.select("id", "name", "canonical_name", "dedup_key", "code", "shown"), "id")
-    # a key's best row for one wanted name depends on (store, category, wanted, family), shared by many requests
-    kinds = asked.select("source_store_id", "sub_code", "wanted", "family").distinct()
-    met = kinds.join(listed, (kinds["source_store_id"] == listed["source_store_id"]) & (kinds["sub_code"] == listed["code"])).drop(listed["source_store_id"])
-    of_family = F.coalesce(*[
-        F.when(F.col("family") == f, contains_any(F.lower("name"), words) | contains_any(F.lower(F.coalesce("canonical_name", F.lit(""))), words))
-        for f, words in stems.items()
-    ], F.lit(True))
-    scored = with_word_similarity(met.filter(of_family), "wanted", "shown", "similarity")
-    key = ["source_store_id", "sub_code", "wanted", "family"]
-    once = pick_first(scored, [*key, "dedup_key"], F.col("similarity").desc(), F.col("price").asc(), F.col("id").asc())
+    goods = grouped.withColumn("code", F.coalesce(blank_to_null("group_sub_code"), F.col("sub_code"))).select(
+        "id", "name", "dedup_key", "code", unaccent(F.lower(shown_name())).alias("shown"),
+        F.explode(_families(F.col("name"), F.col("canonical_name"), F.col("code"))).alias("family"),
+    )
+    shelf = ["source_store_id", "code", "family"]
+    stocked = offers.join(goods, "id").groupBy(*shelf, "dedup_key", "shown").agg(F.min(F.struct("price", "id", "name")).alias("_best"))
+    stocked = settled(stocked.select(*shelf, "dedup_key", "shown", "_best.*"))
+    kinds = asked.select(*shelf, "wanted").distinct()
+    scored = similar_names(asked, stocked)
+    alike = kinds.join(scored, ["code", "wanted"]).join(stocked, [*shelf, "shown"])
+    cheap = top_n(stocked, shelf, 2 * limit, F.col("price").asc(), F.col("name").asc(), F.col("id").asc())
+    filler = kinds.join(cheap, shelf).withColumn("similarity", F.lit(0.0))
+    fields = [*shelf, "wanted", "dedup_key", "similarity", "price", "id", "name"]
+    both = alike.select(*fields).unionByName(filler.select(*fields))
+    key = [*shelf, "wanted"]
+    once = pick_first(both, [*key, "dedup_key"], F.col("similarity").desc(), F.col("price").asc(), F.col("id").asc())
     best = top_n(once, key, limit, F.col("similarity").desc(), F.col("price").asc(), F.col("name").asc(), F.col("id").asc(), rank="position")
-    best = best.withColumn("family", F.coalesce("family", F.lit("")))
-    joined = asked.withColumn("family", F.coalesce("family", F.lit(""))).join(best, key)
-    return joined.select("request_id", "store_id", "id", "dedup_key", "sub_code", "similarity", "price", "position")
+    return asked.join(best, key).select("request_id", "store_id", "id", "dedup_key", F.col("code").alias("sub_code"), "similarity", "price", "position")
 
 
 def brand_filter(groups: DataFrame, rollup: DataFrame) -> DataFrame:

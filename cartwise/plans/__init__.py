@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from cartwise.plans import catalogue, dashboard, pricing, substitutes  # noqa: F401
+from cartwise.plans import catalogue, dashboard, pricing, substitutes, upkeep  # noqa: F401

@@ -15,7 +15,7 @@ RAW = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-PRICE_AS_OF = "2001-12-01 00:00:00"
+PRICE_AS_OF = "2001-11-05 00:00:00"
 EVENT_AS_OF = "2024-01-30 12:00:00"
 
 VIEWS: dict[str, str] = {}
@@ -153,7 +153,7 @@ SELECT min(p_partkey) AS id, p_name AS canonical_name, p_brand AS brand,
 FROM part GROUP BY p_name, p_type, p_brand
 """
 VIEWS["shelf_prices"] = """
-SELECT product_id, store_id, price, promo_price, seen_at, price_id FROM prices WHERE seen_at > TIMESTAMP '2000-12-01 00:00:00'
+SELECT product_id, store_id, price, promo_price, seen_at, price_id FROM prices WHERE seen_at > TIMESTAMP '2000-11-05 00:00:00'
 """
 
 _WORD = re.compile(r"\b[a-z_]+\b")
