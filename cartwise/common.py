@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Keys = str | Sequence[str]
@@ -104,15 +104,19 @@ def positions(df: DataFrame, key: str, column: str = "position", slices: int = 2
     )
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` written to reliable storage and read back, so that later steps
-    start from data and not from its plan, also after an executor is lost.
-
-    The folder is the one the cluster names in `spark.checkpoint.dir`; a
-    session without one (a test) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data that must outlive an executor: the one the cluster
+    names in `spark.checkpoint.dir`; a session without one (a test) gets a
+    temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, so that later steps
+    start from data and not from its plan, also after an executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

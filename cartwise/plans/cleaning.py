@@ -105,7 +105,7 @@ def _effective(t: Tables) -> DataFrame:
 
 
 @query("sf11_clean_brand", """
-SELECT row_no, CASE row_no % 6 WHEN 1 THEN 'Määramata' WHEN 2 THEN '' WHEN 3 THEN '' ELSE concat('Brand#', regexp_extract(brand_raw, '#([0-9]+)', 1)) END AS brand FROM scraped""")
+SELECT row_no, CASE row_no % 6 WHEN 1 THEN 'Määramata' WHEN 2 THEN '' WHEN 3 THEN '' ELSE concat('Farm ', regexp_extract(brand_raw, '([0-9]+)', 1)) END AS brand FROM scraped""")
 def _brand(t: Tables) -> DataFrame:
     return t.scraped.select("row_no", names.clean_brand(F.col("brand_raw")).alias("brand"))
 
@@ -444,7 +444,7 @@ def _shop_pages(t: Tables) -> DataFrame:
     attribute = F.concat(F.lit("{&quot;id&quot;:&quot;"), F.col("id"), F.lit("&quot;,&quot;name&quot;:&quot;"), name, F.lit(" 500g&quot;,&quot;price&quot;:"), euros, F.lit("}"))
     card = F.concat(F.lit('<div class="card" data-gtm-eec-product="'), attribute, F.lit('"><span class="sr-only">'), F.when(F.col("id") % 2 == 0, F.lit("2.59 € per kg")).otherwise(""), F.lit("</span></div>"))
     shop = F.concat(F.lit('<li class="product post-'), F.col("id"), F.lit('"><a href="https://x/toode/'), F.col("id"), F.lit('/"><img src="//cdn/'), ean, F.lit('.jpg"><h2 class="product-title">'), name, F.lit('</h2></a><span class="price"><ins><span class="amount"><bdi>'), euros, F.lit(" €</bdi></span></ins></span></li>"))
-    specs = F.concat(F.lit("<table><tr><th>Kaubamärk</th><td>"), F.col("brand"), F.lit("</td></tr></table><dl><dt>Netokogus</dt><dd>"), F.coalesce("size_text", F.lit("-")), F.lit("</dd></dl><p>Tootja: AS "), F.col("brand"), F.lit("</p>"))
+    specs = F.concat(F.lit("<table><tr><th>Kaubamärk</th><td>"), F.replace("brand", F.lit("Brand#"), F.lit("Farm ")), F.lit("</td></tr></table><dl><dt>Netokogus</dt><dd>"), F.coalesce("size_text", F.lit("-")), F.lit("</dd></dl><p>Tootja: AS "), F.col("brand"), F.lit("</p>"))
     state = F.concat(
         F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"apolloState":{"Product:'), F.col("id"), F.lit('":{"__typename":"Product",'), quoted("ean", ean), F.lit(","), quoted("name", name),
         F.when(F.col("id") % 2 == 0, F.concat(F.lit(',"price":'), euros)).otherwise(""), F.lit('},"ProductStoreEdge:1":{"price":7.5,"product":{"__ref":"Product:'), F.col("id"), F.lit('"}}}}}}</script>'),
@@ -486,7 +486,7 @@ def _shop_cards(t: Tables) -> DataFrame:
     return web.extract_shop_cards(_shop_pages(t)).select("page_id", "ext_id", "name", F.col("price").cast("double").alias("price"), "sku")
 
 
-@query("sf40_extract_specs", "SELECT id AS page_id, brand, concat('AS ', brand) AS manufacturer, coalesce(size_text, '-') AS size_text FROM products")
+@query("sf40_extract_specs", "SELECT id AS page_id, replace(brand, 'Brand#', 'Farm ') AS brand, concat('AS ', brand) AS manufacturer, coalesce(size_text, '-') AS size_text FROM products")
 def _specs(t: Tables) -> DataFrame:
     return web.extract_specs(_shop_pages(t)).select("page_id", "brand", "manufacturer", "size_text")
 

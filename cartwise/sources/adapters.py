@@ -122,7 +122,7 @@ SELECT p_partkey AS row_no, concat('x', CAST(p_partkey % 1500 AS STRING)) AS ext
             WHEN 3 THEN lpad(CAST(40000000000 + p_partkey AS STRING), 12, '0') WHEN 4 THEN concat('0', CAST(4740000000000 + p_partkey AS STRING))
             WHEN 5 THEN concat('1', CAST(4740000000000 + p_partkey AS STRING)) WHEN 6 THEN '11111111' WHEN 7 THEN CAST(4740000000000 + p_partkey AS STRING)
             ELSE CAST(40000000 + p_partkey AS STRING) END AS ean_raw,
-       CASE p_partkey % 6 WHEN 0 THEN concat('Tootja: ', p_brand) WHEN 1 THEN 'Määramata' WHEN 2 THEN 'x' WHEN 3 THEN '12345' WHEN 4 THEN concat('brand - ', p_brand) ELSE p_brand END AS brand_raw,
+       CASE p_partkey % 6 WHEN 0 THEN concat('Tootja: ', replace(p_brand, 'Brand#', 'Farm ')) WHEN 1 THEN 'Määramata' WHEN 2 THEN 'x' WHEN 3 THEN '12345' WHEN 4 THEN concat('brand - ', replace(p_brand, 'Brand#', 'Farm ')) ELSE replace(p_brand, 'Brand#', 'Farm ') END AS brand_raw,
        CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat(' ', p_brand, ' ') END AS brand,
        CASE p_partkey % 4 WHEN 0 THEN concat('https://www.selver.ee/e-selver/item-', CAST(p_partkey AS STRING), '?utm=1#top') WHEN 1 THEN concat('https://shop.rimi.ee/p/', CAST(p_partkey AS STRING), '/')
             WHEN 2 THEN concat('https://evil.example/p/', CAST(p_partkey AS STRING)) ELSE concat('https://www.selver.ee/toode/', CAST(p_partkey AS STRING), ':12:3') END AS url,
