@@ -96,18 +96,23 @@ def group_info(products: DataFrame, members: DataFrame, groups: DataFrame) -> Da
 
 
 def _offer_key(group: str = "group_id", product: str = "product_id") -> Column:
-    return F.struct(F.coalesce(F.col(group), F.col(product)).alias("id"), F.col(group).isNotNull().alias("grouped"))
+    """The group of a product as one number, or below zero the product itself.
+    Ids are not negative."""
+    return F.coalesce(F.col(group), -F.col(product) - 1)
 
 
-def group_offers(offers: DataFrame, members: DataFrame) -> DataFrame:
+def group_offers(offers: DataFrame, members: DataFrame, with_product: bool = True) -> DataFrame:
     """Cheapest member of each group in each store (price, then product id).
-    A product belongs to one group at most."""
-    keyed = offers.join(members.select("product_id", "group_id"), "product_id", "left")
-    best = keyed.groupBy(_offer_key().alias("offer_key"), "store_id").agg(F.min(F.struct("price", "product_id")).alias("_best"))
+    A product belongs to one group at most. Without the product only the price
+    is kept, which Spark aggregates in place by hash."""
+    keyed = offers.join(members.select("product_id", "group_id"), "product_id", "left").withColumn("offer_key", _offer_key())
+    if not with_product:
+        return keyed.groupBy("offer_key", "store_id").agg(F.min("price").alias("price"))
+    best = keyed.groupBy("offer_key", "store_id").agg(F.min(F.struct("price", "product_id")).alias("_best"))
     return best.select("offer_key", "store_id", "_best.price", F.col("_best.product_id").alias("offer_product_id"))
 
 
-def price_lines(lines: DataFrame, near: DataFrame, offers: DataFrame, members: DataFrame) -> DataFrame:
+def price_lines(lines: DataFrame, near: DataFrame, offers: DataFrame, members: DataFrame, with_product: bool = True) -> DataFrame:
     """One row per basket line and nearby store with the cheapest offer for the
     line, NULL where the store has none.
 
@@ -115,12 +120,13 @@ def price_lines(lines: DataFrame, near: DataFrame, offers: DataFrame, members: D
     members of its group one by one. The only row growth is the answer itself:
     lines times the stores in reach of the basket, which the store cap bounds.
     """
-    best = group_offers(offers, members)
+    best = group_offers(offers, members, with_product)
     keyed = lines.join(members.select("product_id", "group_id"), "product_id", "left").withColumn("offer_key", _offer_key())
     reach = keyed.join(near, "basket_id")
+    bought = ["offer_product_id"] if with_product else []
     return reach.join(best, ["offer_key", "store_id"], "left").select(
         "basket_id", "store_id", "store_name", "chain", "distance_km", "product_id", "quantity",
-        "offer_product_id", "price", (F.col("price") * F.col("quantity")).alias("line_total"),
+        *bought, "price", (F.col("price") * F.col("quantity")).alias("line_total"),
     )
 
 
@@ -136,7 +142,7 @@ def price_baskets(
     product line is missing; recipe lines do not count for it. Stores that
     have nothing are dropped.
     """
-    priced = price_lines(lines, near, offers, members).select(
+    priced = price_lines(lines, near, offers, members, with_product=False).select(
         "basket_id", "store_id", "store_name", "chain", "distance_km",
         F.col("product_id").cast("string").alias("label"), "line_total", F.lit(True).alias("is_product"),
     )
@@ -151,8 +157,8 @@ def price_baskets(
         )
         priced = priced.unionByName(extra)
     found = F.col("line_total").isNotNull()
-    totals = priced.groupBy("basket_id", "store_id").agg(
-        F.first("store_name").alias("store_name"), F.first("chain").alias("chain"), F.first("distance_km").alias("distance_km"),
+    # the store's own columns depend on the key; as grouping columns they keep the aggregation a hash one
+    totals = priced.groupBy("basket_id", "store_id", "store_name", "chain", "distance_km").agg(
         F.count_if(found).alias("lines_found"), F.count("*").alias("required_lines"),
         F.count_if(~found & F.col("is_product")).alias("_products_missing"),
         F.sum("line_total").alias("_total"),
@@ -194,16 +200,20 @@ def chain_totals(results: DataFrame) -> DataFrame:
 def compare_summary(results: DataFrame, min_chains: int = 2) -> DataFrame:
     """One row per basket that at least two chains can fill: the cheapest chain
     and the totals per chain as a map."""
-    per_basket = chain_totals(results).groupBy("basket_id").agg(
-        F.count("*").alias("chains"),
-        F.min(F.struct("total", "chain")).alias("_win"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("chain", "total")))).alias("chain_totals"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("chain", "store_id")))).alias("chain_store_ids"),
+    complete = F.col("total_price").isNotNull() & (F.col("lines_found") == F.col("required_lines"))
+    per_chain = results.groupBy("basket_id", F.trim(F.lower("chain")).alias("chain")).agg(
+        F.min(F.when(complete, F.struct(F.col("total_price").alias("total"), "store_id"))).alias("_best"),
+        F.count("total_price").alias("_priced"), F.max("required_lines").alias("_required"),
     )
-    counts = results.groupBy("basket_id").agg(
-        F.count("total_price").alias("stores_compared"), F.max("required_lines").alias("required_lines")
+    won = (F.col("chain") != "") & F.col("_best").isNotNull()
+    listed = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.when(won, F.struct("chain", value)))))
+    per_basket = per_chain.groupBy("basket_id").agg(
+        F.count_if(won).alias("chains"),
+        F.min(F.when(won, F.struct("_best.total", "chain"))).alias("_win"),
+        F.sum("_priced").alias("stores_compared"), F.max("_required").alias("required_lines"),
+        listed(F.col("_best.total")).alias("chain_totals"), listed(F.col("_best.store_id")).alias("chain_store_ids"),
     )
-    return per_basket.filter(F.col("chains") >= min_chains).join(counts, "basket_id").select(
+    return per_basket.filter(F.col("chains") >= min_chains).select(
         "basket_id", "chains", F.col("_win.chain").alias("cheapest_chain"), F.col("_win.total").alias("cheapest_total"),
         "stores_compared", "required_lines", "chain_totals", "chain_store_ids",
     )

@@ -147,19 +147,21 @@ def token_search_join(queries: DataFrame, grouped: DataFrame) -> DataFrame:
     word only in one that holds its bigram. Distinct texts are indexed once,
     the words are checked after the join, and a text counts when all words do.
     """
-    asked = queries.select("query_id", query_tokens(F.col("q")).alias("_words")).filter(F.size("_words") > 0)
-    words = asked.select("query_id", F.explode(F.array_distinct("_words")).alias("word")).withColumn("_gram", F.substring("word", 1, 3))
-    need = asked.select("query_id", F.size(F.array_distinct("_words")).alias("_need"))
+    words_of = F.array_sort(F.array_distinct(query_tokens(F.col("q"))))
+    asked = queries.select("query_id", words_of.alias("_words")).filter(F.size("_words") > 0)
+    wanted = asked.select("_words").distinct()  # searches repeat; each set of words is answered once
+    words = wanted.select("_words", F.explode("_words").alias("word"))
     both = F.concat_ws("\n", F.coalesce("search_text", F.lit("")), F.coalesce("group_search_text", F.lit("")))
     texts = grouped.select(both.alias("text")).distinct()
     grams = F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(1), F.length("text")), lambda i: F.array(F.col("text").substr(i, F.lit(2)), F.col("text").substr(i, F.lit(3)))
     )))
     index = texts.filter(F.length("text") > 0).withColumn("_gram", F.explode(grams))
-    distinct_words = words.select("word", "_gram").distinct()
+    distinct_words = words.select("word").distinct().withColumn("_gram", F.substring("word", 1, 3))
     held = distinct_words.join(index, "_gram").filter(F.col("text").contains(F.col("word"))).select("word", "text")
-    full = words.join(held, "word").groupBy("query_id", "text").agg(F.count("*").alias("_hits")).join(need, "query_id").filter("_hits = _need")
-    return full.select("query_id", "text").join(grouped.withColumn("text", both), "text").drop("text")
+    full = words.join(held, "word").groupBy("_words", "text").agg(F.count("*").alias("_hits")).filter(F.col("_hits") == F.size("_words"))
+    hits = full.select("_words", "text").join(grouped.withColumn("text", both), "text").drop("text")
+    return asked.join(hits, "_words").drop("_words")
 
 
 def relevance_tier(q: Column) -> Column:
