@@ -3,6 +3,8 @@ near it, rank the stores and keep snapshots."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from cartwise.operators.stores import stores_within
 # Request limits.
 MAX_ITEMS = 50
 RADIUS_KM = (0.1, 50.0)
+RADIUS_STEPS = (3.0, 12.0, 50.0)
 MAX_STORES = 50
 ALLOWED_DAYS = (7, 14, 30, 90)
 DEFAULT_DAYS = 30
@@ -112,7 +115,13 @@ def group_offers(offers: DataFrame, members: DataFrame, with_product: bool = Tru
     return best.select("offer_key", "store_id", "_best.price", F.col("_best.product_id").alias("offer_product_id"))
 
 
-def price_lines(lines: DataFrame, near: DataFrame, offers: DataFrame, members: DataFrame, with_product: bool = True) -> DataFrame:
+def _reached_prices(lines: DataFrame, reach: DataFrame, offers: DataFrame, members: DataFrame, with_product: bool) -> DataFrame:
+    best = group_offers(offers, members, with_product)
+    keyed = lines.join(members.select("product_id", "group_id"), "product_id", "left").withColumn("offer_key", _offer_key()).drop("group_id")
+    return keyed.join(reach, "basket_id").join(best, ["offer_key", "store_id"], "left").drop("offer_key")
+
+
+def price_lines(lines: DataFrame, near: DataFrame, offers: DataFrame, members: DataFrame) -> DataFrame:
     """One row per basket line and nearby store with the cheapest offer for the
     line, NULL where the store has none.
 
@@ -120,14 +129,8 @@ def price_lines(lines: DataFrame, near: DataFrame, offers: DataFrame, members: D
     members of its group one by one. The only row growth is the answer itself:
     lines times the stores in reach of the basket, which the store cap bounds.
     """
-    best = group_offers(offers, members, with_product)
-    keyed = lines.join(members.select("product_id", "group_id"), "product_id", "left").withColumn("offer_key", _offer_key())
-    reach = keyed.join(near, "basket_id")
-    bought = ["offer_product_id"] if with_product else []
-    return reach.join(best, ["offer_key", "store_id"], "left").select(
-        "basket_id", "store_id", "store_name", "chain", "distance_km", "product_id", "quantity",
-        *bought, "price", (F.col("price") * F.col("quantity")).alias("line_total"),
-    )
+    rows = _reached_prices(lines, near, offers, members, True)
+    return rows.withColumn("line_total", F.col("price") * F.col("quantity"))
 
 
 def price_baskets(
@@ -142,23 +145,20 @@ def price_baskets(
     product line is missing; recipe lines do not count for it. Stores that
     have nothing are dropped.
     """
-    priced = price_lines(lines, near, offers, members, with_product=False).select(
-        "basket_id", "store_id", "store_name", "chain", "distance_km",
-        F.col("product_id").cast("string").alias("label"), "line_total", F.lit(True).alias("is_product"),
+    # only numbers travel with the many lines; the store's words join the few totals
+    reach = near.select("basket_id", "store_id")
+    priced = _reached_prices(lines, reach, offers, members, False).select(
+        "basket_id", "store_id", F.col("product_id").cast("string").alias("label"), (F.col("price") * F.col("quantity")).alias("line_total"),
+        F.lit(True).alias("is_product"),
     )
     if recipe_lines is not None:
-        extra = near.join(
-            recipe_lines.withColumn("_chain", F.lower("chain")).drop("chain"),
-            (near["basket_id"] == recipe_lines["basket_id"]) & (F.lower(near["chain"]) == F.col("_chain")),
-        ).select(
-            near["basket_id"], "store_id", "store_name", near["chain"], "distance_km",
-            F.col("ingredient").alias("label"), (F.col("price") * F.col("quantity")).alias("line_total"),
-            F.lit(False).alias("is_product"),
+        by_chain = near.select("basket_id", "store_id", F.lower("chain").alias("_chain"))
+        extra = by_chain.join(recipe_lines.withColumn("_chain", F.lower("chain")).drop("chain"), ["basket_id", "_chain"]).select(
+            "basket_id", "store_id", F.col("ingredient").alias("label"), (F.col("price") * F.col("quantity")).alias("line_total"), F.lit(False).alias("is_product")
         )
         priced = priced.unionByName(extra)
     found = F.col("line_total").isNotNull()
-    # the store's own columns depend on the key; as grouping columns they keep the aggregation a hash one
-    totals = priced.groupBy("basket_id", "store_id", "store_name", "chain", "distance_km").agg(
+    totals = priced.groupBy("basket_id", "store_id").agg(
         F.count_if(found).alias("lines_found"), F.count("*").alias("required_lines"),
         F.count_if(~found & F.col("is_product")).alias("_products_missing"),
         F.sum("line_total").alias("_total"),
@@ -167,7 +167,8 @@ def price_baskets(
     total = F.col("_total")
     if require_all:
         total = F.when(F.col("_products_missing") == 0, total)
-    return totals.filter("lines_found > 0").withColumn("total_price", total).drop("_total", "_products_missing")
+    priced_stores = totals.filter("lines_found > 0").withColumn("total_price", total).drop("_total", "_products_missing")
+    return priced_stores.join(near, ["basket_id", "store_id"])
 
 
 def basket_order() -> list[Column]:
@@ -265,12 +266,17 @@ def recompare_baskets(
     saved: DataFrame, items: DataFrame, stores: DataFrame, offers: DataFrame, members: DataFrame
 ) -> DataFrame:
     """Price saved baskets again from their stored origin and radius and
-    return the new winner beside the old total. One grid of the largest
-    allowed radius serves all baskets; each basket's own radius filters it."""
-    reach = stores_within(
-        saved.select("basket_id", F.col("origin_lat").alias("lat"), F.col("origin_lon").alias("lon")), stores, RADIUS_KM[1], None, "basket_id"
-    )
-    near = reach.join(saved.select("basket_id", "radius_km"), "basket_id").filter(F.col("distance_km") <= F.col("radius_km")).drop("radius_km")
+    return the new winner beside the old total. Baskets are searched on a grid
+    of the next radius step above their own, so a short way never pays for the
+    largest one."""
+    origins = saved.select("basket_id", F.col("origin_lat").alias("lat"), F.col("origin_lon").alias("lon"), "radius_km")
+    parts, below = [], 0.0
+    for step in RADIUS_STEPS:
+        inside = origins.filter((F.col("radius_km") > below) & (F.col("radius_km") <= step))
+        parts.append(stores_within(inside, stores, step, None, "basket_id"))
+        below = step
+    reach = reduce(DataFrame.unionByName, parts)
+    near = reach.join(origins.select("basket_id", "radius_km"), "basket_id").filter(F.col("distance_km") <= F.col("radius_km")).drop("radius_km")
     results = price_baskets(items, near, offers, members, require_all=False)
     winner = saved_winner(results, saved.select("basket_id", F.lit(None).cast("bigint").alias("store_id")), RECOMPUTED_TOTAL_LIMIT)
     return saved.select("basket_id", F.col("winner_total").alias("old_total")).join(winner, "basket_id", "left")

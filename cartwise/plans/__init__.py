@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from cartwise.plans import catalogue, cleaning, dashboard, pricing, streams, substitutes, upkeep  # noqa: F401
+from cartwise.plans import catalogue, cleaning, dashboard, more, pricing, streams, substitutes, upkeep  # noqa: F401
