@@ -215,13 +215,32 @@ def _required(t: Tables) -> DataFrame:
     )
 
 
-@query("sb09_hard_checks")
+_FAT = """CASE WHEN l LIKE '%2,5%' THEN 'pct_2.5' WHEN l LIKE '%3,5%' THEN 'pct_3.5' WHEN l LIKE '% 10\\%%' ESCAPE '\\' THEN 'pct_10.0' WHEN l LIKE '% 20\\%%' ESCAPE '\\' THEN 'pct_20.0' ELSE '-' END"""
+_CREAM = """CASE WHEN l LIKE '%2,5%' OR l LIKE '%3,5%' THEN 'standard' WHEN l LIKE '%0\\%%' ESCAPE '\\' THEN 'greek_high_fat' ELSE '-' END"""
+_STATE = "CASE WHEN l LIKE '%maasika%' OR l LIKE '%banaani%' THEN 'flavored' ELSE 'plain' END"
+
+
+@query("sb09_hard_checks", f"""
+WITH {_TEXT}, low AS (SELECT sub_code, lower(txt) AS l FROM texts), hard AS (SELECT sub_code, CASE sub_code
+  WHEN 'dairy_milk' THEN concat({_STATE}, ',', {_FAT}, repeat(',-', 11))
+  WHEN 'dairy_yogurt_kefir' THEN concat({_STATE}, ',-,', {_CREAM}, ',', CASE WHEN l LIKE '%kreeka%' THEN 'greek' ELSE 'regular' END, repeat(',-', 9))
+  WHEN 'cheese_regular' THEN concat('-', repeat(',-', 6), ',', CASE WHEN l LIKE '%gouda%' THEN 'gouda' WHEN l LIKE '%mozzarella%' THEN 'mozzarella' ELSE '-' END, ',', CASE WHEN l LIKE '%viil%' THEN 'sliced' ELSE 'block' END, repeat(',-', 4))
+  ELSE concat('-', repeat(',-', 12)) END AS hard FROM low)
+SELECT sub_code, hard, CAST(count(*) AS BIGINT) AS groups FROM hard GROUP BY 1, 2""")
 def _hard(t: Tables) -> DataFrame:
     values = F.array_join(traits.hard_values(F.col("sub_code"), F.col("txt")), ",", "-").alias("hard")
     return _shelf_text(t).select("sub_code", values).groupBy("sub_code", "hard").agg(F.count("*").alias("groups"))
 
 
-@query("sb10_downgrade_checks")
+_BERRY = "CASE WHEN l LIKE '%metsmaasika%' THEN 'flavour_variant:wild_strawberry' WHEN l LIKE '%maasika%' THEN 'flavour_variant:strawberry' WHEN l LIKE '%banaani%' THEN 'flavour_variant:banana' ELSE '' END"
+
+
+@query("sb10_downgrade_checks", f"""
+WITH {_TEXT}, low AS (SELECT sub_code, lower(txt) AS l FROM texts), tagged AS (SELECT sub_code, CASE sub_code WHEN 'dairy_yogurt_kefir' THEN {_BERRY} WHEN 'tea' THEN {_BERRY}
+  WHEN 'cheese_regular' THEN CASE WHEN l LIKE '%viski%' THEN 'cheese_modifier:whisky' WHEN l LIKE '%light%' THEN 'cheese_modifier:light' ELSE '' END
+  WHEN 'oils_olive' THEN CASE WHEN l LIKE '%veise%' THEN 'flavour_profile:beef_flavour' WHEN l LIKE '%ekstra neitsi%' THEN 'oil_grade:extra_virgin' WHEN l LIKE '%light%' THEN 'oil_grade:light' ELSE '' END
+  ELSE '' END AS tags FROM low)
+SELECT sub_code, tags, CAST(count(*) AS BIGINT) AS groups FROM tagged GROUP BY 1, 2""")
 def _downgrade(t: Tables) -> DataFrame:
     tags = F.array_join(traits.downgrade_tags(F.col("sub_code"), F.col("txt")), ",").alias("tags")
     return _shelf_text(t).select("sub_code", tags).groupBy("sub_code", "tags").agg(F.count("*").alias("groups"))
