@@ -271,10 +271,12 @@ def price_sensitivity(compares: DataFrame, chains: list[str], unit: float = 1.0)
     are left out, all of them when the whole period has too few. One pass
     serves every chain."""
     good = eligible_compares(compares)
-    own = good.select("winner", "winner_total", "totals", F.explode("totals").alias("_own")).select(
+    # one entry without a chain per compare counts the compares in the same pass
+    whole = F.struct(F.lit(None).cast("string").alias("chain"), F.lit(None).cast("double").alias("total"))
+    own = good.select("winner", "winner_total", "totals", F.explode(F.concat("totals", F.array(whole))).alias("_own")).select(
         "winner", "winner_total", F.col("_own.chain").alias("chain"), F.col("_own.total").alias("total"),
         F.array_min(F.transform(F.filter("totals", lambda e: e["chain"] != F.col("_own.chain")), lambda e: e["total"])).alias("rival"),
-    ).filter(F.col("chain").isin(*chains))
+    ).filter(F.col("chain").isNull() | F.col("chain").isin(*chains))
     won = F.col("chain") == F.col("winner")
     gap = F.when(won, F.col("rival") - F.col("total")).otherwise(F.col("total") - F.col("winner_total")) / unit
     bucket = F.when((gap > 0) & (gap <= 0.5), "050").when((gap > 0.5) & (gap <= 1), "100").when((gap > 1) & (gap <= 2), "200")
@@ -284,8 +286,10 @@ def price_sensitivity(compares: DataFrame, chains: list[str], unit: float = 1.0)
         F.count("*").alias("compares"), F.count_if("won").alias("wins"),
         *[F.count_if(side & (F.col("bucket") == b)).alias(f"near_{name}_{b}") for name, side in sides.items() for b in ("050", "100", "200")],
     )
-    enough = good.agg(F.count("*").alias("_n")).filter(F.col("_n") >= MIN_COMPARES)
-    return counts.filter(F.col("compares") >= MIN_CHAIN_COMPARES).join(F.broadcast(enough)).drop("_n")  # one row
+    every = F.max(F.when(F.col("chain").isNull(), F.col("compares"))).over(Window.partitionBy())  # a row per chain and one more
+    return counts.withColumn("_all", every).filter(
+        F.col("chain").isNotNull() & (F.col("compares") >= MIN_CHAIN_COMPARES) & (F.col("_all") >= MIN_COMPARES)
+    ).drop("_all")
 
 
 def narrow_losses(compares: DataFrame, chains: list[str], unit: float = 1.0, top: int = 3) -> DataFrame:
