@@ -1,4 +1,4 @@
 """All queries of this folder; importing it registers them."""
 
-from cartwise.llm import bpe, chat, near_dedup, packing, sketches, token_counts, token_files, toxicity  # noqa: F401
+from cartwise.llm import bpe, chat, near_dedup, neighbours, packing, pii, sketches, token_counts, token_files, toxicity  # noqa: F401
 from cartwise.llm.registry import ORACLES, QUERIES  # noqa: F401

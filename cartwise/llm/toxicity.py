@@ -17,7 +17,6 @@ machine are found in turns. The document's score is that of its worst sentence.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -35,10 +34,10 @@ DECAY, SPAN = 0.7, 5
 #: (distance of the second and of the third letter from the first)
 GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: Bounds of what the machine is fitted on: labelled rows, and words of each class.
-MAX_ROWS, MAX_WORDS, LANDMARKS = 20_000, 3_000, 160
-TURNS = 3
+MAX_ROWS, MAX_WORDS, LANDMARKS = 10_000, 2_000, 160
+TURNS = 2
 
-_SENTENCE = re.compile(r"[.!?\n]+")
+_ENDS = np.array([ord(c) for c in ".!?\n"], np.uint32)
 
 
 def _letter_table() -> np.ndarray:
@@ -59,8 +58,9 @@ def _letter_table() -> np.ndarray:
 _TABLE = _letter_table()
 
 
-def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all words, a 0 before each, and where these zeros are."""
+def symbols(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all words, a 0 before each, where these zeros are, and the
+    number of the sentence that each word starts in."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
     kinds = _TABLE[np.minimum(codes, 0x24F)].astype(np.int8)
     if len(codes) and codes.max() >= 0x250:
@@ -70,7 +70,7 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
         kinds[(codes == 0x3000) | (codes >= 0x2000) & (codes <= 0x200A) | (codes == 0x2028) | (codes == 0x2029)] = 0
     at = np.flatnonzero(kinds > 0)
     if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     gaps = np.cumsum(kinds == 0)[at]
     new = np.ones(len(at), bool)
     np.not_equal(gaps[1:], gaps[:-1], out=new[1:])
@@ -80,7 +80,8 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
     places = np.arange(len(at)) + np.cumsum(new)
     out = np.zeros(len(at) + int(new.sum()), np.int64)
     out[places] = kinds[at]
-    return out, places[new] - 1
+    sentences = np.cumsum(np.isin(codes, _ENDS))[at[new]]
+    return out, places[new] - 1, sentences
 
 
 def _triples(letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -102,15 +103,15 @@ def _norms(starts: np.ndarray, total: int) -> np.ndarray:
     return np.sqrt(np.maximum(squares, DECAY ** 6))
 
 
-def word_scores(text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score of each word, without the machine's offset; letters; word starts."""
-    letters, starts = symbols(text)
+def word_scores(text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Score of each word, without the machine's offset, and what `symbols` gives."""
+    letters, starts, sentences = symbols(text)
     if not len(starts):
-        return np.empty(0), letters, starts
+        return np.empty(0), letters, starts, sentences
     sums = np.zeros(len(letters))
     for at, numbers, weight in _triples(letters):
         sums[at] += weight * weights[numbers]
-    return np.add.reduceat(sums, starts) / _norms(starts, len(letters)), letters, starts
+    return np.add.reduceat(sums, starts) / _norms(starts, len(letters)), letters, starts, sentences
 
 
 def _spell(letters: np.ndarray) -> str:
@@ -174,7 +175,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            letters, starts = symbols(text or "")
+            letters = symbols(text or "")[0]
             data = "".join(chr(96 + x) for x in letters.tolist())
             counts[toxic].update(set(data[1:].split("`")) if data else ())
         words = list({*counts[0], *counts[1]})
@@ -191,15 +192,13 @@ def _worst_words(weights):
         for batch in batches:
             counts, best = {0: Counter(), 1: Counter()}, {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = []
-                for sentence in _SENTENCE.split(text or ""):
-                    scores, letters, starts = word_scores(sentence, weights.value)
-                    if len(scores):
-                        top = int(scores.argmax())
-                        stop = starts[top + 1] if top + 1 < len(starts) else len(letters)
-                        found.append((float(scores[top]), _spell(letters[starts[top] + 1 : stop])))
+                scores, letters, starts, sentences = word_scores(text or "", weights.value)
+                order = np.lexsort((scores, sentences))
+                last = order[np.append(sentences[order][1:] != sentences[order][:-1], True)] if len(order) else order
+                stops = np.append(starts[1:], len(letters))
                 if toxic:
-                    found = sorted(found)[-1:]
+                    last = last[[scores[last].argmax()]] if len(last) else last
+                found = [(float(scores[i]), _spell(letters[starts[i] + 1 : stops[i]])) for i in last.tolist()]
                 for score, word in found:
                     counts[toxic][word] += 1
                     best[word] = score
@@ -274,16 +273,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     good = {r["word"]: float(r["clean"]) for r in plain.collect()}
     if not bad or not good:
         return Model(None)
+    first = bad
     weights, _ = train(good, bad)
     for turn in range(TURNS):
         shared = spark.sparkContext.broadcast(weights)
         worst = rows.select("text", "toxic").mapInArrow(_worst_words(shared), "word string, toxic long, clean long, score double")
         worst = worst.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("score").alias("score"))
         worst = settle(worst, folder, f"worst-{turn}")
-        bad = {r["word"]: float(r["toxic"]) for r in worst.filter("toxic > 0 AND clean = 0").orderBy(F.desc("toxic"), "word").limit(MAX_WORDS).collect()}
+        bad = first | {r["word"]: float(r["toxic"]) for r in worst.filter("toxic > 0 AND clean = 0").orderBy(F.desc("toxic"), "word").limit(MAX_WORDS).collect()}
         hard = {r["word"]: float(r["clean"]) for r in worst.filter("clean > 0").orderBy(F.desc("score"), "word").limit(MAX_WORDS).collect()}
-        if not bad:
-            break
         good = {w: n for w, n in (good | hard).items() if w not in bad}
         good = dict(sorted(good.items(), key=lambda x: (x[0] not in hard, x[0]))[: 2 * MAX_WORDS])
         weights, _ = train(good, bad)
