@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -302,6 +303,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return tops.select("doc_id", F.when(F.col("top").isNull(), F.lit(0.0)).otherwise(1 / (1 + F.exp(-x))).alias("score"))
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` whose score is below 0.5, with all their columns."""
+    if model.weights is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+
+    @F.pandas_udf("double")
+    def top(texts: pd.Series) -> pd.Series:
+        found = (word_scores(text, shared.value)[0] if isinstance(text, str) else () for text in texts)
+        return pd.Series([float(s.max()) if len(s) else None for s in found], dtype="float64")
+
+    x = F.lit(model.slope) * top("text") + model.offset
+    return docs.filter(~F.coalesce(1 / (1 + F.exp(-x)) >= 0.5, F.lit(False)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of `docs`; other columns
     are ignored, an empty table gives no rows."""
