@@ -500,3 +500,12 @@ MEASURES = {
     "finely chopped": "peenelt hakitud", "roughly chopped": "jämedalt hakitud", "finely sliced": "peenelt viilutatud",
     "halved": "pooleks", "quartered": "neljaks", "free-range": "vabalt peetud",
 }
+
+# Keys whose object is known by its name.
+NAMED_OBJECTS = ("brand", "manufacturer")
+
+# Keys that mark an object with a name as an item.
+ITEM_MARKS = (
+    "price", "baseprice", "base_price", "unit_price", "total_price", "current_price", "priceCurrency",
+    "id", "itemId", "itemID", "_id", "slug",
+)
