@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,19 +79,21 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*flat)
 
 
-def positions(df: DataFrame, key: str, column: str = "position", slices: int = 256) -> DataFrame:
+def positions(df: DataFrame, key: str, column: str = "position", rows: int = 100_000) -> DataFrame:
     """Zero-based position of every row in the order of a unique numeric key.
 
     A global `row_number()` would pull all rows into one task. Here the key
-    range is cut at approximate quantiles; rows are numbered inside their slice
-    and shifted by the number of rows in the slices before it. The cuts decide
-    only the balance, never the result.
+    range is cut at approximate quantiles into slices of about `rows` rows;
+    rows are numbered inside their slice and shifted by the number of rows in
+    the slices before it. The cut points are fixed numbers before any row is
+    dealt, so every branch and every rerun deals alike.
     """
-    share = F.expr("array(" + ", ".join(f"{i / slices}D" for i in range(1, slices)) + ")")
-    cuts = df.agg(F.percentile_approx(F.col(key), share, slices * 4).alias("_cuts"))
-    sliced = df.crossJoin(F.broadcast(cuts)).withColumn(  # one row: the cut points
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(key)))
-    ).drop("_cuts")
+    total = df.count()
+    slices = max(1, min(4096, -(-total // rows)))
+    share = [i / slices for i in range(1, slices)]
+    cuts = df.agg(F.percentile_approx(F.col(key), share, slices * 4)).first()[0] if share and total else []
+    fixed = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{df.schema[key].dataType.simpleString()}>")
+    sliced = df.withColumn("_slice", F.size(F.filter(fixed, lambda c: c < F.col(key))))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = sliced.groupBy("_slice").count().select(  # at most `slices` rows
         "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift")
@@ -98,7 +101,7 @@ def positions(df: DataFrame, key: str, column: str = "position", slices: int = 2
     inside = F.row_number().over(Window.partitionBy("_slice").orderBy(key))
     return (
         sliced.withColumn("_inside", inside)
-        .join(shift, "_slice")
+        .join(F.broadcast(shift), "_slice")
         .withColumn(column, F.col("_shift") + F.col("_inside") - 1)
         .drop("_slice", "_shift", "_inside")
     )
@@ -106,17 +109,23 @@ def positions(df: DataFrame, key: str, column: str = "position", slices: int = 2
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for data that must outlive an executor: the one the cluster
-    names in `spark.checkpoint.dir`; a session without one (a test) gets a
-    temporary folder."""
+    names in `spark.checkpoint.dir`. A session on one machine without one (a
+    test) gets a temporary folder; a cluster without one is refused, as its
+    executors could not read each other's files."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read back, so that later steps
-    start from data and not from its plan, also after an executor is lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written as Parquet to the shared folder and read back, so that
+    later steps start from data and not from its plan, also after an executor
+    is lost, and read only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

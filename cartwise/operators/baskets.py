@@ -115,60 +115,81 @@ def group_offers(offers: DataFrame, members: DataFrame, with_product: bool = Tru
     return best.select("offer_key", "store_id", "_best.price", F.col("_best.product_id").alias("offer_product_id"))
 
 
-def _reached_prices(lines: DataFrame, reach: DataFrame, offers: DataFrame, members: DataFrame, with_product: bool) -> DataFrame:
-    best = group_offers(offers, members, with_product)
+def _places(near: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """Stores in reach of each basket with the place their prices come from:
+    by `sources` (store_id, source_store_id), else the store itself."""
+    stores = near.select("basket_id", "store_id", "chain")
+    if sources is None:
+        return stores.withColumn("place", F.col("store_id"))
+    return stores.join(sources.select("store_id", F.col("source_store_id").alias("place")), "store_id")
+
+
+def _reached_prices(lines: DataFrame, places: DataFrame, offers: DataFrame, members: DataFrame, with_product: bool) -> DataFrame:
+    best = group_offers(offers, members, with_product).withColumnRenamed("store_id", "place")
     keyed = lines.join(members.select("product_id", "group_id"), "product_id", "left").withColumn("offer_key", _offer_key()).drop("group_id")
-    return keyed.join(reach, "basket_id").join(best, ["offer_key", "store_id"], "left").drop("offer_key")
+    return keyed.join(places, "basket_id").join(best, ["offer_key", "place"], "left").drop("offer_key")
 
 
-def price_lines(lines: DataFrame, near: DataFrame, offers: DataFrame, members: DataFrame) -> DataFrame:
+def price_lines(lines: DataFrame, near: DataFrame, offers: DataFrame, members: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """One row per basket line and nearby store with the cheapest offer for the
-    line, NULL where the store has none.
+    line, NULL where the store has none. For many stores `price_baskets` gives
+    the totals without these rows.
 
     Offers are folded to (group, store) first, so a line never meets the
-    members of its group one by one. The only row growth is the answer itself:
-    lines times the stores in reach of the basket, which the store cap bounds.
+    members of its group one by one.
     """
-    rows = _reached_prices(lines, near, offers, members, True)
-    return rows.withColumn("line_total", F.col("price") * F.col("quantity"))
+    rows = _reached_prices(lines, _places(near, sources).drop("chain"), offers, members, True).drop("place")
+    words = near.drop(*[c for c in near.columns if c in lines.columns and c != "basket_id"])
+    return rows.join(words, ["basket_id", "store_id"]).withColumn("line_total", F.col("price") * F.col("quantity"))
+
+
+def _line_sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Lines, lines found, sum and missing labels of (label, line_total)."""
+    found = F.col("line_total").isNotNull()
+    return rows.groupBy(*keys).agg(
+        F.count_if(found).alias("found"), F.count("*").alias("lines"), F.sum("line_total").alias("total"),
+        F.collect_list(F.when(~found, F.col("label"))).alias("missing"),
+    )
 
 
 def price_baskets(
     lines: DataFrame, near: DataFrame, offers: DataFrame, members: DataFrame,
-    require_all: bool = True, recipe_lines: DataFrame | None = None,
+    require_all: bool = True, recipe_lines: DataFrame | None = None, sources: DataFrame | None = None,
 ) -> DataFrame:
     """Total of every basket in every store near it.
 
+    With `sources` (store_id, source_store_id) the offers are those of source
+    stores. Lines are priced once per basket and distinct source in reach; the
+    totals, not the lines, are spread over the stores that share a source.
     `recipe_lines` (basket_id, chain, ingredient, price, quantity; one row per
-    basket, ingredient and chain with NULL price where the chain lacks it) join
-    the basket's stores of that chain. `require_all` voids the total when a
-    product line is missing; recipe lines do not count for it. Stores that
-    have nothing are dropped.
+    basket, ingredient and chain of its stores, with NULL price where the chain
+    lacks it) are summed per chain. `require_all` voids the total when a product
+    line is missing; recipe lines do not count for it. Stores that have nothing
+    are dropped.
     """
-    # only numbers travel with the many lines; the store's words join the few totals
-    reach = near.select("basket_id", "store_id")
-    priced = _reached_prices(lines, reach, offers, members, False).select(
-        "basket_id", "store_id", F.col("product_id").cast("string").alias("label"), (F.col("price") * F.col("quantity")).alias("line_total"),
-        F.lit(True).alias("is_product"),
-    )
+    stores = _places(near, sources)
+    priced = _reached_prices(lines, stores.select("basket_id", "place").distinct(), offers, members, False)
+    products = _line_sums(priced.select(
+        "basket_id", "place", F.col("product_id").cast("string").alias("label"), (F.col("price") * F.col("quantity")).alias("line_total"),
+    ), "basket_id", "place")
+    rows = stores.withColumn("_chain", F.lower("chain")).drop("chain").join(products, ["basket_id", "place"], "left")
     if recipe_lines is not None:
-        by_chain = near.select("basket_id", "store_id", F.lower("chain").alias("_chain"))
-        extra = by_chain.join(recipe_lines.withColumn("_chain", F.lower("chain")).drop("chain"), ["basket_id", "_chain"]).select(
-            "basket_id", "store_id", F.col("ingredient").alias("label"), (F.col("price") * F.col("quantity")).alias("line_total"), F.lit(False).alias("is_product")
-        )
-        priced = priced.unionByName(extra)
-    found = F.col("line_total").isNotNull()
-    totals = priced.groupBy("basket_id", "store_id").agg(
-        F.count_if(found).alias("lines_found"), F.count("*").alias("required_lines"),
-        F.count_if(~found & F.col("is_product")).alias("_products_missing"),
-        F.sum("line_total").alias("_total"),
-        F.array_sort(F.collect_list(F.when(~found, F.col("label")))).alias("not_found"),
-    )
-    total = F.col("_total")
+        extra = _line_sums(recipe_lines.select(
+            "basket_id", F.lower("chain").alias("_chain"), F.col("ingredient").alias("label"), (F.col("price") * F.col("quantity")).alias("line_total"),
+        ), "basket_id", "_chain")
+        names = {c: f"_{c}" for c in ("found", "lines", "total", "missing")}
+        rows = rows.join(extra.withColumnsRenamed(names), ["basket_id", "_chain"], "left")
+    none = F.array().cast("array<string>")
+    both = lambda c, zero: F.coalesce(c, F.lit(zero)) + (F.coalesce(f"_{c}", F.lit(zero)) if recipe_lines is not None else F.lit(zero))
+    total = F.coalesce("total", F.lit(0)) + F.coalesce("_total", F.lit(0)) if recipe_lines is not None else F.col("total")
     if require_all:
-        total = F.when(F.col("_products_missing") == 0, total)
-    priced_stores = totals.filter("lines_found > 0").withColumn("total_price", total).drop("_total", "_products_missing")
-    return priced_stores.join(near, ["basket_id", "store_id"])
+        total = F.when(F.coalesce(F.col("found") == F.col("lines"), F.lit(True)), total)
+    missing = F.coalesce("missing", none) if recipe_lines is None else F.concat(F.coalesce("missing", none), F.coalesce("_missing", none))
+    totals = rows.select(
+        "basket_id", "store_id", both("found", 0).alias("lines_found"), both("lines", 0).alias("required_lines"),
+        F.array_sort(missing).alias("not_found"), total.alias("total_price"),
+    ).filter("lines_found > 0")
+    return totals.join(near, ["basket_id", "store_id"])
 
 
 def basket_order() -> list[Column]:
@@ -263,7 +284,7 @@ def snapshot_baskets(priced: DataFrame, results: DataFrame, winners: DataFrame)
 
 
 def recompare_baskets(
-    saved: DataFrame, items: DataFrame, stores: DataFrame, offers: DataFrame, members: DataFrame
+    saved: DataFrame, items: DataFrame, stores: DataFrame, offers: DataFrame, members: DataFrame, sources: DataFrame | None = None
 ) -> DataFrame:
     """Price saved baskets again from their stored origin and radius and
     return the new winner beside the old total. Baskets are searched on a grid
@@ -277,7 +298,7 @@ def recompare_baskets(
         below = step
     reach = reduce(DataFrame.unionByName, parts)
     near = reach.join(origins.select("basket_id", "radius_km"), "basket_id").filter(F.col("distance_km") <= F.col("radius_km")).drop("radius_km")
-    results = price_baskets(items, near, offers, members, require_all=False)
+    results = price_baskets(items, near, offers, members, require_all=False, sources=sources)
     winner = saved_winner(results, saved.select("basket_id", F.lit(None).cast("bigint").alias("store_id")), RECOMPUTED_TOTAL_LIMIT)
     return saved.select("basket_id", F.col("winner_total").alias("old_total")).join(winner, "basket_id", "left")
 

@@ -102,8 +102,9 @@ def browse_order(sort: str | None = None, personal: bool = False) -> list[Column
 
 def paginate(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page with `has_more` and `next_offset`. The extra row that proves a
-    next page is read and dropped."""
-    limit = min(limit, MAX_PAGE)
+    next page is read and dropped. A page longer than MAX_PAGE is refused."""
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows, not {limit}")
     page = df.orderBy(*order).offset(offset).limit(limit + 1)
     place = F.row_number().over(Window.orderBy(*order))  # at most limit + 1 rows
     numbered = page.withColumn("_row", place).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit)
@@ -231,9 +232,9 @@ def alternatives(
     Prices come from the store's effective source, newest first. Categories
     with produce families keep the family of the wanted name only. The order is
     similarity, price, name. Goods with a similarity come from the names that
-    share a trigram; the cheapest goods of the shelf fill up what is left, and
-    twice the limit of them is enough, as fewer than the limit can be similar
-    when there is something to fill.
+    share a trigram; the cheapest goods of the shelf, one row for each dedup
+    key, fill up what is left, and twice the limit of them is enough, as fewer
+    than the limit can be similar when there is something to fill.
     """
     coded = settled(category_of(requests, grouped)).withColumnRenamed("sub_code", "code")
     asked = requests.join(coded, "product_name").join(source, "store_id")
@@ -255,7 +256,8 @@ def alternatives(
     kinds = asked.select(*shelf, "wanted").distinct()
     scored = similar_names(asked, stocked)
     alike = kinds.join(scored, ["code", "wanted"]).join(stocked, [*shelf, "shown"])
-    cheap = top_n(stocked, shelf, 2 * limit, F.col("price").asc(), F.col("name").asc(), F.col("id").asc())
+    whole = stocked.groupBy(*shelf, "dedup_key").agg(F.min(F.struct("price", "id", "name")).alias("_best")).select(*shelf, "dedup_key", "_best.*")
+    cheap = top_n(whole, shelf, 2 * limit, F.col("price").asc(), F.col("name").asc(), F.col("id").asc())
     filler = kinds.join(cheap, shelf).withColumn("similarity", F.lit(0.0))
     fields = [*shelf, "wanted", "dedup_key", "similarity", "price", "id", "name"]
     both = alike.select(*fields).unionByName(filler.select(*fields))

@@ -59,6 +59,12 @@ def latest_prices_fallback(latest: DataFrame, stores: DataFrame, source_map: Dat
     return best.select("product_id", "store_id", "_row.price", "_row.collected_at", "_row.priority")
 
 
+def source_offers(latest: DataFrame) -> DataFrame:
+    """Promo-aware prices where they were seen, before any store that borrows
+    them is looked at."""
+    return latest.select("product_id", "store_id", effective_price().alias("price"))
+
+
 def latest_prices_source_only(latest: DataFrame, stores: DataFrame, source_map: DataFrame) -> DataFrame:
     """Basket variant: a mapped store reads nothing but its source's rows, at
     the promo-aware price."""
@@ -150,7 +156,8 @@ def mirror_rows(online_prices: DataFrame, stores: DataFrame) -> DataFrame:
 
 def mirror_prices(current: DataFrame, incoming: DataFrame, stores: DataFrame) -> DataFrame:
     """Current rows after the online rows in `incoming` were mirrored; a row
-    whose source is 'physical' stays as it is.
+    whose source is 'physical' stays as it is, and so does an earlier copy that
+    is newer than the incoming one, or as new and not dearer.
 
     `current` has unique (product, store); if a batch mirrors a key twice the
     newest wins, then the lower price.
@@ -164,7 +171,11 @@ def mirror_prices(current: DataFrame, incoming: DataFrame, stores: DataFrame) ->
     kept = current.select("product_id", "store_id", F.struct(*fields).alias("_old"))
     merged = kept.join(renamed, ["product_id", "store_id"], "full_outer")
     protected = F.col("_old").isNotNull() & F.col("_old.source").eqNullSafe("physical")
-    row = F.when(protected | F.col("_new").isNull(), F.col("_old")).otherwise(F.col("_new"))
+    seen = lambda side: F.coalesce(F.unix_micros(F.col(f"{side}.collected_at").cast("timestamp")), F.lit(-(2**62)))
+    late = F.coalesce(F.col("_old.source").startswith("mirror:"), F.lit(False)) & (
+        (seen("_old") > seen("_new")) | (seen("_old") == seen("_new")) & F.coalesce(F.col("_old.price") <= F.col("_new.price"), F.lit(False))
+    )
+    row = F.when(protected | F.col("_new").isNull() | late, F.col("_old")).otherwise(F.col("_new"))
     return merged.withColumn("_row", row).select("product_id", "store_id", *[F.col(f"_row.{f}").alias(f) for f in fields])
 
 

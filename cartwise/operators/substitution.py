@@ -11,6 +11,8 @@ multiplied with itself.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ from cartwise.functions import sizes, traits, vocab
 
 SHORTLIST = 8
 KEY = ["sub_code", "chain", "want_unit"]
-BIN = 0.41  # a little over ln(1.5), as the widest suggested limit is 50 percent
+WIDEST = max(limits[1] for limits in vocab.QUANTITY_LIMITS.values()) / 100  # of all suggested limits
+BIN = math.log1p(WIDEST) + 0.005  # a quantity in reach above is in the same or the next bin
+BELOW = math.ceil(-math.log1p(-WIDEST) / BIN)  # and one below at most so many bins down
 QTY = "decimal(12,3)"
 REASONS = ("missing_rule", "missing_candidate_quantity", "unit_mismatch", "unknown_unit", "outside_allowed_range")
 
@@ -173,13 +177,13 @@ def shape_pairs(shapes: DataFrame) -> DataFrame:
     whether the traits allow the pair.
 
     Quantities sit in logarithmic bins one widest limit wide, so a pair in
-    reach is in the same or an adjacent bin (two below, as half the quantity
-    is still within 50 percent). The pairs do not depend on the chain.
+    reach is in the same bin, the next one or one of the `BELOW` before. The
+    pairs do not depend on the chain.
     """
     sized = shapes.filter("shape.base_unit IS NOT NULL").withColumns({
         "sub_code": F.col("shape.sub_code"), "base_unit": F.col("shape.base_unit"), "_bin": _bin(F.col("shape.base_qty")),
     })
-    left = sized.select("sub_code", "base_unit", F.explode(F.sequence(F.col("_bin") - 2, F.col("_bin") + 1)).alias("_bin"),
+    left = sized.select("sub_code", "base_unit", F.explode(F.sequence(F.col("_bin") - BELOW, F.col("_bin") + 1)).alias("_bin"),
                         F.col("shape").alias("o"), F.col("shape_id").alias("o_shape"))
     right = sized.select("sub_code", "base_unit", "_bin", F.col("shape").alias("c"), F.col("shape_id").alias("c_shape"))
     pairs = left.join(right, ["sub_code", "base_unit", "_bin"])

@@ -94,7 +94,7 @@ def _by_price(t: Tables) -> DataFrame:
 @query("sl03_browse_by_price_desc", _browse_sql("min_price DESC NULLS LAST", 50, 0))
 def _by_price_desc(t: Tables) -> DataFrame:
     rows = C.browse_dedupe(_grouped(t)).join(_rollup(t), "dedup_key", "left")
-    return C.paginate(rows, C.browse_order("price_desc"), 200).select("id", "dedup_key", "min_price")
+    return C.paginate(rows, C.browse_order("price_desc"), 50).select("id", "dedup_key", "min_price")
 
 
 @query("sl04_pagination", "SELECT id, true AS has_more, CAST(70 AS BIGINT) AS next_offset FROM products ORDER BY name, id LIMIT 20 OFFSET 50")
@@ -187,11 +187,11 @@ def _tree(t: Tables) -> DataFrame:
 
 
 @query("jn01_resolve_names", """
-WITH k AS (SELECT DISTINCT lower(trim(substr(text, 1, 11))) AS match_key FROM documents UNION SELECT DISTINCT lower(p_name) FROM part UNION SELECT DISTINCT lower(p_brand) FROM part),
+WITH k AS (SELECT DISTINCT lower(trim(line)) AS match_key FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) d UNION SELECT DISTINCT lower(p_name) FROM part UNION SELECT DISTINCT lower(p_brand) FROM part),
 spoken AS (SELECT lower(p_name) AS s, p_partkey FROM part UNION ALL SELECT lower(p_brand), p_partkey FROM part WHERE p_partkey % 5 = 0)
 SELECT k.match_key, min(s.p_partkey) AS product_id FROM k LEFT JOIN spoken s ON s.s = k.match_key WHERE k.match_key <> '' GROUP BY 1""")
 def _resolve(t: Tables) -> DataFrame:
-    keys = t.documents.select(F.lower(F.trim(F.substring("text", 1, 11))).alias("match_key"))
+    keys = t.documents.select(F.explode(F.split("text", "\n")).alias("line")).select(F.lower(F.trim("line")).alias("match_key"))
     keys = keys.unionByName(t.part.select(F.lower("p_name").alias("match_key"))).unionByName(t.part.select(F.lower("p_brand").alias("match_key")))
     aliases = t.part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("alias"))
     found, missing = resolve_names(keys, t.products, aliases)

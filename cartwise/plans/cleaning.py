@@ -121,13 +121,13 @@ def _slug(t: Tables) -> DataFrame:
 
 
 @query("sf14_strip_own_brand", """
-SELECT row_no, CASE WHEN name LIKE 'Coop %' AND category IN ('ECONOMY', 'SMALL') AND split_part(ltrim(substr(name, 6)), ' ', 1) <> 'red' THEN substr(name, 6) ELSE name END AS name
-FROM (SELECT row_no, category, CASE WHEN row_no % 12 = 0 THEN concat('Coop bio ', row_no) ELSE name END AS name FROM scraped WHERE row_no % 12 <> 0) x""")
+SELECT row_no, CASE WHEN name LIKE 'Coop %' AND category IN ('ECONOMY', 'SMALL')
+    AND lower(split_part(ltrim(substr(name, 6)), ' ', 1)) NOT IN ('mahe', 'öko', 'eko', 'organic', 'bio') THEN substr(name, 6) ELSE name END AS name
+FROM (SELECT row_no, category, replace(name, 'Coop red', 'Coop mahe') AS name FROM scraped) x""")
 def _own_brand(t: Tables) -> DataFrame:
     path = F.when(F.col("category").isin("ECONOMY", "SMALL"), F.lit("/tooted/food-market/x")).otherwise(F.lit("/muu"))
-    name = F.when(F.col("name").startswith("Coop red"), F.replace("name", F.lit("Coop red"), F.lit("Coop öko"))).otherwise(F.col("name"))
-    kept = t.scraped.filter("row_no % 12 <> 0").withColumn("fixed", names.strip_own_brand(name, path))
-    return kept.select("row_no", F.replace("fixed", F.lit("Coop öko"), F.lit("Coop red")).alias("name"))
+    name = F.replace("name", F.lit("Coop red"), F.lit("Coop mahe"))
+    return t.scraped.select("row_no", names.strip_own_brand(name, path).alias("name"))
 
 
 def _replaced(column: str) -> str:

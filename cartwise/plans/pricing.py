@@ -68,13 +68,17 @@ def offers(t: Tables) -> DataFrame:
     return P.latest_prices_source_only(latest(t), t.stores, t.store_price_source)
 
 
+def sources(t: Tables) -> DataFrame:
+    return S.effective_source(t.stores, t.store_price_source)
+
+
 def near(t: Tables) -> DataFrame:
     return S.stores_within(t.basket_origins, t.stores, RADIUS_KM, None, "basket_id")
 
 
 def results(t: Tables) -> DataFrame:
     lines = t.baskets.select("basket_id", "product_id", "quantity")
-    return B.price_baskets(lines, near(t), offers(t), t.product_group_members)
+    return B.price_baskets(lines, near(t), P.source_offers(latest(t)), t.product_group_members, sources=sources(t))
 
 
 @query("ag01_latest_prices", f"""
@@ -301,10 +305,10 @@ SELECT b.basket_id, b.store_id, CAST(count(*) AS BIGINT) AS items, CAST(sum(l.pr
 FROM best b JOIN lines l ON l.basket_id = b.basket_id AND l.store_id = b.store_id GROUP BY b.basket_id, b.store_id""")
 def _snapshots(t: Tables) -> DataFrame:
     lines = t.baskets.select("basket_id", "product_id", "quantity")
-    reach, goods = near(t), offers(t)
-    priced = B.price_lines(lines, reach, goods, t.product_group_members)
-    found = B.price_baskets(lines, reach, goods, t.product_group_members)
+    goods, found = P.source_offers(latest(t)), results(t)
     best = B.saved_winner(found, lines.select("basket_id", F.lit(None).cast("bigint").alias("store_id")).distinct())
+    winners = near(t).join(best.select("basket_id", F.col("winner_store_id").alias("store_id")), ["basket_id", "store_id"], "left_semi")
+    priced = B.price_lines(lines, winners, goods, t.product_group_members, sources(t))
     headers, items = B.snapshot_baskets(priced, found, best)
     per_basket = items.groupBy("basket_id", "store_id").agg(F.count("*").alias("items"), F.sum("line_total").alias("item_total"))
     return per_basket.join(headers.select("basket_id", F.size("stores").cast("long").alias("stores_listed")), "basket_id")

@@ -16,14 +16,14 @@ from cartwise.sources.adapters import PRICE_AS_OF, Tables
 
 OLD_NEW = """
 old AS (SELECT ext_id, name, price FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY row_no) AS r FROM scraped WHERE row_no % 3 <> 0) x WHERE r = 1),
-new AS (SELECT ext_id, name, price + 1 AS price FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY row_no DESC) AS r FROM scraped WHERE row_no % 2 = 0) x WHERE r = 1)
+new AS (SELECT ext_id, name, price + 1 AS price FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY row_no DESC) AS r FROM scraped WHERE row_no % 2 = 0 OR row_no % 3 = 0) x WHERE r = 1)
 """
 
 
 def _old_new(t: Tables) -> tuple[DataFrame, DataFrame]:
     rows = t.scraped.select("ext_id", "name", "price", F.col("row_no").alias("arrival"))
     old = M.dedupe_batch(rows.filter("arrival % 3 <> 0"), "ext_id").drop("arrival")
-    new = M.dedupe_batch(rows.filter("arrival % 2 = 0"), "ext_id", keep="last").drop("arrival").withColumn("price", F.col("price") + 1)
+    new = M.dedupe_batch(rows.filter("arrival % 2 = 0 OR arrival % 3 = 0"), "ext_id", keep="last").drop("arrival").withColumn("price", F.col("price") + 1)
     return old, new
 
 
@@ -42,7 +42,7 @@ def _batch(t: Tables) -> DataFrame:
 
 COAL = """
 old AS (SELECT row_no, name, trim(brand) AS brand, size_text, price FROM scraped WHERE row_no % 3 <> 0),
-new AS (SELECT row_no, CASE WHEN row_no % 5 = 1 THEN NULL ELSE upper(name) END AS name, CASE WHEN row_no % 2 = 0 THEN '' ELSE brand_raw END AS brand, size_text, CASE WHEN row_no % 7 = 0 THEN NULL ELSE price * 2 END AS price FROM scraped WHERE row_no % 4 <> 1)
+new AS (SELECT row_no, CASE WHEN row_no % 5 = 1 THEN NULL ELSE upper(name) END AS name, CASE WHEN row_no % 2 = 0 THEN '' ELSE brand_raw END AS brand, size_text, CASE WHEN row_no % 7 = 0 THEN NULL ELSE price * 2 END AS price FROM scraped WHERE row_no % 4 <> 1 OR row_no % 3 = 0)
 """
 
 
@@ -51,7 +51,7 @@ WITH {COAL} SELECT coalesce(o.row_no, n.row_no) AS row_no, coalesce(n.name, o.na
 FROM old o FULL OUTER JOIN new n ON n.row_no = o.row_no""")
 def _coalesce(t: Tables) -> DataFrame:
     old = t.scraped.filter("row_no % 3 <> 0").select("row_no", "name", F.trim("brand").alias("brand"), "size_text", "price")
-    new = t.scraped.filter("row_no % 4 <> 1").select(
+    new = t.scraped.filter("row_no % 4 <> 1 OR row_no % 3 = 0").select(
         "row_no", F.when(F.col("row_no") % 5 != 1, F.upper("name")).alias("name"),
         F.when(F.col("row_no") % 2 == 0, "").otherwise(F.col("brand_raw")).alias("brand"), "size_text",
         F.when(F.col("row_no") % 7 != 0, F.col("price") * 2).alias("price"),
@@ -100,12 +100,12 @@ def _upsert(t: Tables) -> DataFrame:
 
 
 @query("me05_upsert_catalog", """
-WITH b AS (SELECT row_no, price, CASE WHEN row_no % 6 = 0 THEN price - 5 END AS promo_price, CASE WHEN row_no % 9 = 7 THEN ean_raw END AS ean FROM scraped WHERE row_no % 8 <> 0),
+WITH b AS (SELECT row_no, price, CASE WHEN row_no % 6 = 0 THEN price - 5 END AS promo_price, CASE WHEN row_no % 9 = 7 THEN ean_raw END AS ean FROM scraped),
 lnk AS (SELECT row_no, p_partkey - p_partkey % 2 AS product_id FROM scraped JOIN part ON p_partkey = row_no WHERE row_no % 4 <> 3),
 top AS (SELECT * FROM (SELECT l.product_id, b.*, row_number() OVER (PARTITION BY l.product_id ORDER BY b.price, concat('x', b.row_no)) AS r FROM b JOIN lnk l ON l.row_no = b.row_no WHERE b.price > 0) x WHERE r = 1)
 SELECT product_id, price, promo_price FROM top""")
 def _catalog(t: Tables) -> DataFrame:
-    batch = t.scraped.filter("row_no % 8 <> 0").select(
+    batch = t.scraped.select(
         F.concat(F.lit("x"), F.col("row_no")).alias("ext_id"), "price", F.when(F.col("row_no") % 6 == 0, F.col("price") - 5).alias("promo_price"),
         F.when(F.col("row_no") % 9 == 7, F.col("ean_raw")).alias("ean"), F.lit("").alias("image_url"),
     )
