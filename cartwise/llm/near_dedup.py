@@ -9,10 +9,11 @@
 3. The similarity of a candidate pair is estimated from the equal four-bit
    fields, corrected for chance collisions; pairs far below the threshold (6.5
    standard deviations) go, all others are confirmed on the full sets.
-4. A key that thousands share does not give all pairs. Its members are first
-   held against one hub, their smallest member; members already joined need no
-   more pairs. What remains apart within a key is compared exactly, signature
-   by signature in blocks of bounded size, and confirmed like the others.
+4. A key that thousands share does not give all pairs. Its members are held
+   against one hub, their smallest member; members already joined need no more
+   pairs. What remains apart within a key is compared in blocks of bounded
+   size: signatures first, then full sets, and a block returns no more links
+   than it has members.
 """
 
 from __future__ import annotations
@@ -127,31 +128,97 @@ def matching_fields(a: Column, b: Column) -> Column:
     return F.lit(MINIMA) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x)
 
 
-def _comparisons(percent: int):
-    """Pairs within a block that lie in different components, are of like size
-    and match in enough fields."""
+def _common(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(i, j, size of the intersection) for pairs of sorted sets: by a product
+    of incidence tables where these are small, else set by set."""
+    sizes = [len(x) for x in left], [len(x) for x in right]
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if len(both) * len(left) * len(right) > 2_000 * int(np.take(sizes[0], pairs[:, 0]).sum() + 1) or not len(both):
+        for i, j in pairs.tolist():
+            a, b = (left[i], right[j]) if sizes[0][i] <= sizes[1][j] else (right[j], left[i])
+            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            yield i, j, int((b[at] == a).sum())
+        return
+    total = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(both), 4096):
+        some = both[first : first + 4096]
+        tables = []
+        for side in (left, right):
+            found = np.zeros((len(side), len(some)), np.float32)
+            for row, values in enumerate(side):
+                found[row] = np.isin(some, values[np.searchsorted(values, some[0]) : np.searchsorted(values, some[-1], "right")], assume_unique=True)
+            tables.append(found)
+        total += tables[0] @ tables[1].T
+    for i, j in pairs.tolist():
+        yield i, j, int(total[i, j])
+
+
+def _compared(percent: int):
+    """Links within a block, between its left and right members or, if it has
+    no right ones, among the left ones; only such as join two parts."""
     least = _least_matches(percent)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("node").sort_values("node")
-        node, comp, size = (block[c].to_numpy() for c in ("node", "comp", "n_shingles"))
-        bits = np.stack(block["bits"].to_numpy()).astype(np.int64).view(np.uint64)
-        left, right = [], []
-        for at in range(0, len(node), 64):
-            x = bits[at : at + 64, None, :] ^ bits[None, :, :]
+        block = block.sort_values(["side", "node"], ignore_index=True)
+        sides = [block[block["side"] == s].reset_index(drop=True) for s in (0, 1)]
+        if not len(sides[1]):
+            sides[1] = sides[0]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        (n1, c1, s1, b1), (n2, c2, s2, b2) = (
+            (side["node"].to_numpy(), side["comp"].to_numpy(), side["n_shingles"].to_numpy(), np.stack(side["bits"].to_numpy()).view(np.uint64)) for side in sides
+        )
+        found = []
+        for at in range(0, len(n1), 64):
+            x = b1[at : at + 64, None, :] ^ b2[None, :, :]
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             matches = MINIMA - np.bitwise_count(x & np.uint64(FIELDS)).sum(axis=2, dtype=np.int64)
-            a, b = size[at : at + 64, None], size[None, :]
-            good = (matches >= least) & (comp[at : at + 64, None] != comp[None, :]) & (node[at : at + 64, None] < node[None, :])
-            good &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+            a, b = s1[at : at + 64, None], s2[None, :]
+            good = (matches >= least) & (c1[at : at + 64, None] != c2[None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            if sides[0] is sides[1]:
+                good &= n1[at : at + 64, None] < n2[None, :]
             i, j = np.nonzero(good)
-            left.append(node[at + i]), right.append(node[j])
-        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+            found.append(np.stack([i + at, j], axis=1))
+        pairs, links = np.concatenate(found), []
+        if len(pairs):
+            sets = [[x for x in side["shingles"]] for side in sides]
+            for i, j, both in _common(*sets, pairs):
+                if 100 * both >= percent * (s1[i] + s2[j] - both) and (one := root(c1[i])) != (two := root(c2[j])):
+                    parent[max(one, two)] = min(one, two)
+                    links.append((n1[i], n2[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """(block, node, side) for the members (key, members, node) of keys that
+    hold several components, so that any two members of a key meet.
+
+    A node belongs to the group of its largest key, so the many keys of one
+    family of copies give few groups. Two groups meet if a key has members of
+    both; large groups are cut into chunks of about BLOCK nodes.
+    """
+    own = mixed.groupBy("node").agg(F.max(F.struct("members", "key")).alias("_top")).select("node", F.col("_top.key").alias("g"))
+    sizes = own.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    own = own.join(sizes, "g").withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
+    here = mixed.select("key", "node").join(own.select("node", "g"), "node").select("key", "g").distinct()
+    meet = here.withColumnRenamed("g", "g1").join(here.withColumnRenamed("g", "g2"), "key").filter("g1 <= g2").select("g1", "g2").distinct()
+    for side in ("1", "2"):
+        meet = meet.join(sizes.select(F.col("g").alias(f"g{side}"), F.col("chunks").alias(f"n{side}")), f"g{side}")
+    meet = meet.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
+    meet = meet.filter("g1 <> g2 OR i <= j").withColumn("block", F.xxhash64("g1", "g2", "i", "j"))
+    place = lambda g, chunk, side: meet.select("block", F.col(g).alias("g"), F.col(chunk).alias("chunk"), F.lit(side).alias("side"))
+    sides = place("g1", "i", 0).unionByName(place("g2", "j", 1).join(meet.filter("g1 = g2 AND i = j").select("block"), "block", "left_anti"))
+    return sides.join(own.select("node", "g", "chunk"), ["g", "chunk"]).select("block", "node", "side")
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, comp) for the ends of all edges (a, b): the smallest node that
     can be reached. Every node is tied to the smallest of its neighbours in
@@ -206,13 +273,12 @@ class _Links:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Add the pairs (a, b) whose full sets reach the threshold."""
-        self.turn += 1
         near = pairs
         for side in ("a", "b"):
             near = near.join(self.nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
         smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         near = near.filter((100 * smaller >= self.percent * larger) & (matching_fields(F.col("bits_a"), F.col("bits_b")) >= _least_matches(self.percent)))
-        near = settle(near.select("a", "b"), self.folder, f"near-{self.turn}")
+        near = settle(near.select("a", "b"), self.folder, f"near-{self.turn + 1}")
         if self.labels is not None and near.isEmpty():
             return
         sets = near
@@ -220,6 +286,11 @@ class _Links:
             sets = sets.join(self.full.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         both = F.size(F.array_intersect("set_a", "set_b"))
         links = sets.filter(100 * both >= self.percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+        self.add(links)
+
+    def add(self, links: DataFrame) -> None:
+        """Add confirmed links (a, b) and find the components again."""
+        self.turn += 1
         self.edges = links if self.edges is None else self.edges.unionByName(links)
         self.edges = settle(self.edges, self.folder, f"edges-{self.turn}")
         self.labels = settle(components(self.edges, self.folder, f"comps-{self.turn}"), self.folder, f"labels-{self.turn}")
@@ -257,20 +328,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # each node with its smallest hub, then with the others it is still apart from
     links.confirm(shared.filter("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")))
     links.confirm(links.apart(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
-    # a second hub: the smallest member outside of the first one's component
-    placed = settle(links.comp(links.comp(shared.filter("members > 2"), "node", "comp"), "hub", "hub_comp"), folder, "placed")
-    second = placed.filter("comp <> hub_comp").groupBy("key").agg(F.min_by(F.struct("node", "comp"), "node").alias("second"))
-    pairs = placed.join(second, "key").filter("comp <> second.comp AND node <> hub")
-    links.confirm(pairs.select(F.least("node", "second.node").alias("a"), F.greatest("node", "second.node").alias("b")).distinct())
     # what is left apart within a key, all against all in blocks
     placed = links.comp(shared.filter("members > 2"), "node", "comp")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    left = placed.join(mixed, "key").join(nodes, "node")
-    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    left = left.withColumn("chunk", F.pmod(F.hash("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    left = left.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    rest = left.select("key", "i", "j", "node", "comp", "n_shingles", "bits").groupBy("key", "i", "j").applyInPandas(_comparisons(percent), "a long, b long")
-    links.confirm(rest.distinct())
+    several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    mixed = settle(placed.join(several, "key").select("key", "members", "node", "comp"), folder, "mixed")
+    if not mixed.isEmpty():
+        facts = mixed.select("node", "comp").distinct().join(nodes, "node").join(full, "node")
+        blocks = settle(_blocks(mixed), folder, "blocks").join(facts, "node")
+        links.add(blocks.groupBy("block").applyInPandas(_compared(percent), "a long, b long"))
 
     labels = links.labels.select(F.col("node").alias("_node"), "comp")
     reached = groups.join(labels, F.col("node") == F.col("_node"), "left").select(*key, F.coalesce("comp", "node").alias("component_id"))
