@@ -222,12 +222,21 @@ def _ip(t: Tables) -> DataFrame:
     return t.events.select("event_id", codes.ip_hash(F.concat(F.lit("10.0.0."), F.col("user_id"))).alias("h"))
 
 
-@query("sf31_device_key")
+# HMAC by its definition: the key "secret", padded to 64 bytes, with each byte xor 0x36 and 0x5c
+INNER, OUTER = "455355445342" + "36" * 58, "2f393f2e3928" + "5c" * 58
+
+
+@query("sf31_device_key", f"""
+SELECT event_id, CASE WHEN trim(coalesce(device_key, '')) <> '' THEN sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode(trim(device_key))))) END AS device_key
+FROM analytics_events""")
 def _device(t: Tables) -> DataFrame:
     return t.analytics_events.select("event_id", codes.device_key(F.col("device_key"), "secret").alias("device_key"))
 
 
-@query("sf43_owner_uuid")
+@query("sf43_owner_uuid", """
+SELECT c_custkey, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), concat('5', substr(h, 14, 3)),
+  concat(substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1), substr(h, 18, 3)), substr(h, 21, 12)) AS owner
+FROM (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat('grocery-user:', c_custkey))) AS h FROM customer) x""")
 def _owner(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", codes.owner_uuid(F.col("c_custkey").cast("string")).alias("owner"))
 

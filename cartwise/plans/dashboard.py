@@ -272,9 +272,12 @@ def _losses(t: Tables) -> DataFrame:
     return D.narrow_losses(_compare_log(t), CHAINS, unit=10000.0)
 
 
-@query("ss06_compare_events")
+@query("ss06_compare_events", f"""
+WITH {COMPARES} SELECT basket_id, 'basket_compare' AS event_type, cheapest_chain AS chain, CAST(cheapest_total AS BIGINT) AS cheapest_total, chains, {RADIUS_KM}::DOUBLE AS radius_km FROM compares""")
 def _compare_events(t: Tables) -> DataFrame:
-    return _compare_log(t).select("basket_id", "event_type", "chain", "payload")
+    field = lambda name, kind: F.get_json_object("payload", f"$.{name}").cast(kind).alias(name)
+    chains = F.size(F.from_json(F.get_json_object("payload", "$.chain_totals"), "map<string,long>")).cast("long").alias("chains")
+    return _compare_log(t).select("basket_id", "event_type", "chain", field("cheapest_total", "long"), chains, field("radius_km", "double"))
 
 
 @query("ag39_latency_report", """
