@@ -79,19 +79,19 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*flat)
 
 
-def positions(df: DataFrame, key: str, column: str = "position", rows: int = 100_000) -> DataFrame:
+def positions(df: DataFrame, key: str, column: str = "position", slices: int | None = None, rows: int = 100_000) -> DataFrame:
     """Zero-based position of every row in the order of a unique numeric key.
 
     A global `row_number()` would pull all rows into one task. Here the key
-    range is cut at approximate quantiles into slices of about `rows` rows;
+    range is cut at approximate quantiles into `slices`, else as many as give
+    about `rows` rows each;
     rows are numbered inside their slice and shifted by the number of rows in
     the slices before it. The cut points are fixed numbers before any row is
     dealt, so every branch and every rerun deals alike.
     """
-    total = df.count()
-    slices = max(1, min(4096, -(-total // rows)))
+    slices = slices or max(1, min(4096, -(-df.count() // rows)))
     share = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(F.col(key), share, slices * 4)).first()[0] if share and total else []
+    cuts = (df.agg(F.percentile_approx(F.col(key), share, slices * 4)).first()[0] or []) if share else []
     fixed = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{df.schema[key].dataType.simpleString()}>")
     sliced = df.withColumn("_slice", F.size(F.filter(fixed, lambda c: c < F.col(key))))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from conftest import rows
 from cartwise.common import positions
 from cartwise.operators import baskets as B
 from cartwise.operators import prices as P
+from cartwise.operators import recipes as R
 from cartwise.operators import stores as S
 
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
@@ -128,3 +129,37 @@ def test_positions_number_all_rows(spark):
     df = spark.range(0, 5000, 3).withColumnRenamed("id", "k")
     got = rows(positions(df, "k", "i", slices=16).select("k", "i"))
     assert sorted(i for _, i in got) == list(range(1667)) and all(k == 3 * i for k, i in got)
+
+
+def test_recipe_lines_count_for_every_chain(spark):
+    """A store of a chain without any priced ingredient has the lines too, so
+    its basket is incomplete."""
+    lines = spark.createDataFrame([(1, 10, 1)], "basket_id long, product_id long, quantity long")
+    near = spark.createDataFrame([(1, 1, "s", "A", 1.0), (1, 2, "t", "C", 2.0)], "basket_id long, store_id long, store_name string, chain string, distance_km double")
+    offers = spark.createDataFrame([(10, 1, 100), (10, 2, 1)], "product_id long, store_id long, price long")
+    members = spark.createDataFrame([], "group_id long, product_id long")
+    items = spark.createDataFrame([(1, "egg", "muna", 2)], "basket_id long, ingredient string, product string, quantity long")
+    per_chain = spark.createDataFrame([("egg", "a", 20)], "ingredient string, chain string, price long")
+    results = B.price_baskets(lines, near, offers, members, True, R.basket_recipe_lines(items, per_chain, near))
+    got = {r["store_id"]: (r["total_price"], r["lines_found"], r["required_lines"], r["not_found"]) for r in results.collect()}
+    assert got == {1: (140, 2, 2, []), 2: (1, 1, 2, ["muna"])}
+    assert [r["chain"] for r in B.chain_totals(results).collect()] == ["a"]
+
+
+def test_stores_that_share_a_source_share_its_prices(spark):
+    lines = spark.createDataFrame([(1, 10, 2), (1, 11, 1)], "basket_id long, product_id long, quantity long")
+    near = spark.createDataFrame([(1, s, f"s{s}", "A", float(s)) for s in (1, 2, 3)], "basket_id long, store_id long, store_name string, chain string, distance_km double")
+    offers = spark.createDataFrame([(10, 9, 5), (11, 9, 7), (10, 3, 1), (10, 1, 0)], "product_id long, store_id long, price long")
+    members = spark.createDataFrame([], "group_id long, product_id long")
+    sources = spark.createDataFrame([(1, 9), (2, 9), (3, 3)], "store_id long, source_store_id long")
+    got = {r["store_id"]: (r["total_price"], r["lines_found"]) for r in B.price_baskets(lines, near, offers, members, sources=sources).collect()}
+    assert got == {1: (17, 2), 2: (17, 2), 3: (None, 1)}
+
+
+def test_a_late_row_does_not_replace_a_newer_copy(spark):
+    shape = "product_id long, store_id long, price long, collected_at timestamp"
+    at = lambda day: datetime(2024, 1, day)
+    stores = spark.createDataFrame([(1, "A", True), (2, "A", False)], "id long, chain string, is_online boolean")
+    first = P.mirror_prices(spark.createDataFrame([], shape + ", source string"), spark.createDataFrame([(5, 1, 20, at(20))], shape), stores)
+    for price, day, want in ((10, 3, 20), (30, 20, 20), (15, 20, 15), (40, 21, 40)):
+        assert P.mirror_prices(first, spark.createDataFrame([(5, 1, price, at(day))], shape), stores).first()["price"] == want
