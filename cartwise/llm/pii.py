@@ -30,7 +30,9 @@ WINDOW, STRIDE, MARGIN = 64, 32, 24
 HIDDEN, EMBEDDED = 16, 16
 #: Stretches of each kind, and of no kind, that the model is trained on.
 EXAMPLES = 300
-EPOCHS, BATCH, RATE = 8, 64, 0.02
+#: Rewritten ones of each kind.
+REWRITTEN = 240
+EPOCHS, BATCH, RATE = 10, 48, 0.02
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -233,8 +235,8 @@ class Tagger:
 
     def train(self, ids: np.ndarray, tags: np.ndarray, seed: int = 11) -> None:
         random = np.random.default_rng(seed)
-        first, second, turn = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)), None, 0
-        m, v = first
+        m, v = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        turn = 0
         for epoch in range(EPOCHS):
             order = random.permutation(len(ids))
             rate = RATE * (1 - 0.9 * epoch / EPOCHS)
@@ -316,8 +318,9 @@ def _rewritten(text: str, kind: int, random: np.random.Generator) -> str:
 def _invented(kind: int, random: np.random.Generator) -> str:
     digits = "".join(str(x) for x in random.integers(0, 10, 16))
     if kind == 0:
-        letters = "".join(chr(97 + x) for x in random.integers(0, 26, 12))
-        return f"{letters[:5]}.{digits[:2]}@{letters[5:10]}.{letters[10:]}"
+        word = lambda low, high: "".join(chr(97 + x) for x in random.integers(0, 26, int(random.integers(low, high))))
+        name = word(2, 9) + ("", ".", "_", "-")[int(random.integers(4))] + (digits[:2], word(2, 8))[int(random.integers(2))]
+        return name + "@" + ".".join(word(3, 9) for _ in range(int(random.integers(1, 3)))) + "." + word(2, 4)
     if kind == 1:
         return ".".join(str(x) for x in random.integers(1, 256, 4))
     if kind == 2:
@@ -351,21 +354,23 @@ def fit(docs: DataFrame) -> Tagger:
     smallest hash over all documents, as they are and rewritten."""
     found = docs.select("text").mapInArrow(_examples, "kind int, stretch string, spans string").dropDuplicates(["stretch"])
     rows = top_n(found, "kind", EXAMPLES, F.xxhash64("stretch"), F.col("stretch")).collect()  # bounded: 1500 rows of 128 characters
-    random = np.random.default_rng(3)
-    rows = sorted((r["kind"], r["stretch"], r["spans"]) for r in rows)
-    quiet = [stretch for kind, stretch, _ in rows if kind == len(KINDS)] or ["the text around it, ", "und so weiter: "]
+    return learn([(r["kind"], r["stretch"], r["spans"]) for r in rows])
+
+
+def learn(rows: list[tuple[int, str, str]]) -> Tagger:
+    """A tagger from labelled stretches (kind, text, spans), and as many as
+    REWRITTEN more of each kind: spans of the rows or invented ones, rewritten,
+    in the surroundings that the rows have."""
+    random, rows = np.random.default_rng(3), sorted(rows)
+    around = [stretch for _, stretch, _ in rows] or ["the text around it, and so on", "und so weiter: der Text herum"]
     made = [(stretch, _parse(spans)) for _, stretch, spans in rows]
     for kind in range(len(KINDS)):
-        known = [(stretch, _parse(spans)[0]) for k, stretch, spans in rows if k == kind]
-        for turn in range(200):
-            if known:
-                stretch, (a, b, _) = known[turn % len(known)]
-                left, text, right = stretch[max(0, a - MARGIN) : a], stretch[a:b], stretch[b : b + MARGIN]
-            else:
-                around = quiet[turn % len(quiet)]
-                left, text, right = around[:MARGIN] + " ", _invented(kind, random), " " + around[-MARGIN:]
-            left, right = re.sub("[0-9@]", "e", left), re.sub("[0-9@]", "e", right)
-            text = _rewritten(text if turn % 2 else _invented(kind, random), kind, random) if known or turn % 2 else text
+        known = [stretch[a:b] for k, stretch, spans in rows if k == kind for a, b, _ in _parse(spans)[:1]]
+        for turn in range(REWRITTEN):
+            text = known[turn // 3 % len(known)] if known and turn % 3 == 0 else _invented(kind, random)
+            text = _rewritten(text, kind, random) if turn % 4 else text
+            left, right = (re.sub("[0-9@+]", "e", around[int(random.integers(len(around)))]) for _ in range(2))
+            left, right = left[-int(random.integers(8, 2 * MARGIN)) :] + " ", " " + right[: int(random.integers(8, 2 * MARGIN))]
             made.append((left + text + right, [(len(left), len(left) + len(text), kind)]))
     ids, tags = [], []
     for text, spans in made:
