@@ -201,11 +201,15 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     """(block, node, side) for the members (key, members, node) of keys that
     hold several components, so that any two members of a key meet.
 
-    A node belongs to the group of its largest key, so the many keys of one
-    family of copies give few groups. Two groups meet if a key has members of
-    both; large groups are cut into chunks of about BLOCK nodes.
+    A node first belongs to its largest key, then to the largest of the groups
+    so formed that it shares a key with; so a family of copies, whose keys are
+    many, gives one large group and few others. Two groups meet if a key has
+    members of both; large groups are cut into chunks of about BLOCK nodes.
     """
     own = mixed.groupBy("node").agg(F.max(F.struct("members", "key")).alias("_top")).select("node", F.col("_top.key").alias("g"))
+    named = own.join(own.groupBy("g").agg(F.count("*").alias("size")), "g").select("node", F.struct("size", "g").alias("_group"))
+    tops = mixed.select("key", "node").join(named, "node").groupBy("key").agg(F.max("_group").alias("_group"))
+    own = mixed.select("key", "node").join(tops, "key").groupBy("node").agg(F.max("_group").alias("_group")).select("node", F.col("_group.g").alias("g"))
     sizes = own.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     own = own.join(sizes, "g").withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
     here = mixed.select("key", "node").join(own.select("node", "g"), "node").select("key", "g").distinct()
