@@ -153,7 +153,8 @@ SELECT min(p_partkey) AS id, p_name AS canonical_name, p_brand AS brand,
 FROM part GROUP BY p_name, p_type, p_brand
 """
 VIEWS["shelf_prices"] = """
-SELECT product_id, store_id, price, promo_price, seen_at, price_id FROM prices WHERE seen_at > TIMESTAMP '2000-11-05 00:00:00'
+SELECT product_id, (SELECT min(s_suppkey) FROM supplier) + (product_id * 7 + store_id % 3) % (SELECT count(*) FROM supplier) AS store_id,
+       price, promo_price, seen_at, price_id FROM prices
 """
 
 _WORD = re.compile(r"\b[a-z_]+\b")
