@@ -5,31 +5,38 @@ nodes on the same side of a few planes are compared with each other, several
 times over. NN-descent then improves it: around each node its neighbours, and
 those that have it as a neighbour, are compared with one another, as a
 neighbour of a neighbour is likely to be one; this is a join of the graph with
-itself in each round, and ends when few edges change. The graph is built on
-vectors rounded to 8 bits.
+itself in each round, and ends when few edges change. Distances are exact, and
+nodes at equal distance are taken in the order of a hash. The lists of nodes
+that lie near each other are compared in one task, which needs the vector of a
+node once for all its lists.
 
 A query starts at its own node and always follows the nearest nodes not yet
 followed, all queries of a block together, one join a round, until its nearest
-`pool` nodes have been followed. These distances are exact.
+`pool` nodes have been followed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwise.common import top_n
 from cartwise.llm.registry import query
-from cartwise.llm.shared import own_folder, settle, table
+from cartwise.llm.shared import forget, own_folder, settle, table
 
 NEIGHBOURS, REVERSE = 20, 20
 TREES, LEAF = 12, 128
-ROUNDS, SETTLED = 5, 0.02
+#: Share of new edges below which the graph is left as it is.
+SETTLED = 0.02
+#: Nodes whose lists are compared in one task, and bytes of the vectors that they can need.
+CELL, CELL_BYTES = 1024, 64 << 20
 POOL, STEP = 400, 100
 #: Queries searched together; their vectors are broadcast (8 MB at 256 dimensions).
 BLOCK = 4096
@@ -47,81 +54,118 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("vector") == (length["length"] if length else 0))
 
 
-def _coded(largest: float, planes: np.ndarray):
-    """Rounded vector and the leaf of each tree."""
+def _coded(width: str, planes: np.ndarray):
+    """Vector as bytes of the type `width`, and the leaf of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1)
             x = values.flatten().to_numpy().reshape(len(values), -1)
-            codes = np.clip(np.rint(x * (127 / largest)), -127, 127).astype(np.int8)
             bits = np.einsum("nd,tbd->ntb", x, planes) > 0
             leaves = (bits << np.arange(planes.shape[1])).sum(axis=2).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, leaves.size + 1, leaves.shape[1], dtype=np.int32)), pa.array(leaves.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), lists], names=["node", "code", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in x.astype(width)], pa.binary()), lists], names=["node", "code", "leaves"])
 
     return run
 
 
-def _distances(codes: np.ndarray) -> np.ndarray:
-    """Squared distances between rounded vectors."""
-    x = codes.astype(np.float32)
+def _vectors(codes, width: str) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), width).reshape(len(codes), -1).astype(np.float64)
+
+
+def _distances(x: np.ndarray) -> np.ndarray:
+    """Squared distances. Where the difference of squares would lose digits,
+    as between near copies, components are subtracted first."""
     squares = (x * x).sum(axis=1)
-    return squares[:, None] + squares[None, :] - 2 * (x @ x.T)
+    sums = squares[:, None] + squares[None, :]
+    d = sums - 2 * (x @ x.T)
+    i, j = np.nonzero(~(d > 1e-8 * sums))
+    for at in range(0, len(i), 8192):
+        apart = x[i[at : at + 8192]] - x[j[at : at + 8192]]
+        d[i[at : at + 8192], j[at : at + 8192]] = (apart * apart).sum(axis=1)
+    return d
+
+
+def _in_leaf(width: str):
+    def run(leaf: pd.DataFrame) -> pd.DataFrame:
+        node = leaf["node"].to_numpy()
+        d = _distances(_vectors(leaf["code"].tolist(), width))
+        np.fill_diagonal(d, np.inf)
+        size = min(NEIGHBOURS // 2, len(node) - 1)
+        near = np.argpartition(d, size - 1, axis=1)[:, :size] if size else np.empty((len(node), 0), int)
+        return pd.DataFrame({"a": np.repeat(node, near.shape[1]), "b": node[near].ravel(), "d": np.take_along_axis(d, near, axis=1).ravel()})
 
+    return run
 
-def _in_leaf(leaf: pd.DataFrame) -> pd.DataFrame:
-    node = leaf["node"].to_numpy()
-    d = _distances(np.stack([np.frombuffer(c, np.int8) for c in leaf["code"]]))
-    np.fill_diagonal(d, np.inf)
-    size = min(NEIGHBOURS // 2, len(node) - 1)
-    near = np.argpartition(d, size - 1, axis=1)[:, :size] if size else np.empty((len(node), 0), int)
-    return pd.DataFrame({"a": np.repeat(node, near.shape[1]), "b": node[near].ravel(), "d": np.take_along_axis(d, near, axis=1).ravel()})
 
+def _local_join(width: str):
+    """Pairs around each node of a cell that would improve one of the two; of
+    two old neighbours of it nothing new can be learnt."""
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs around each node that would improve one of the two; of two old
-    neighbours of it nothing new can be learnt."""
-    for batch in batches:
+    def run(lists: pa.Table, known: pa.Table) -> pa.Table:
+        node, worst = known["node"].to_numpy(), known["worst"].to_numpy()
+        x = _vectors(known["code"].to_pylist(), width) if len(node) else None
+        order = np.argsort(node)
+        around = lists["around"].combine_chunks()
+        ends, items = around.offsets.to_numpy(), around.values
+        place = order[np.searchsorted(node, items.field("node").to_numpy(), sorter=order)] if len(node) else None
+        fresh = items.field("fresh").to_numpy(zero_copy_only=False)
         a, b, d = [], [], []
-        for around in batch.column(1):
-            items = around.values
-            node, code = items.field("node").to_numpy(), items.field("code")
-            fresh, worst = items.field("fresh").to_numpy(zero_copy_only=False), items.field("worst").to_numpy()
-            if len(node) < 2 or not fresh.any():
-                continue
-            near = _distances(np.frombuffer(b"".join(code.to_pylist()), np.int8).reshape(len(node), -1))
-            i, j = np.nonzero((fresh[:, None] | fresh[None, :]) & (near < worst[:, None]) & (node[:, None] != node[None, :]))
-            a.append(node[i]), b.append(node[j]), d.append(near[i, j])
-        columns = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((a, np.int64), (b, np.int64), (d, np.float32))]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.float64))], names=["a", "b", "d"])
-
-
-def build_graph(nodes: DataFrame, folder: str) -> DataFrame:
+        for start, stop in zip(ends[:-1], ends[1:]):
+            own, new = place[start:stop], fresh[start:stop]
+            near = _distances(x[own])
+            i, j = np.nonzero((new[:, None] | new[None, :]) & (near < worst[own][:, None]) & ~np.eye(len(own), dtype=bool))
+            a.append(own[i]), b.append(own[j]), d.append(near[i, j])
+        a, b, d = (np.concatenate(v) if v else np.empty(0, t) for v, t in ((a, np.int64), (b, np.int64), (d, np.float64)))
+        _, one = np.unique(a * len(node) + b, return_index=True)
+        one = one[np.lexsort((d[one], a[one]))]
+        # NEIGHBOURS of these at most are known already, so that as many new ones are left
+        one = one[np.arange(len(one)) - np.searchsorted(a[one], a[one]) < 2 * NEIGHBOURS]
+        return pa.table({"a": node[a[one]], "b": node[b[one]], "d": d[one]})
+
+    return run
+
+
+def _closest(edges: DataFrame, key: str, n: int) -> DataFrame:
+    """The n shortest edges at each node; of equally long ones no node is preferred everywhere."""
+    return top_n(edges, key, n, F.col("d"), F.xxhash64("a", "b"), F.col("a"), F.col("b"))
+
+
+def build_graph(nodes: DataFrame, folder: str, width: str = "<f8") -> DataFrame:
     """(a, b, d): about NEIGHBOURS near nodes b of each node a, for nodes
-    (node, vector)."""
-    spark = nodes.sparkSession
-    seen = nodes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("largest"), F.max(F.size("vector")).alias("size")).first()
+    (node, vector), whose components the numpy type `width` can hold."""
+    seen = nodes.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size")).first()
     n, size = seen["n"], seen["size"] or 1
     bits = max(1, int(np.log2(max(2, n / LEAF))))
     planes = np.random.default_rng(5).normal(size=(TREES, bits, size))
-    coded = settle(nodes.select("node", "vector").mapInArrow(_coded(seen["largest"] or 1.0, planes), "node long, code binary, leaves array<long>"), folder, "coded")
+    coded = settle(nodes.select("node", "vector").mapInArrow(_coded(width, planes), "node long, code binary, leaves array<long>"), folder, "coded")
     placed = coded.select("node", "code", F.posexplode("leaves").alias("tree", "leaf"))
     counts = placed.groupBy("tree", "leaf").count()  # a crowded leaf is dealt out at random
     placed = placed.join(counts, ["tree", "leaf"]).withColumn("slot", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("count") / (2 * LEAF))))
-    first = placed.select("tree", "leaf", "slot", "node", "code").groupBy("tree", "leaf", "slot").applyInPandas(_in_leaf, "a long, b long, d double")
-    graph = top_n(first.groupBy("a", "b").agg(F.min("d").alias("d")), "a", NEIGHBOURS, F.col("d"), F.col("b")).withColumn("fresh", F.lit(True))
+    first = placed.select("tree", "leaf", "slot", "node", "code").groupBy("tree", "leaf", "slot").applyInPandas(_in_leaf(width), "a long, b long, d double")
+    graph = _closest(first.groupBy("a", "b").agg(F.min("d").alias("d")), "a", NEIGHBOURS).withColumn("fresh", F.lit(True))
     graph = settle(graph, folder, "graph-0")
-    for turn in range(1, ROUNDS + 1):
+    # cells: the sides of the first planes of a tree, as many as leave about `cell` nodes
+    cell = min(CELL, max(64, CELL_BYTES // ((NEIGHBOURS + REVERSE) * size * np.dtype(width).itemsize)))
+    sides = 1 << max(0, min(bits, int(np.log2(max(1, n / cell)))))
+    homes = coded.select("node", F.pmod(F.col("leaves")[0], F.lit(sides)).alias("side"))
+    homes = homes.join(homes.groupBy("side").count(), "side").select(
+        F.col("node").alias("v"), F.shiftleft("side", 32).bitwiseOR(F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / (2 * cell)))).alias("cell")
+    )
+    homes = settle(homes, folder, "homes")
+    for turn in count(1):
         back = top_n(graph, "b", REVERSE, F.desc("fresh"), F.xxhash64("a", "b", F.lit(turn)), F.col("a"))
         around = graph.select(F.col("a").alias("v"), F.col("b").alias("node"), "fresh").unionByName(back.select(F.col("b").alias("v"), F.col("a").alias("node"), "fresh"))
         around = around.groupBy("v", "node").agg(F.max("fresh").alias("fresh"))
+        lists = around.groupBy("v").agg(F.collect_list(F.struct("node", "fresh")).alias("around")).filter(F.exists("around", lambda x: x["fresh"]))  # NEIGHBOURS + REVERSE at most
+        lists = settle(lists.join(homes, "v").select("cell", "around"), folder, f"lists-{turn}")
         worst = graph.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= NEIGHBOURS, F.max("d")).otherwise(float("inf")).alias("worst"))
         known = coded.select("node", "code").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
-        lists = around.join(known, "node").groupBy("v").agg(F.collect_list(F.struct("node", "code", "fresh", "worst")).alias("around"))  # NEIGHBOURS + REVERSE at most
-        new = lists.mapInArrow(_local_join, "a long, b long, d double").withColumn("fresh", F.lit(True))
+        known = lists.select(F.col("cell").alias("for"), F.explode("around.node").alias("node")).distinct().join(known, "node").select("for", "node", "code", "worst")
+        new = lists.groupBy("cell").cogroup(known.groupBy("for")).applyInArrow(_local_join(width), "a long, b long, d double").withColumn("fresh", F.lit(True))
         both = graph.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-        graph = settle(top_n(both, "a", NEIGHBOURS, F.col("d"), F.col("b")), folder, f"graph-{turn}")
+        graph = settle(_closest(both, "a", NEIGHBOURS), folder, f"graph-{turn}")
+        forget(nodes.sparkSession, folder, f"graph-{turn - 1}"), forget(nodes.sparkSession, folder, f"lists-{turn}")
         changed = graph.agg(F.avg(F.col("fresh").cast("double"))).first()[0]
         if changed is None or changed < SETTLED:
             break
@@ -189,8 +233,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = POO
     members = top_n(rows, "vector", k + 1, F.col("vec_id"))
     members = members.groupBy("vector").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("members"))
     nodes = settle(members.select("node", "vector", "members"), folder, "nodes")
-    graph = build_graph(nodes, folder)
-    back = top_n(graph, "b", REVERSE, F.col("d"), F.col("a"))
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    graph = build_graph(nodes, folder, "<f4" if single else "<f8")
+    back = _closest(graph, "b", REVERSE)
     both = graph.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(back.select(F.col("b").alias("node"), F.col("a").alias("other")))
     links = settle(both.groupBy("node").agg(F.collect_set("other").alias("near")), folder, "links")  # NEIGHBOURS + REVERSE at most
     asking = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").join(nodes.select("node", "vector"), "vector")

@@ -167,6 +167,24 @@ def test_nearest_neighbours(spark):
     assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 0), key=lambda r: r["rank"])] == list(range(700, 710))
 
 
+@pytest.mark.parametrize("case", ["outlier", "copies"])
+def test_neighbours_of_near_rows_are_found(spark, case):
+    """One vector 1000 times longer than the rest, or a third of the rows as
+    jittered copies of one."""
+    made = np.random.default_rng(8)
+    x = made.normal(size=(4_800, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if case == "outlier":
+        x[4_799] *= 1000
+    else:
+        x[::3] = x[0] + 1e-4 * made.normal(size=x[::3].shape)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    asked = range(0, 4_799, 96)
+    got = neighbours.nearest(df, df.filter("vec_id % 96 = 0 AND vec_id < 4799"), pool=40).collect()
+    want = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in asked}
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) / (10 * len(asked)) >= 0.9
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, [4.0, 2.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(df, df.filter("vec_id = 0")).collect()]
