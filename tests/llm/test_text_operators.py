@@ -216,6 +216,21 @@ def test_peeling_counts_what_differs(spark):
         assert r["d"] == len(set(r["digests"]) ^ set(r["other"]))
 
 
+@pytest.mark.parametrize("lines", [1, 12])
+def test_an_insertion_changes_only_what_it_touches(spark, lines):
+    pick = random.Random(11)
+    rows = []
+    for i in range(30):
+        made = [" ".join("".join(pick.choices("abcdefghijklm", k=pick.randint(2, 9))) for _ in range(360 // lines)) for _ in range(lines)]
+        text = "\n".join(made)
+        cut = text.index(" ", len(text) // 10)
+        rows += [(text, "ab" + text), (text, f"{text[:cut]} word{text[cut:]}"), (text, text[:cut] + text[text.index(" ", cut + 1) :])]
+    one, two = (sketches.paragraphs(sketches.F.col(c)).alias(c) for c in ("one", "two"))
+    df = spark.createDataFrame(rows, "one string, two string").select(one, two)
+    got = [r[0] for r in df.select(sketches.likeness(sketches.F.col("one"), sketches.F.col("two"))).collect()]
+    assert min(got) >= 0.75 and sum(got) / len(got) >= 0.9
+
+
 def test_fingerprints_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(2, "b"), (None, "n"), (2, "b"), (9, "z")], "doc_id long, text string")
     assert len(sketches.edited_pairs(df).collect()) == 4
