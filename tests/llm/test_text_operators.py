@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -231,6 +232,15 @@ def test_an_insertion_changes_only_what_it_touches(spark, lines):
     assert min(got) >= 0.75 and sum(got) / len(got) >= 0.9
 
 
+def test_texts_of_many_lines_are_compared_in_linear_time(spark):
+    lines = [f"{i:x}" for i in range(20_000)]
+    df = spark.createDataFrame([("\n".join(lines), "\n".join(x + "z" * (i % 2) for i, x in enumerate(lines)))], "one string, two string")
+    df = df.select(*(sketches.paragraphs(sketches.F.col(c)).alias(c) for c in ("one", "two")))
+    began = time.monotonic()
+    got = df.select("one.digests", sketches.F.col("two.digests").alias("other"), sketches.differing(sketches.F.col("one"), sketches.F.col("two")).alias("d")).first()
+    assert got["d"] == len(set(got["digests"]) ^ set(got["other"])) > 10_000 and time.monotonic() - began < 60
+
+
 def test_fingerprints_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(2, "b"), (None, "n"), (2, "b"), (9, "z")], "doc_id long, text string")
     assert len(sketches.edited_pairs(df).collect()) == 4
