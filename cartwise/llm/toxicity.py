@@ -5,14 +5,24 @@ allowed: a subsequence that spans s letters weighs DECAY ** s, up to a span of
 SPAN. The start of a word counts as a letter; digits and signs within a word
 are passed over, and letters that stand alone are joined, so that "i-d-i-o-t",
 "i d i o t" and "idxiot" stay close to "idiot". The kernel is mapped to a few
-dozen dimensions by Nystroem landmarks, and a squared-hinge machine is trained
-there. As the kernel is a product of subsequence weights, landmarks and machine
-fold into one table of 32**3 weights, and a text is scored by table look-ups.
-
-Labels belong to documents, so the machine is trained on sentences with latent
-words: a sentence stands for its worst word; all sentences of clean documents
-are negative, the worst one of each toxic document is positive, and words and
-machine are found in turns. The document's score is that of its worst sentence.
+hundred dimensions by Nystroem landmarks, and a squared-hinge machine is
+trained there. As the kernel is a product of subsequence weights, landmarks and
+machine fold into one table of 32**3 weights, and a text is scored by look-ups.
+
+Labels belong to documents: a sentence has the label of its document, and which
+of its words are to blame isn't known. So every word takes part on both sides,
+with the share of toxic and of clean documents that hold it. Words of both
+kinds alike then get about 0, and only such that toxic documents prefer get far
+above; what single words are too rare to tell, words with common subsequences
+tell together. Landmarks are words whose preference is the most significant,
+and others by hash. Some words of the first kind also enter with one letter put
+in.
+
+A document's evidence is what its words have above LEAST, added up and divided
+by a power of their number, as a long text has more words that are high by
+chance. Its curve to a likelihood is fitted on documents that the machine
+behind it didn't see: each of FOLDS machines is trained without a part of the
+rows, and scores that part.
 """
 
 from __future__ import annotations
@@ -20,6 +30,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.common import let
 from cartwise.llm.registry import query
 from cartwise.llm.shared import own_folder, settle, table
 
@@ -34,9 +46,15 @@ LETTERS = 32
 DECAY, SPAN = 0.7, 5
 #: (distance of the second and of the third letter from the first)
 GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-#: Bounds of what the machine is fitted on: labelled rows, and words of each class.
-MAX_ROWS, MAX_WORDS, LANDMARKS = 10_000, 2_000, 160
-TURNS = 2
+#: Bounds of what the machine is fitted on: labelled rows, and their words: those
+#: that toxic documents prefer most significantly, and the most frequent others.
+MAX_ROWS, MAX_PREFERRED, MAX_OTHERS, LANDMARKS = 10_000, 4_000, 8_000, 600
+#: Preferred words that enter with a letter put in, and their weight.
+INSERTED, INSERTED_WEIGHT = 200, 0.1
+PENALTY = 1e-4
+FOLDS = 5
+#: Score from which a word is evidence, and the power of the number of words.
+LEAST, POWER = 0.45, 0.75
 
 _ENDS = np.array([ord(c) for c in ".!?\n"], np.uint32)
 
@@ -136,114 +154,130 @@ def features(words: list[str]) -> np.ndarray:
 
 def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel of words (rows) with landmarks, given as rows of `features`."""
-    out = [features(words[at : at + 256]) @ landmarks.T for at in range(0, len(words), 256)]
-    return np.concatenate(out).astype(np.float64) if out else np.zeros((0, len(landmarks)))
-
-
-def train(good: dict[str, float], bad: dict[str, float]) -> tuple[np.ndarray, float]:
-    """Table of weights and offset, from words of clean and of toxic sentences
-    and how often they stand for one."""
-    order = lambda of: [w for w, _ in sorted(of.items(), key=lambda x: (-x[1], x[0]))]
-    positive, negative = order(bad), order(good)
-    half = LANDMARKS // 2
-    chosen = positive[:half] + negative[: LANDMARKS - min(half, len(positive))]
+    table, out = np.ascontiguousarray(landmarks.T), np.zeros((len(words), len(landmarks)))
+    for first in range(0, len(words), 128):
+        letters, starts = _unspell(words[first : first + 128])
+        norms, places, numbers, weights = _norms(starts, len(letters)), [], [], []
+        for at, number, weight in _triples(letters):
+            places.append(at), numbers.append(number), weights.append(np.full(len(at), weight, np.float32))
+        if places and len(np.concatenate(places)):
+            at, number, weight = (np.concatenate(x) for x in (places, numbers, weights))
+            owner = np.searchsorted(starts, at, side="right") - 1
+            order = np.argsort(owner, kind="stable")
+            owner, number, weight = owner[order], number[order], weight[order]
+            begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            out[first + owner[begins]] = np.add.reduceat(table[number] * weight[:, None], begins, axis=0)
+        out[first : first + len(norms)] /= norms[:, None]
+    return out
+
+
+def embed(words: list[str], chosen: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Nystroem features of words, and the matrix that leads from weights of
+    these features to weights of subsequences."""
     marks = features(chosen)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    x = kernel(positive + negative, marks) @ root
+    return kernel(words, marks) @ root, marks.T @ root
+
+
+def machine(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Weights of the features and an offset, by Newton steps on the squared
+    hinge: each row of `x` is toxic and clean as often as the weights say, and
+    both classes weigh alike."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    times = np.array([bad[w] for w in positive] + [good[w] for w in negative])
-    cost = np.log1p(times)
-    for side in (y > 0, y < 0):  # both classes weigh alike
-        cost[side] *= 0.5 / cost[side].sum()
-    cost *= 2_000
-    penalty = np.eye(x.shape[1])
-    penalty[-1, -1] = 1e-6
+    toxic, clean = toxic / max(toxic.sum(), 1), clean / max(clean.sum(), 1)
+    penalty = PENALTY * np.eye(x.shape[1])
+    penalty[-1, -1] *= 1e-6
     w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps on the squared hinge
-        live = y * (x @ w) < 1
-        rows, c = x[live], cost[live][:, None]
-        new = np.linalg.solve(penalty + rows.T @ (c * rows), rows.T @ (c[:, 0] * y[live]))
-        if np.allclose(new, w, atol=1e-8):
-            break
+    for _ in range(30):
+        scores = x @ w
+        up, down = toxic * (scores < 1), clean * (scores > -1)
+        new = np.linalg.solve(penalty + x.T @ ((up + down)[:, None] * x), x.T @ (up - down))
+        done = np.allclose(new, w, atol=1e-7)
         w = new
-    return (marks.T @ (root @ w[:-1])).astype(np.float64), float(w[-1])
+        if done:
+            break
+    return w
+
+
+def with_letter(words: list[str]) -> list[str]:
+    """Each word with one letter put in, after a place and with a letter that
+    its own hash chooses."""
+    out = []
+    for w in words:
+        number = crc32(w.encode())
+        at = 1 + number % max(1, len(w) - 1)
+        out.append(w[:at] + chr(97 + number // 64 % 26) + w[at:])
+    return out
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, clean): documents of each class that hold a word."""
+    """(word, fold, toxic, clean): documents of each class and fold that hold a word."""
     for batch in batches:
-        counts = {0: Counter(), 1: Counter()}
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        counts = {(fold, toxic): Counter() for fold in range(FOLDS) for toxic in (0, 1)}
+        for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
             letters = symbols(text or "")[0]
             data = "".join(chr(96 + x) for x in letters.tolist())
-            counts[toxic].update(set(data[1:].split("`")) if data else ())
-        words = list({*counts[0], *counts[1]})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())],
-            names=["word", "toxic", "clean"],
-        )
+            counts[fold, toxic].update(set(data[1:].split("`")) if data else ())
+        for fold in range(FOLDS):
+            words = list({*counts[fold, 0], *counts[fold, 1]})
+            columns = [pa.array(words, pa.string()), pa.array([fold] * len(words), pa.int32())]
+            columns += [pa.array([counts[fold, toxic][w] for w in words], pa.int64()) for toxic in (1, 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "fold", "toxic", "clean"])
 
 
-def _worst_words(weights):
-    """(word, toxic, clean, score): the words that sentences stand for."""
+def evidence(text: str, weights: np.ndarray, offset: float) -> tuple[float, float] | None:
+    """What a text's words have above LEAST, and the highest score among them;
+    nothing for a text without letters."""
+    scores = word_scores(text, weights)[0]
+    if not len(scores):
+        return None
+    scores = scores + offset
+    return float(np.log(1e-3 + np.maximum(scores - LEAST, 0).sum() / len(scores) ** POWER)), float(np.clip(scores.max(), -1, 2))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, best = {0: Counter(), 1: Counter()}, {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                scores, letters, starts, sentences = word_scores(text or "", weights.value)
-                order = np.lexsort((scores, sentences))
-                last = order[np.append(sentences[order][1:] != sentences[order][:-1], True)] if len(order) else order
-                stops = np.append(starts[1:], len(letters))
-                if toxic:
-                    last = last[[scores[last].argmax()]] if len(last) else last
-                found = [(float(scores[i]), _spell(letters[starts[i] + 1 : stops[i]])) for i in last.tolist()]
-                for score, word in found:
-                    counts[toxic][word] += 1
-                    best[word] = score
-            words = list(best)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (1, 0)), pa.array([best[w] for w in words], pa.float64())],
-                names=["word", "toxic", "clean", "score"],
-            )
-
-    return run
 
-
-def _margins(weights):
-    """The worst word's score of each text."""
+def _evidence(shared):
+    """Evidence of each text, by the machine that didn't see its fold, or by
+    the last one for rows without a fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = shared.value
         for batch in batches:
-            tops = [float(s.max()) if len(s := word_scores(text or "", weights.value)[0]) else None for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tops, pa.float64())], names=["doc_id", "top"])
+            fold = batch.column(2).to_pylist()
+            found = [evidence(text or "", *machines[-1 if f is None else f]) for text, f in zip(batch.column(1).to_pylist(), fold)]
+            columns = [pa.array([None if f is None else f[k] for f in found], pa.float64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "sum", "top"])
 
     return run
 
 
-def _platt(tops: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of scores: by Newton steps with
-    smoothed targets, classes as they are."""
+def _curve(found: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Slopes and offset of the logistic curve of evidence: by Newton steps
+    with smoothed targets, classes as they are."""
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     target = np.where(toxic == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([tops, np.ones(len(tops))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
+    x = np.hstack([found, np.ones((len(found), 1))])
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * w)
-        w = w - step
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w)), x.T @ (p - target) + 1e-2 * w)
+        w = w - step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 class Model:
-    """Table of subsequence weights, and the curve from score to likelihood."""
+    """Table of subsequence weights, its offset, and the curve from evidence to
+    likelihood."""
+
+    def __init__(self, weights: np.ndarray | None, offset: float = 0.0, curve: tuple[float, ...] = (0.0, 0.0, 0.0)) -> None:
+        self.weights, self.offset, self.curve = weights, offset, curve
 
-    def __init__(self, weights: np.ndarray | None, slope: float = 0.0, offset: float = 0.0) -> None:
-        self.weights, self.slope, self.offset = weights, slope, offset
+    def likelihood(self, total: Column, top: Column) -> Column:
+        """0 for texts without letters."""
+        x = F.lit(self.curve[0]) * total + F.lit(self.curve[1]) * top + F.lit(self.curve[2])
+        return F.coalesce(1 / (1 + F.exp(-x)), F.lit(0.0))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -258,38 +292,48 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     folder = own_folder(spark, "toxicity")
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so it can be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id")
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")  # copies of a text stay together
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", fold, "toxic")
     rows = settle(rows, folder, "rows")
-    counts = rows.select("text", "toxic").mapInArrow(_word_counts, "word string, toxic long, clean long")
-    sums = settle(counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), folder, "words")
     total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(total) < 2:
         return Model(None)
-    ratio = total[1] / total[0]
-    # documents of either class that hold the word, as seen and as expected; longest first where nothing else tells
-    odds = F.log((F.col("toxic") + 0.5) / ((F.col("clean") + 0.5) * ratio))
-    suspect = sums.filter((F.length("word") > 1) & (F.col("toxic") >= 2) & (odds > 2)).orderBy(F.desc(odds * F.sqrt("toxic")), "word").limit(MAX_WORDS // 4)
-    plain = sums.filter((F.length("word") > 1) & (odds < 1) & (F.col("clean") > 0)).orderBy(F.xxhash64("word")).limit(MAX_WORDS)
-    bad = {r["word"]: float(r["toxic"]) for r in suspect.collect()}
-    good = {r["word"]: float(r["clean"]) for r in plain.collect()}
-    if not bad or not good:
+    counts = rows.select("text", "toxic", "fold").mapInArrow(_word_counts, "word string, fold int, toxic long, clean long")
+    of = lambda side, f: F.sum(F.when(F.col("fold") == f, F.col(side)).otherwise(0)).alias(f"{side}{f}")
+    sides = ("toxic", "clean")
+    counts = counts.groupBy("word").agg(*(F.sum(side).alias(side) for side in sides), *(of(side, f) for side in sides for f in range(FOLDS)))
+    counts = settle(counts, folder, "words")
+    words = counts.filter((F.length("word") > 1) & (F.col("toxic") + F.col("clean") > 1))
+    sums = words.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    if not sums["toxic"] or not sums["clean"]:
         return Model(None)
-    first = bad
-    weights, _ = train(good, bad)
-    for turn in range(TURNS):
-        shared = spark.sparkContext.broadcast(weights)
-        worst = rows.select("text", "toxic").mapInArrow(_worst_words(shared), "word string, toxic long, clean long, score double")
-        worst = worst.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("score").alias("score"))
-        worst = settle(worst, folder, f"worst-{turn}")
-        bad = first | {r["word"]: float(r["toxic"]) for r in worst.filter("toxic > 0 AND clean = 0").orderBy(F.desc("toxic"), "word").limit(MAX_WORDS).collect()}
-        hard = {r["word"]: float(r["clean"]) for r in worst.filter("clean > 0").orderBy(F.desc("score"), "word").limit(MAX_WORDS).collect()}
-        good = {w: n for w, n in (good | hard).items() if w not in bad}
-        good = dict(sorted(good.items(), key=lambda x: (x[0] not in hard, x[0]))[: 2 * MAX_WORDS])
-        weights, _ = train(good, bad)
-    shared = spark.sparkContext.broadcast(weights)
-    tops = rows.select("doc_id", "text").mapInArrow(_margins(shared), "doc_id long, top double").join(F.broadcast(chosen), "doc_id")
-    seen = tops.filter("top IS NOT NULL").select("top", "toxic").toPandas()  # at most max_rows
-    return Model(weights, *_platt(seen["top"].to_numpy(), seen["toxic"].to_numpy().astype(float)))
+    # toxic documents that hold the word, as seen and as expected, in standard deviations
+    share = sums["toxic"] / (sums["toxic"] + sums["clean"])
+    expected = (F.col("toxic") + F.col("clean")) * share
+    words = words.withColumn("preference", (F.col("toxic") - expected) / F.sqrt(expected * (1 - share)))
+    preferred = words.orderBy(F.desc("preference"), "word").limit(MAX_PREFERRED)
+    others = words.orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(MAX_PREFERRED + MAX_OTHERS)
+    table_ = {r["word"]: r for r in preferred.collect()}  # at most MAX_PREFERRED, and those MAX_OTHERS more
+    first = list(table_)
+    for r in others.collect():
+        if len(table_) < MAX_PREFERRED + MAX_OTHERS:
+            table_.setdefault(r["word"], r)
+    spelled = list(table_)
+    rest = sorted(spelled[LANDMARKS // 2 :], key=lambda w: crc32(w.encode()))
+    near = [w for w in first[:INSERTED] if len(w) > 3 and table_[w]["preference"] > 3]
+    x, back = embed(spelled + with_letter(near), spelled[: LANDMARKS // 2] + rest[: LANDMARKS // 2])
+    machines = []
+    place = {w: i for i, w in enumerate(spelled)}
+    for without in (*range(FOLDS), None):
+        seen = {side: np.array([table_[w][side] - (0 if without is None else table_[w][f"{side}{without}"]) for w in spelled], float) for side in sides}
+        varied = np.array([seen["toxic"][place[w]] * INSERTED_WEIGHT for w in near])
+        w = machine(x, np.append(seen["toxic"], varied), np.append(seen["clean"], np.zeros(len(near))))
+        machines.append((back @ w[:-1], float(w[-1])))
+    shared = spark.sparkContext.broadcast(machines)
+    found = rows.select("doc_id", "text", "fold").mapInArrow(_evidence(shared), "doc_id long, sum double, top double")
+    found = found.join(F.broadcast(chosen), "doc_id").filter("top IS NOT NULL").select("sum", "top", "toxic").toPandas()  # about max_rows
+    curve = _curve(found[["sum", "top"]].to_numpy(), found["toxic"].to_numpy().astype(float))
+    return Model(*machines[-1], tuple(float(c) for c in curve))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -297,25 +341,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     one without letters, scores 0; null doc_ids and repeated rows stay."""
     if model.weights is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
-    tops = docs.select("doc_id", "text").mapInArrow(_margins(shared), "doc_id long, top double")
-    x = F.lit(model.slope) * F.col("top") + model.offset
-    return tops.select("doc_id", F.when(F.col("top").isNull(), F.lit(0.0)).otherwise(1 / (1 + F.exp(-x))).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast([(model.weights, model.offset)])
+    rows = docs.select("doc_id", "text", F.lit(None).cast("int").alias("fold"))
+    found = rows.mapInArrow(_evidence(shared), "doc_id long, sum double, top double")
+    return found.select("doc_id", model.likelihood(F.col("sum"), F.col("top")).alias("score"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` whose score is below 0.5, with all their columns."""
     if model.weights is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.offset))
 
-    @F.pandas_udf("double")
-    def top(texts: pd.Series) -> pd.Series:
-        found = (word_scores(text, shared.value)[0] if isinstance(text, str) else () for text in texts)
-        return pd.Series([float(s.max()) if len(s) else None for s in found], dtype="float64")
+    @F.pandas_udf("sum double, top double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        values = [(evidence(text, *shared.value) if isinstance(text, str) else None) or (None, None) for text in texts]
+        return pd.DataFrame(values, columns=["sum", "top"], dtype="float64")
 
-    x = F.lit(model.slope) * top("text") + model.offset
-    return docs.filter(~F.coalesce(1 / (1 + F.exp(-x)) >= 0.5, F.lit(False)))
+    return docs.filter(let(found("text"), lambda f: model.likelihood(f["sum"], f["top"])) < 0.5)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

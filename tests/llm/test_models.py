@@ -130,6 +130,14 @@ def test_held_out_documents_are_told_apart(labelled):
     assert len(rows) > 80 and np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.93
 
 
+def test_toxicity_of_real_labels(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "predicted", "toxic").toPandas()
+    toxic, places = rows["toxic"] == 1, rows["score"].rank()
+    area = (places[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert area >= 0.95 and rows["predicted"][toxic].mean() >= 0.8 and 1 - rows["predicted"][~toxic].mean() >= 0.97
+
+
 def test_toxicity_edges(spark, labelled):
     docs, labels = labelled
     odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "é" * 50_000)], "doc_id long, text string")
