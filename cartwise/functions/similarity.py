@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from cartwise.common import let
 
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the words of a text, each word padded with two
+
+def ordered_trigrams(text: Column) -> Column:
+    """Trigrams of the words of a text as they stand, each word padded with two
     spaces before and one after."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     per_word = F.transform(
         padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: w.substr(i, F.lit(3)))
     )
-    return F.array_distinct(F.flatten(per_word))
+    return F.flatten(per_word)
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams of a text."""
+    return F.array_distinct(ordered_trigrams(text))
 
 
 def set_similarity(left: Column, right: Column) -> Column:
@@ -33,49 +36,22 @@ def trigram_similarity(left: Column, right: Column) -> Column:
     return set_similarity(trigrams(left), trigrams(right))
 
 
-_WORD = re.compile(r"[^\W_]+")
+def word_similarity(query: Column, text: Column) -> Column:
+    """Highest similarity between the trigram set of the query and any run of
+    consecutive trigrams of the text. A best run starts and ends on a shared
+    trigram, so only those are tried."""
 
+    def best(wanted: Column, every: Column) -> Column:
+        spots = F.filter(F.transform(every, lambda g, i: F.when(F.array_contains(wanted, g), i)), lambda i: i.isNotNull())
 
-def _ordered(text: str | None) -> list[str]:
-    grams: list[str] = []
-    for word in _WORD.findall((text or "").lower()):
-        padded = f"  {word} "
-        grams += [padded[i : i + 3] for i in range(len(padded) - 2)]
-    return grams
+        def score(run: Column) -> Column:
+            return let(F.size(F.array_intersect(run, wanted)), lambda shared: shared / (F.size(wanted) + F.size(F.array_distinct(run)) - shared))
 
+        def from_(spots_: Column) -> Column:
+            run = lambda i, j: F.slice(every, i + 1, j - i + 1)
+            return F.array_max(F.transform(spots_, lambda i: F.array_max(F.transform(F.filter(spots_, lambda j: j >= i), lambda j: score(run(i, j))))))
 
-def best_extent(query: str | None, text: str | None) -> float:
-    """Highest similarity between the trigram set of the query and any run of
-    consecutive trigrams of the text. A best run starts and ends on a shared
-    trigram, so only those are tried."""
-    wanted = set(_ordered(query))
-    grams = _ordered(text)
-    spots = [i for i, g in enumerate(grams) if g in wanted]
-    best = 0.0
-    for first in spots:
-        seen: set[str] = set()
-        shared = 0
-        for i in range(first, spots[-1] + 1):
-            gram = grams[i]
-            if gram not in seen:
-                seen.add(gram)
-                shared += gram in wanted
-            if gram in wanted:
-                best = max(best, shared / (len(wanted) + len(seen) - shared))
-    return best
-
-
-@F.pandas_udf(DoubleType())
-def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    """Vectorised `best_extent`; repeated pairs of a batch are scored once."""
-    pairs = pd.DataFrame({"q": query, "t": text})
-    distinct = pairs.drop_duplicates()
-    scores = {(q, t): best_extent(q, t) for q, t in zip(distinct["q"], distinct["t"])}
-    return pd.Series([scores[(q, t)] for q, t in zip(pairs["q"], pairs["t"])], index=query.index)
-
-
-def with_word_similarity(df: DataFrame, query: str, text: str, column: str = "similarity") -> DataFrame:
-    """Add the word similarity of two columns. Distinct pairs are scored in
-    Python and joined back, so repeated names cost one call each."""
-    scored = df.select(query, text).distinct().withColumn(column, word_similarity(F.col(query), F.col(text)))
-    return df.join(scored, [query, text], "left")
+        return let(spots, from_)
+
+    both = F.struct(trigrams(query).alias("wanted"), ordered_trigrams(text).alias("every"))
+    return F.coalesce(let(both, lambda b: best(b["wanted"], b["every"])), F.lit(0.0))

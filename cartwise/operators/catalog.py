@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from cartwise.common import blank_to_null, fresh, pick_first, settled, top_n
 from cartwise.functions import vocab
 from cartwise.functions.names import canonical_name, contains_any, produce_family, unaccent
-from cartwise.functions.similarity import set_similarity, trigrams, with_word_similarity
+from cartwise.functions.similarity import set_similarity, trigrams, word_similarity
 from cartwise.functions.sizes import parse_quantity, size_in_name
 from cartwise.operators.prices import dedup_key, effective_price
+from cartwise.operators.textsearch import find_inside, shared_grams
 
 MAX_PAGE = 50  # Fixed value: page size limit
 NAME_MATCH = 0.55  # Fixed value: similarity of a good name match
@@ -143,10 +144,8 @@ def token_search_join(queries: DataFrame, grouped: DataFrame) -> DataFrame:
     """Many searches at once; `queries` has query_id and q.
 
     A word may stand anywhere inside a text, so an equality join on words would
-    lose hits. The join runs on trigrams instead: a word of three letters or
-    more can only occur in a text that holds its first trigram, and a two-letter
-    word only in one that holds its bigram. Distinct texts are indexed once,
-    the words are checked after the join, and a text counts when all words do.
+    lose hits; distinct words are looked up in distinct texts by their rarest
+    gram, and a text counts when all words do.
     """
     words_of = F.array_sort(F.array_distinct(query_tokens(F.col("q"))))
     asked = queries.select("query_id", words_of.alias("_words")).filter(F.size("_words") > 0)
@@ -154,12 +153,7 @@ def token_search_join(queries: DataFrame, grouped: DataFrame) -> DataFrame:
     words = wanted.select("_words", F.explode("_words").alias("word"))
     both = F.concat_ws("\n", F.coalesce("search_text", F.lit("")), F.coalesce("group_search_text", F.lit("")))
     texts = grouped.select(both.alias("text")).distinct()
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("text")), lambda i: F.array(F.col("text").substr(i, F.lit(2)), F.col("text").substr(i, F.lit(3)))
-    )))
-    index = texts.filter(F.length("text") > 0).withColumn("_gram", F.explode(grams))
-    distinct_words = words.select("word").distinct().withColumn("_gram", F.substring("word", 1, 3))
-    held = distinct_words.join(index, "_gram").filter(F.col("text").contains(F.col("word"))).select("word", "text")
+    held = find_inside(words, texts)
     full = words.join(held, "word").groupBy("_words", "text").agg(F.count("*").alias("_hits")).filter(F.col("_hits") == F.size("_words"))
     hits = full.select("_words", "text").join(grouped.withColumn("text", both), "text").drop("text")
     return asked.join(hits, "_words").drop("_words")
@@ -180,8 +174,8 @@ def category_of(names: DataFrame, grouped: DataFrame) -> DataFrame:
     """Category of each named product: equal product name, equal curated name,
     then a name that contains it, then the lowest id.
 
-    Exact hits are one equi-join; only names without one go through the
-    containment join, which runs behind the same trigram index as a search.
+    Exact hits are one equi-join; only names without one are looked up inside
+    the texts, behind the same index as a search.
     """
     coded = grouped.withColumn("code", effective_sub_code()).filter("code IS NOT NULL")
     wanted = names.select("product_name").distinct()
@@ -195,11 +189,8 @@ def category_of(names: DataFrame, grouped: DataFrame) -> DataFrame:
     texts = coded.select(F.lower("name").alias("text"), "id", "code").unionByName(
         coded.filter("canonical_name IS NOT NULL").select(F.lower("canonical_name").alias("text"), "id", "code")
     ).groupBy("text").agg(F.min(F.struct("id", "code")).alias("_best"))
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("text")), lambda i: F.array(*[F.col("text").substr(i, F.lit(n)) for n in (1, 2, 3)])
-    )))
-    index = texts.filter(F.length("text") > 0).withColumn("_gram", F.explode(grams))
-    inside = rest.withColumn("_gram", F.substring("_key", 1, 3)).join(index, "_gram").filter(F.col("text").contains(F.col("_key")))
+    held = find_inside(rest.select(F.col("_key").alias("word")), texts, (1, 2, 3))
+    inside = rest.join(held, F.col("_key") == F.col("word")).join(texts, "text")
     found = inside.groupBy("product_name").agg(F.min("_best").alias("_best")).select("product_name", F.col("_best.code").alias("sub_code"))
     return exact.unionByName(found)
 
@@ -214,13 +205,23 @@ def _families(name: Column, canonical: Column, code: Column) -> Column:
     return F.when(code.isin(*vocab.FAMILY_FILTER_CATEGORIES), F.concat(F.array(F.lit("")), own)).otherwise(F.array(F.lit("")))
 
 
-def similar_names(wanted: DataFrame, shown: DataFrame) -> DataFrame:
-    """Word similarity above zero of distinct names of the same category. Only
-    names that share a trigram meet; all other pairs are zero."""
-    left = wanted.select("code", "wanted").distinct().withColumn("_gram", F.explode(trigrams(F.col("wanted"))))
-    right = shown.select("code", "shown").distinct().withColumn("_gram", F.explode(trigrams(F.col("shown"))))
-    pairs = left.join(right, ["code", "_gram"]).select("code", "wanted", "shown").distinct()
-    return with_word_similarity(pairs, "wanted", "shown", "similarity").filter("similarity > 0")
+def similar_names(kinds: DataFrame, stocked: DataFrame, shelf: list[str], limit: int) -> DataFrame:
+    """(shelf, wanted, shown, similarity) of names above zero that can be among
+    the first `limit` dedup keys of their shelf for a wanted name.
+
+    Names that share a trigram meet. What `limit` keys of the shelf reach at
+    least, by the lower bounds of their names, a name must be able to reach by
+    its upper bound; only such names are scored.
+    """
+    met = shared_grams(kinds, stocked, "code")
+    key = [*shelf, "wanted"]
+    placed = kinds.join(met, ["code", "wanted"]).join(stocked.select(*shelf, "shown", "dedup_key"), [*shelf, "shown"])
+    placed = settled(placed.select(*key, "shown", "dedup_key", "upper", "lower"))
+    sure = placed.groupBy(*key, "dedup_key").agg(F.max("lower").alias("lower"))
+    sure = top_n(sure, key, limit, F.desc("lower"), F.col("dedup_key")).groupBy(*key).agg(F.min("lower").alias("_least"), F.count("*").alias("_n"))
+    able = placed.join(sure, key).filter((F.col("_n") < limit) | (F.col("upper") >= F.col("_least"))).select(*key, "shown").distinct()
+    scored = able.select("wanted", "shown").distinct().withColumn("similarity", word_similarity(F.col("wanted"), F.col("shown")))
+    return able.join(scored, ["wanted", "shown"]).filter("similarity > 0")
 
 
 def alternatives(
@@ -231,8 +232,8 @@ def alternatives(
 
     Prices come from the store's effective source, newest first. Categories
     with produce families keep the family of the wanted name only. The order is
-    similarity, price, name. Goods with a similarity come from the names that
-    share a trigram; the cheapest goods of the shelf, one row for each dedup
+    similarity, price, name. Goods with a similarity come from `similar_names`;
+    the cheapest goods of the shelf, one row for each dedup
     key, fill up what is left, and twice the limit of them is enough, as fewer
     than the limit can be similar when there is something to fill.
     """
@@ -254,8 +255,7 @@ def alternatives(
     stocked = offers.join(goods, "id").groupBy(*shelf, "dedup_key", "shown").agg(F.min(F.struct("price", "id", "name")).alias("_best"))
     stocked = settled(stocked.select(*shelf, "dedup_key", "shown", "_best.*"))
     kinds = asked.select(*shelf, "wanted").distinct()
-    scored = similar_names(asked, stocked)
-    alike = kinds.join(scored, ["code", "wanted"]).join(stocked, [*shelf, "shown"])
+    alike = similar_names(kinds, stocked, shelf, limit).join(stocked, [*shelf, "shown"])
     whole = stocked.groupBy(*shelf, "dedup_key").agg(F.min(F.struct("price", "id", "name")).alias("_best")).select(*shelf, "dedup_key", "_best.*")
     cheap = top_n(whole, shelf, 2 * limit, F.col("price").asc(), F.col("name").asc(), F.col("id").asc())
     filler = kinds.join(cheap, shelf).withColumn("similarity", F.lit(0.0))

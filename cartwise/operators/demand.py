@@ -235,18 +235,28 @@ def fill_rate(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count(column).alias("filled"))
 
 
-def attribute_chain(events: DataFrame, prices: DataFrame, stores: DataFrame) -> DataFrame:
-    """Adds without a chain get the chain of the product's lowest price; chains
+def chain_of_lowest(lowest: DataFrame, stores: DataFrame) -> DataFrame:
+    """product_id, chain of rows that have the store of a product's lowest price."""
+    shops = stores.select(F.col("id").alias("store_id"), F.lower("chain").alias("chain"))
+    return lowest.select("product_id", "store_id").join(shops, "store_id").select("product_id", "chain")
+
+
+def fill_chain(events: DataFrame, lowest: DataFrame) -> DataFrame:
+    """Adds without a chain get the one of `lowest` (product_id, chain); chains
     become lower case."""
-    shops = stores.select(F.col("id").alias("store_id"), F.lower("chain").alias("_chain"))
-    best = prices.filter(F.col("price").isNotNull()).groupBy("product_id").agg(F.min(F.struct("price", "store_id")).alias("_b"))
-    lowest = best.select("product_id", F.col("_b.store_id").alias("store_id")).join(shops, "store_id").select("product_id", F.col("_chain"))
     fill = is_kind("basket_add") & blank_to_null("chain").isNull()
-    return events.join(lowest, "product_id", "left").withColumn(
+    return events.join(lowest.withColumnRenamed("chain", "_chain"), "product_id", "left").withColumn(
         "chain", F.when(fill, F.col("_chain")).otherwise(F.lower(blank_to_null("chain")))
     ).drop("_chain")
 
 
+def attribute_chain(events: DataFrame, prices: DataFrame, stores: DataFrame) -> DataFrame:
+    """Adds without a chain get the chain of the product's lowest price; chains
+    become lower case."""
+    best = prices.filter(F.col("price").isNotNull()).groupBy("product_id").agg(F.min(F.struct("price", "store_id")).alias("_b"))
+    return fill_chain(events, chain_of_lowest(best.select("product_id", F.col("_b.store_id").alias("store_id")), stores))
+
+
 COMPARE_PAYLOAD = T.StructType([
     T.StructField("cheapest_chain", T.StringType()),
     T.StructField("cheapest_total", T.DoubleType()),

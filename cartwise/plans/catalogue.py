@@ -9,6 +9,7 @@ from cartwise.functions import codes, names, similarity
 from cartwise.operators import catalog as C
 from cartwise.operators import prices as P
 from cartwise.operators import stores as S
+from cartwise.operators import textsearch as X
 from cartwise.operators.baskets import resolve_names
 from cartwise.plans.registry import query
 from cartwise.sources.adapters import PRICE_AS_OF, Tables
@@ -148,7 +149,38 @@ def _category_of(t: Tables) -> DataFrame:
     return C.category_of(whole.unionByName(last), _grouped(t))
 
 
-@query("sl06_alternatives")
+def _grams_sql(text: str) -> str:
+    """Trigrams of a text in their order, as the checking database says it."""
+    words = f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3))))"
+
+
+#: Similarity of the gram set `a` to the best of all runs of the grams `b`.
+BEST_RUN = """coalesce(list_max(flatten(list_transform(range(1, len(b) + 1), lambda i: list_transform(range(i, len(b) + 1), lambda j:
+  CAST(len(list_intersect(a, b[i:j])) AS DOUBLE) / (len(a) + len(list_distinct(b[i:j])) - len(list_intersect(a, b[i:j]))))))), 0)"""
+
+
+@query("sl06_alternatives", f"""
+WITH {GROUPED},
+source AS (SELECT s.id AS store_id, coalesce(m.source_store_id, s.id) AS source_store_id FROM stores s
+  LEFT JOIN (SELECT store_id, min(source_store_id) AS source_store_id FROM store_price_source GROUP BY store_id) m ON m.store_id = s.id),
+named AS (SELECT b.basket_id AS request_id, p.name AS product_name, b.basket_id % 100 AS store_id FROM baskets b JOIN products p ON p.id = b.product_id),
+coded AS (SELECT *, coalesce(nullif(trim(group_sub_code), ''), nullif(trim(sub_code), '')) AS code FROM grouped),
+category AS (SELECT product_name, code FROM (
+  SELECT w.product_name, g.code, row_number() OVER (PARTITION BY w.product_name ORDER BY CASE WHEN lower(g.name) = lower(trim(w.product_name)) THEN 0 WHEN lower(g.canonical_name) = lower(trim(w.product_name)) THEN 1 ELSE 2 END, g.id) AS r
+  FROM (SELECT DISTINCT product_name FROM named) w JOIN coded g ON g.code IS NOT NULL AND (contains(lower(g.name), lower(trim(w.product_name))) OR contains(lower(g.canonical_name), lower(trim(w.product_name))))) x WHERE r = 1),
+asked AS (SELECT n.*, c.code, s.source_store_id, lower(trim(n.product_name)) AS wanted FROM named n JOIN category c USING (product_name) JOIN source s USING (store_id)),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, store_id ORDER BY collected_at DESC, price_id DESC) AS r FROM prices
+  WHERE price > 0 AND collected_at > TIMESTAMP '{PRICE_AS_OF}' - INTERVAL 365 DAY) x WHERE r = 1),
+stocked AS (SELECT l.store_id AS source_store_id, coalesce(nullif(trim(g.group_sub_code), ''), g.sub_code) AS code, g.dedup_key, lower(coalesce(nullif(trim(g.canonical_name), ''), g.name, '')) AS shown,
+  CASE WHEN l.promo_price <> 0 THEN l.promo_price ELSE l.price END AS price, g.id, g.name FROM latest l JOIN grouped g ON g.id = l.product_id),
+kinds AS (SELECT DISTINCT source_store_id, code, wanted FROM asked),
+met AS (SELECT k.wanted, s.* FROM kinds k JOIN stocked s USING (source_store_id, code)),
+scored AS (SELECT wanted, shown, {BEST_RUN} AS similarity FROM (SELECT wanted, shown, list_distinct({_grams_sql("wanted")}) AS a, {_grams_sql("shown")} AS b FROM (SELECT DISTINCT wanted, shown FROM met) m) g),
+once AS (SELECT * FROM (SELECT m.*, z.similarity, row_number() OVER (PARTITION BY source_store_id, code, m.wanted, dedup_key ORDER BY similarity DESC, price, id) AS r FROM met m JOIN scored z ON z.wanted = m.wanted AND z.shown = m.shown) x WHERE r = 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_store_id, code, wanted ORDER BY similarity DESC, price, name, id) AS position FROM once) x WHERE position <= 6)
+SELECT a.request_id, a.store_id, b.id, b.dedup_key, a.code AS sub_code, b.similarity, b.price, CAST(b.position AS INTEGER) AS position
+FROM asked a JOIN best b ON b.source_store_id = a.source_store_id AND b.code = a.code AND b.wanted = a.wanted""")
 def _alternatives(t: Tables) -> DataFrame:
     source = S.effective_source(t.stores, t.store_price_source)
     requests = t.baskets.join(t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name")), "product_id").select(
@@ -496,11 +528,14 @@ def _favourites(t: Tables) -> DataFrame:
     return rows.select("user_id", "product_id", "name", "min_price")
 
 
-@query("sf16_word_similarity")
+@query("sf16_word_similarity", f"""
+WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS wanted, p_type AS kind FROM part), n AS (SELECT DISTINCT p_name AS shown, p_type AS kind FROM part),
+g AS (SELECT wanted, shown, kind, list_distinct({_grams_sql("wanted")}) AS a, {_grams_sql("shown")} AS b FROM w JOIN n USING (kind))
+SELECT wanted, shown, kind, round(similarity, 9) AS similarity FROM (SELECT *, {BEST_RUN} AS similarity FROM g) x WHERE similarity >= 0.3""")
 def _word_similarity(t: Tables) -> DataFrame:
-    wanted = t.part.select(F.get(F.split("p_name", " "), F.lit(1)).alias("wanted"), F.col("p_type").alias("kind")).distinct()
-    shown = t.part.select(F.col("p_name").alias("shown"), F.col("p_type").alias("kind")).distinct()
-    return similarity.with_word_similarity(wanted.join(shown, "kind"), "wanted", "shown").withColumn("similarity", F.round("similarity", 9))
+    wanted = t.part.select(F.get(F.split("p_name", " "), F.lit(1)).alias("wanted"), F.col("p_type").alias("kind"))
+    shown = t.part.select(F.col("p_name").alias("shown"), F.col("p_type").alias("kind"))
+    return X.similar_pairs(wanted, shown, "kind", 0.3).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("sf15_trigram_similarity", """

@@ -9,14 +9,14 @@ from datetime import datetime, timedelta
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from words import best_extent
 
-from cartwise.functions import similarity, web
+from cartwise.functions import web
 from cartwise.functions.names import unaccent
 from cartwise.operators import catalog as C
 from cartwise.operators import demand as D
 from cartwise.operators import recipes as R
 from cartwise.sources import files
-from cartwise.streaming import jobs as J
 
 T0 = datetime(2024, 1, 1)
 
@@ -80,7 +80,7 @@ def test_alternatives_equal_brute_force(spark):
             f = facts[p]
             if code(f) != category or (fam and not any(s in f["name"].lower() or s in (f["canonical_name"] or "").lower() for s in stems[fam])):
                 continue
-            row = (-similarity.best_extent(query, shown(f).lower().translate(plain)), price, p, f["name"])
+            row = (-best_extent(query, shown(f).lower().translate(plain)), price, p, f["name"])
             best[f["dedup_key"]] = min(best.get(f["dedup_key"], row), row)
         for n, (sim, price, p, _) in enumerate(sorted(best.values(), key=lambda r: (r[0], r[1], r[3], r[2]))[:4], 1):
             want[rid, n] = (p, round(-sim, 9), price)
@@ -190,22 +190,3 @@ def test_files(spark, tmp_path):
     listed = lambda *lines: spark.createDataFrame([(line,) for line in lines], "line string")
     assert rows(files.apply_skip_only(rows_, listed("https://x/p/1#z", "3"), None).select("ext_id")) == [("2",)]
     assert rows(files.apply_skip_only(rows_, None, listed("https://x/c?q", "2")).select("ext_id")) == [("2",), ("3",)]
-
-
-def test_price_stream_equals_batch_over_many_files(spark, tmp_path):
-    rng = random.Random(1)
-    schema = "product_id long, store_id long, price long, seen_at timestamp"
-    feed = [(rng.randint(1, 5), rng.randint(1, 2), rng.randint(1, 9), T0 + timedelta(hours=rng.randint(0, 20))) for _ in range(120)]
-    for i in range(4):
-        spark.createDataFrame(feed[i * 30 : i * 30 + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = J.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
-    roots = {k: str(tmp_path / k) for k in ("current", "history", "state")}
-    running = J.price_feed(stream, roots["current"], roots["history"], roots["state"], stream.schema).trigger(availableNow=True).start()
-    running.awaitTermination()
-    last = J.last_version(spark, roots["current"], stream.schema)
-    want = {}
-    for p, s, price, at in feed:
-        want[p, s] = min(want.get((p, s), (T0 - at, price)), (T0 - at, price))
-    assert {(r[0], r[1]): r[2] for r in last.collect()} == {k: v[1] for k, v in want.items()}
-    assert running.lastProgress["batchId"] == 3
-    assert spark.read.parquet(roots["history"]).count() == 120  # late rows are kept

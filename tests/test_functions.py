@@ -10,8 +10,10 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from words import best_extent
 
 from cartwise.functions import codes, geo, money, names, similarity, sizes, traits, vocab
+from cartwise.operators import textsearch as X
 
 
 @pytest.mark.parametrize(
@@ -93,22 +95,34 @@ def test_pseudonyms(one):
         assert one(codes.owner_uuid(F.lit(value))) == expected
 
 
-def test_word_similarity_is_the_best_run():
-    def brute(query, text):
-        wanted, grams, best = set(similarity._ordered(query)), similarity._ordered(text), 0.0
-        for i in range(len(grams)):
-            for j in range(i + 1, len(grams) + 1):
-                run = set(grams[i:j])
-                shared = len(run & wanted)
-                if shared:
-                    best = max(best, shared / (len(wanted) + len(run) - shared))
-        return best
-
+def test_word_similarity_is_the_best_run(spark):
     rng = random.Random(5)
-    words = ["tomat", "kirss", "tomati", "piim", "pii", "õun", "kg"]
-    for _ in range(200):
-        query, text = (" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in "ab")
-        assert similarity.best_extent(query, text) == pytest.approx(brute(query, text))
+    words = ["tomat", "kirss", "tomati", "piim", "pii", "õun", "kg", "-", "a_b", ""]
+    pairs = [tuple(" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in "ab") for _ in range(200)] + [("", "piim"), ("piim", ""), (None, "x"), ("x", None)]
+    rows = spark.createDataFrame(pairs, "q string, t string").withColumn("s", similarity.word_similarity(F.col("q"), F.col("t"))).collect()
+    for r in rows:
+        assert r["s"] == pytest.approx(best_extent(r["q"], r["t"]))
+
+
+def test_similar_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    words = ["tomat", "kirss", "tomati", "piim", "piimasai", "õun", "kurk", "kirsstomat", "sai"]
+    left, right = ([(rng.randint(0, 2), " ".join(rng.choices(words, k=rng.randint(1, n)))) for _ in range(60)] for n in (2, 4))
+    for least in (0.3, 0.6, 1.0):
+        got = X.similar_pairs(spark.createDataFrame(left, "k int, wanted string"), spark.createDataFrame(right, "k int, shown string"), "k", least).collect()
+        want = {(k, q, t) for k, q in left for j, t in right if j == k and best_extent(q, t) >= least - 1e-12}
+        assert {tuple(r)[:3] for r in got} == want and len(got) == len(want)
+        assert all(r["similarity"] == pytest.approx(best_extent(r["wanted"], r["shown"])) for r in got)
+
+
+def test_words_are_found_anywhere_inside(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcõ ", k=rng.randint(0, 12))) for _ in range(150)]
+    words = [*("".join(rng.choices("abcõ", k=rng.randint(1, 5))) for _ in range(60)), "", "zzz", "abx"]
+    for sizes in ((1, 2, 3), (2, 3)):
+        got = X.find_inside(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in texts], "text string"), sizes)
+        want = {(w, t) for w in words for t in texts if len(w) >= sizes[0] and w in t}
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
 def test_traits(one):
