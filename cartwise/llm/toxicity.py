@@ -149,14 +149,15 @@ def features(words: list[str]) -> np.ndarray:
     owner = np.cumsum(letters == 0) - 1
     for at, numbers, weight in _triples(letters):
         np.add.at(found, (owner[at], numbers), weight)
-    return found / _norms(starts, len(letters))[:, None].astype(np.float32)
+    found /= _norms(starts, len(letters))[:, None].astype(np.float32)
+    return found
 
 
 def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel of words (rows) with landmarks, given as rows of `features`."""
-    table, out = np.ascontiguousarray(landmarks.T), np.zeros((len(words), len(landmarks)))
-    for first in range(0, len(words), 128):
-        letters, starts = _unspell(words[first : first + 128])
+    table, out = np.ascontiguousarray(landmarks.T), np.zeros((len(words), len(landmarks)), np.float32)
+    for first in range(0, len(words), 64):
+        letters, starts = _unspell(words[first : first + 64])
         norms, places, numbers, weights = _norms(starts, len(letters)), [], [], []
         for at, number, weight in _triples(letters):
             places.append(at), numbers.append(number), weights.append(np.full(len(at), weight, np.float32))
@@ -167,37 +168,41 @@ def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
             owner, number, weight = owner[order], number[order], weight[order]
             begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             out[first + owner[begins]] = np.add.reduceat(table[number] * weight[:, None], begins, axis=0)
-        out[first : first + len(norms)] /= norms[:, None]
+        out[first : first + len(norms)] /= norms[:, None].astype(np.float32)
     return out
 
 
-def embed(words: list[str], chosen: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Nystroem features of words, and the matrix that leads from weights of
-    these features to weights of subsequences."""
+def embed(words: list[str], chosen: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nystroem features of words, and the two matrices that lead from weights
+    of these features to weights of landmarks, and on to those of subsequences."""
     marks = features(chosen)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    return kernel(words, marks) @ root, marks.T @ root
+    root = (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
+    return kernel(words, marks) @ root, root, marks
 
 
-def machine(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+def machine(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the features and an offset, by Newton steps on the squared
     hinge: each row of `x` is toxic and clean as often as the weights say, and
     both classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1))])
     toxic, clean = toxic / max(toxic.sum(), 1), clean / max(clean.sum(), 1)
-    penalty = PENALTY * np.eye(x.shape[1])
-    penalty[-1, -1] *= 1e-6
-    w = np.zeros(x.shape[1])
+    size = x.shape[1] + 1
+    w = np.zeros(size)
     for _ in range(30):
-        scores = x @ w
-        up, down = toxic * (scores < 1), clean * (scores > -1)
-        new = np.linalg.solve(penalty + x.T @ ((up + down)[:, None] * x), x.T @ (up - down))
+        left, right = PENALTY * np.eye(size), np.zeros(size)
+        left[-1, -1] *= 1e-6
+        for at in range(0, len(x), 2048):
+            part = np.hstack([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))]).astype(np.float64)
+            scores = part @ w
+            up, down = toxic[at : at + 2048] * (scores < 1), clean[at : at + 2048] * (scores > -1)
+            left += part.T @ ((up + down)[:, None] * part)
+            right += part.T @ (up - down)
+        new = np.linalg.solve(left, right)
         done = np.allclose(new, w, atol=1e-7)
         w = new
         if done:
             break
-    return w
+    return w[:-1], float(w[-1])
 
 
 def with_letter(words: list[str]) -> list[str]:
@@ -321,14 +326,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     spelled = list(table_)
     rest = sorted(spelled[LANDMARKS // 2 :], key=lambda w: crc32(w.encode()))
     near = [w for w in first[:INSERTED] if len(w) > 3 and table_[w]["preference"] > 3]
-    x, back = embed(spelled + with_letter(near), spelled[: LANDMARKS // 2] + rest[: LANDMARKS // 2])
+    x, root, marks = embed(spelled + with_letter(near), spelled[: LANDMARKS // 2] + rest[: LANDMARKS // 2])
     machines = []
     place = {w: i for i, w in enumerate(spelled)}
     for without in (*range(FOLDS), None):
         seen = {side: np.array([table_[w][side] - (0 if without is None else table_[w][f"{side}{without}"]) for w in spelled], float) for side in sides}
         varied = np.array([seen["toxic"][place[w]] * INSERTED_WEIGHT for w in near])
-        w = machine(x, np.append(seen["toxic"], varied), np.append(seen["clean"], np.zeros(len(near))))
-        machines.append((back @ w[:-1], float(w[-1])))
+        w, offset = machine(x, np.append(seen["toxic"], varied), np.append(seen["clean"], np.zeros(len(near))))
+        machines.append(((root @ w.astype(np.float32) @ marks).astype(np.float64), offset))
     shared = spark.sparkContext.broadcast(machines)
     found = rows.select("doc_id", "text", "fold").mapInArrow(_evidence(shared), "doc_id long, sum double, top double")
     found = found.join(F.broadcast(chosen), "doc_id").filter("top IS NOT NULL").select("sum", "top", "toxic").toPandas()  # about max_rows
