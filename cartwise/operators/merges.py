@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +160,11 @@ def adopt_candidates(
     }
 
 
-def merge_shared_baskets(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+#: Open items up to which a family's items are decided in one ordered pass.
+FOLDED = 200_000
+
+
+def merge_shared_baskets(existing: DataFrame, incoming: DataFrame, folded: int = FOLDED) -> DataFrame:
     """Outcome of every incoming item of shared baskets: rejected, skipped,
     repaired (with the row it repairs) or added, as if the items came one by
     one in arrival order.
@@ -184,35 +189,48 @@ def merge_shared_baskets(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     real = items.filter("_ident IS NOT NULL").join(known, ["family_id", "_ident"], "left")
     first = F.row_number().over(Window.partitionBy("family_id", "_ident", "_name").orderBy("arrival"))
     real = real.withColumn("_nth", first).join(broken, ["family_id", "_name"], "left").join(taken, ["family_id", "_name"], "left")
-    return _settle(real).unionByName(rejected.select("family_id", "arrival", "product_name", "outcome", "repairs"))
+    return _settle(real, folded).unionByName(rejected.select("family_id", "arrival", "product_name", "outcome", "repairs"))
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Items of one family that succeed, one by one in arrival order."""
+    ordered = rows.sort_by("arrival")
+    idents, names_, kept = set(), set(), []
+    for ident, name in zip(ordered["_ident"].to_pylist(), ordered["_name"].to_pylist()):
+        free = ident not in idents and name not in names_
+        kept.append(free)
+        if free:
+            idents.add(ident), names_.add(name)
+    return ordered.filter(pa.array(kept, pa.bool_()))
 
 
-def _settle(real: DataFrame) -> DataFrame:
+def _settle(real: DataFrame, folded: int = FOLDED) -> DataFrame:
     """Decide items that have an identity.
 
     The successes are the greedy matching of identities to names in arrival
-    order. It is found in rounds: an item that came first among all open items
-    of its identity and of its name succeeds, then everything that shares
-    either with a success is out. Items that contend with nobody are done in
-    the first round, and every round settles the earliest item of each knot.
+    order, family by family. A family of at most `folded` open items is decided
+    in one ordered pass. Larger ones are decided in rounds: an item that came
+    first among all open items of its identity and of its name succeeds, then
+    everything that shares either with a success is out.
     """
     fields = ["family_id", "arrival", "product_name"]
     free = F.col("_known").isNull() & (F.col("_nth") == 1) & (F.col("_row").isNotNull() | F.col("_taken").isNull())
     remaining = settled(real.filter(free).select(*fields, "_ident", "_name", F.col("_row").cast("bigint").alias("repairs")))
-    won: list[DataFrame] = []
-    while not remaining.isEmpty():
+    large = settled(remaining.groupBy("family_id").count().filter(F.col("count") > folded).select("family_id"))
+    small = remaining.join(large, remaining["family_id"].eqNullSafe(large["family_id"]), "left_anti")
+    won = [small.groupBy("family_id").applyInArrow(_in_order, remaining.schema)]
+    remaining = remaining.join(large, "family_id", "left_semi")
+    while not large.isEmpty() and not remaining.isEmpty():
         by_ident = remaining.groupBy("family_id", "_ident").agg(F.min("arrival").alias("_a"))
         by_name = remaining.groupBy("family_id", "_name").agg(F.min("arrival").alias("_b"))
         joined = remaining.join(by_ident, ["family_id", "_ident"]).join(by_name, ["family_id", "_name"])
         wins = settled(joined.filter((F.col("arrival") == F.col("_a")) & (F.col("arrival") == F.col("_b"))).drop("_a", "_b"))
-        won.append(wins)
+        won.append(wins.select(*remaining.columns))
         remaining = settled(
             remaining.join(wins.select("family_id", "_ident"), ["family_id", "_ident"], "left_anti")
-            .join(wins.select("family_id", "_name"), ["family_id", "_name"], "left_anti")
+            .join(wins.select("family_id", "_name"), ["family_id", "_name"], "left_anti").select(*remaining.columns)
         )
     every = real.select(*fields)
-    if not won:
-        return every.select(*fields, F.lit("skipped").alias("outcome"), F.lit(None).cast("bigint").alias("repairs"))
     good = reduce(DataFrame.unionByName, won).select("family_id", "arrival", F.lit(True).alias("_won"), "repairs")
     outcome = F.when(F.col("_won").isNull(), "skipped").when(F.col("repairs").isNotNull(), "repaired").otherwise("added")
     return every.join(good, ["family_id", "arrival"], "left").select(*fields, outcome.alias("outcome"), "repairs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.common import blank_to_null, pick_first, top_n
@@ -71,15 +71,88 @@ def stores_within(
     return origins.select(origin_id, "lat", "lon").join(near, ["lat", "lon"]).drop("lat", "lon")
 
 
-def stores_everywhere(stores: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Store list for a request without a position: by id, no distance."""
-    listed = physical_stores(stores).select(
-        F.col("id").alias("store_id"), F.col("name").alias("store_name"), "chain",
-        F.lit(None).cast("double").alias("distance_km"),
+#: Grids of halved width that `nearest_stores` lays over the radius.
+LEVELS = 7
+#: Kilometres of a degree, rounded up, and the latitude beyond which cells aren't halved.
+DEGREE_KM, POLAR = 111.2, 80.0
+
+
+def _cells_at(level: int, lat: Column, lon: Column, radius_km: float) -> Column:
+    """Level, band, cell and the number of cells in the band."""
+    width = radius_km / 2**level
+    band = _band(lat, width)
+    columns = _columns_in_band(band, width)
+    return F.struct(F.lit(level).alias("level"), band.alias("band"), _cell(lon, columns).alias("cell"), columns.alias("columns"))
+
+
+def _reach(at: Column, lat: Column, radius_km: float) -> Column:
+    """No point of a cell is further from another one of it: along the meridian
+    and then along the longest parallel."""
+    height = F.lit(radius_km / KM_PER_DEGREE) / F.pow(F.lit(2.0), at["level"])
+    widest = F.cos(F.radians(F.least(F.abs(at["band"] * height), F.abs((at["band"] + 1) * height))))
+    return F.lit(DEGREE_KM) * (height + F.lit(360.0) / at["columns"] * F.when(F.abs(lat) < height, 1.0).otherwise(widest))
+
+
+def nearest_stores(origins: DataFrame, stores: DataFrame, radius_km: float, origin_id: str = "origin_id") -> DataFrame:
+    """For each origin (origin_id, lat, lon, wanted, skip) the `wanted` nearest
+    physical stores within the radius, after the first `skip`, with their
+    `position`; an origin without a position gets stores by id, and no distance.
+
+    Cells are halved as long as one holds as many stores as its origins need:
+    the stores of an origin's smallest such cell lie within that cell's reach, so
+    none further away can be among the nearest. An origin joins cells that are
+    as wide as its own reach, and reads no more than the ring around it; only
+    where stores are few it searches the whole radius.
+    """
+    need = F.greatest(F.coalesce("wanted", F.lit(0)) + F.coalesce("skip", F.lit(0)), F.lit(1))
+    placed = origins.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    spots = placed.groupBy("lat", "lon").agg(F.max(need).alias("need"))
+    shops = physical_stores(stores).select(
+        F.col("id").alias("store_id"), F.col("name").alias("store_name"), "chain", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")
     )
-    if limit is None:
-        return listed
-    return listed.orderBy("store_id").offset(offset).limit(limit)
+    at = lambda lat, lon: F.array(*[_cells_at(k, F.col(lat), F.col(lon), radius_km) for k in range(LEVELS)])
+    shelves = shops.select("*", F.explode(at("_lat", "_lon")).alias("_at"))
+    cell = ["level", "band", "cell"]
+    crowds = shelves.groupBy(*[F.col(f"_at.{c}").alias(c) for c in cell]).agg(F.count("*").alias("stores"))
+    own = spots.select("*", F.explode(at("lat", "lon")).alias("_at")).filter(F.abs("lat") < POLAR)
+    own = own.select("lat", "lon", "need", "_at.*", _reach(F.col("_at"), F.col("lat"), radius_km).alias("reach"))
+    sure = own.join(crowds, cell).filter(F.col("stores") >= F.col("need")).groupBy("lat", "lon").agg(F.min("reach").alias("reach"))
+    spots = spots.join(sure, ["lat", "lon"], "left").withColumn("reach", F.least(F.coalesce("reach", F.lit(radius_km)), F.lit(radius_km)))
+    # the narrowest grid whose cells are as wide as the reach
+    level = F.least(F.floor(F.log2(F.lit(radius_km) / F.col("reach"))), F.lit(LEVELS - 1)).cast("int")
+    rings = spots.withColumn("level", level).select("lat", "lon", "reach", "level", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_up"))
+    cells = None
+    for k in range(LEVELS):
+        width = radius_km / 2**k
+        ring = rings.filter(F.col("level") == k).withColumn("band", _band(F.col("lat"), width) + F.col("_up"))
+        columns = _columns_in_band(F.col("band"), width)
+        home = _cell(F.col("lon"), columns)
+        around = F.array_distinct(F.array(*[F.pmod(home + d, columns) for d in (-1, 0, 1)]))
+        ring = ring.select("lat", "lon", "reach", "level", "band", F.explode(around).alias("cell"))
+        cells = ring if cells is None else cells.unionByName(ring)
+    shelves = shelves.select("store_id", "store_name", "chain", "_lat", "_lon", *[F.col(f"_at.{c}").alias(c) for c in cell])
+    met = cells.join(shelves, cell).withColumn("distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    met = met.filter(F.col("distance_km") <= F.col("reach")).select("lat", "lon", "store_id", "store_name", "chain", "distance_km")
+    order = [F.col(c).asc_nulls_last() for c in ("distance_km", "chain", "store_name", "store_id")]
+    ranked = met.withColumn("_place", F.row_number().over(Window.partitionBy("lat", "lon").orderBy(*order)))
+    kept = (F.col("_place") > F.coalesce("skip", F.lit(0))) & (F.col("_place") <= F.coalesce("skip", F.lit(0)) + F.coalesce("wanted", F.lit(0)))
+    asked = placed.select(origin_id, "lat", "lon", "wanted", "skip")
+    near = asked.join(ranked, ["lat", "lon"]).filter(kept)
+    asking = origins.filter("lat IS NULL OR lon IS NULL").select(origin_id, F.coalesce("wanted", F.lit(0)).alias("wanted"), F.coalesce("skip", F.lit(0)).alias("skip"))
+    asking = asking.filter("wanted > 0").withColumn("_place", F.explode(F.sequence(F.col("skip") + 1, F.col("skip") + F.col("wanted")).cast("array<int>")))
+    everywhere = asking.join(stores_everywhere(stores, asking), "_place")
+    fields = [origin_id, "store_id", "store_name", "chain", "distance_km", (F.col("_place") - F.coalesce("skip", F.lit(0))).cast("int").alias("position")]
+    return near.select(*fields).unionByName(everywhere.select(*fields))
+
+
+def stores_everywhere(stores: DataFrame, asking: DataFrame) -> DataFrame:
+    """Physical stores by id, no distance, as far as any of the requests
+    `asking` (wanted, skip) reads them, with their place."""
+    furthest = asking.agg(F.max(F.col("wanted") + F.col("skip"))).first()[0] or 0
+    listed = physical_stores(stores).select(
+        F.col("id").alias("store_id"), F.col("name").alias("store_name"), "chain", F.lit(None).cast("double").alias("distance_km")
+    ).orderBy("store_id").limit(furthest)
+    return listed.withColumn("_place", F.row_number().over(Window.orderBy("store_id")))  # at most `furthest` rows
 
 
 def within_box(stores: DataFrame, lat: float, lon: float, radius_km: float) -> DataFrame:

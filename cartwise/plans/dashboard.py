@@ -47,6 +47,21 @@ def _totals_by_chain(t: Tables) -> DataFrame:
     return D.event_totals(t.analytics_events, EVENT_AS_OF, DAYS, ["chain"])
 
 
+@query("ag16_sketched_totals", f"""
+SELECT chain, cur_adds, cur_views, cur_wins, prev_adds, prev_views, prev_wins, true AS cur_devices_near, true AS cur_users_near, true AS prev_devices_near, true AS prev_users_near
+FROM ({_totals_sql("chain")}) x""")
+def _sketched(t: Tables) -> DataFrame:
+    """Totals from daily sketches, with whether each estimate lies within two
+    percent of the exact count."""
+    rows = D.sketched_totals(D.daily_sketches(t.analytics_events, ["chain"]), EVENT_AS_OF, DAYS, ["chain"])
+    exact = D.event_totals(t.analytics_events, EVENT_AS_OF, DAYS, ["chain"]).select(
+        F.col("chain").alias("_chain"), *(F.col(f"{p}_{c}").alias(f"_{p}_{c}") for p in ("cur", "prev") for c in ("devices", "users"))
+    )
+    near = [(F.abs(F.col(f"{p}_{c}") - F.col(f"_{p}_{c}")) <= 0.02 * F.col(f"_{p}_{c}")).alias(f"{p}_{c}_near") for p in ("cur", "prev") for c in ("devices", "users")]
+    counts = [f"{p}_{c}" for p in ("cur", "prev") for c in ("adds", "views", "wins")]
+    return rows.join(exact, F.col("chain").eqNullSafe(F.col("_chain"))).select("chain", *counts, *near)
+
+
 @query("ag17_period_delta", f"""
 WITH totals AS ({_totals_sql("product_id")})
 SELECT product_id, CASE WHEN prev_adds = 0 AND cur_adds > 0 THEN 'new' WHEN prev_adds <> 0 THEN printf('%.1f', round_even(CAST(cur_adds - prev_adds AS DOUBLE) / prev_adds * 100, 1)) END AS delta FROM totals""")

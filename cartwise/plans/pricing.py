@@ -197,7 +197,26 @@ def _near(t: Tables) -> DataFrame:
 WITH {NEAR} SELECT basket_id, store_id FROM (
   SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY distance_km, chain, store_name, store_id) AS r FROM near) x WHERE r <= 3""")
 def _nearest(t: Tables) -> DataFrame:
-    return S.stores_within(t.basket_origins, t.stores, RADIUS_KM, 3, "basket_id").select("basket_id", "store_id")
+    origins = t.basket_origins.withColumns({"wanted": F.lit(3), "skip": F.lit(0)})
+    return S.nearest_stores(origins, t.stores, RADIUS_KM, "basket_id").select("basket_id", "store_id")
+
+
+@query("jn05_stores_by_request", f"""
+WITH asked AS (SELECT *, basket_id % 5 AS wanted, basket_id % 3 AS skip, basket_id % 7 = 0 AS nowhere FROM basket_origins), {NEAR},
+shops AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM stores WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT is_online),
+placed AS (SELECT basket_id, store_id, round(distance_km, 6) AS distance_km, row_number() OVER (PARTITION BY basket_id ORDER BY distance_km, chain, store_name, store_id) AS r FROM near)
+SELECT a.basket_id, p.store_id, p.distance_km, CAST(p.r - a.skip AS INTEGER) AS position FROM asked a JOIN placed p ON p.basket_id = a.basket_id WHERE NOT a.nowhere AND p.r > a.skip AND p.r <= a.skip + a.wanted
+UNION ALL
+SELECT a.basket_id, s.id, NULL, CAST(s.r - a.skip AS INTEGER) FROM asked a JOIN shops s ON s.r > a.skip AND s.r <= a.skip + a.wanted WHERE a.nowhere""")
+def _by_request(t: Tables) -> DataFrame:
+    """Cap and offset of each request; some requests have no position."""
+    nowhere = F.col("basket_id") % 7 == 0
+    origins = t.basket_origins.select(
+        "basket_id", *(F.when(~nowhere, F.col(c)).alias(c) for c in ("lat", "lon")),
+        (F.col("basket_id") % 5).alias("wanted"), (F.col("basket_id") % 3).alias("skip"),
+    )
+    near = S.nearest_stores(origins, t.stores, RADIUS_KM, "basket_id")
+    return near.select("basket_id", "store_id", F.round("distance_km", 6).alias("distance_km"), "position")
 
 
 @query("jn06_bounding_box", f"""

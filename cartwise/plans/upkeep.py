@@ -154,13 +154,30 @@ def _queue_left(t: Tables) -> DataFrame:
     return _adopted(t)["queue"].select("ext_id")
 
 
-@query("me08_merge_shared_baskets")
+@query("me08_merge_shared_baskets", """
+WITH RECURSIVE lines AS (SELECT min(l_suppkey) % 50 AS family_id, l_orderkey * 10 + l_linenumber AS arrival, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber),
+items AS (SELECT family_id, arrival, CASE WHEN p % 7 <> 0 THEN concat('p', p) WHEN p % 3 <> 0 THEN concat('iing', p % 40) END AS ident, lower(concat_ws(' ', p_name, p_brand)) AS name
+  FROM lines JOIN part ON p_partkey = p),
+old AS (SELECT p_partkey % 50 AS family_id, CASE WHEN p_partkey % 2 = 0 THEN concat('p', p_partkey) END AS ident, lower(concat_ws(' ', p_name, p_brand)) AS name FROM part WHERE p_partkey % 11 = 0),
+marked AS (SELECT i.*, row_number() OVER (PARTITION BY family_id, ident, name ORDER BY arrival) AS nth,
+  EXISTS (SELECT 1 FROM old o WHERE o.family_id = i.family_id AND o.ident = i.ident) AS known,
+  EXISTS (SELECT 1 FROM old o WHERE o.family_id = i.family_id AND o.name = i.name AND o.ident IS NULL) AS broken,
+  EXISTS (SELECT 1 FROM old o WHERE o.family_id = i.family_id AND o.name = i.name) AS taken FROM items i),
+free AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY arrival) AS k FROM marked WHERE ident IS NOT NULL AND NOT known AND nth = 1 AND (broken OR NOT taken)),
+fold AS (
+  SELECT DISTINCT family_id, CAST(0 AS BIGINT) AS k, false AS won, false AS repaired, CAST([] AS VARCHAR[]) AS idents, CAST([] AS VARCHAR[]) AS names FROM free
+  UNION ALL
+  SELECT family_id, k, won, won AND broken, CASE WHEN won THEN list_append(idents, ident) ELSE idents END, CASE WHEN won THEN list_append(names, name) ELSE names END FROM (
+    SELECT f.family_id, r.k, r.broken, r.ident, r.name, f.idents, f.names, NOT list_contains(f.idents, r.ident) AND NOT list_contains(f.names, r.name) AS won
+    FROM fold f JOIN free r ON r.family_id = f.family_id AND r.k = f.k + 1) x)
+SELECT c.family_id, CAST(coalesce(w.added, 0) AS BIGINT) AS added, CAST(c.n - c.rejected - coalesce(w.added, 0) - coalesce(w.repaired, 0) AS BIGINT) AS skipped, CAST(coalesce(w.repaired, 0) AS BIGINT) AS repaired, CAST(c.rejected AS BIGINT) AS rejected
+FROM (SELECT family_id, count(*) AS n, count(*) FILTER (WHERE ident IS NULL) AS rejected FROM items GROUP BY 1) c
+LEFT JOIN (SELECT family_id, count(*) FILTER (WHERE won AND NOT repaired) AS added, count(*) FILTER (WHERE repaired) AS repaired FROM fold GROUP BY 1) w ON w.family_id = c.family_id""")
 def _shared(t: Tables) -> DataFrame:
-    items = t.lineitem.select(
-        (F.col("l_suppkey") % 50).alias("family_id"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("arrival"),
-        F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey")).alias("product_id"),
-        F.when((F.col("l_partkey") % 7 == 0) & (F.col("l_partkey") % 3 != 0), F.concat(F.lit("ing"), F.col("l_partkey") % 40)).alias("ingredient_name_en"),
-        F.col("l_partkey").alias("_p"),
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("_p"))
+    items = lines.select(
+        (F.col("s") % 50).alias("family_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"), F.when(F.col("_p") % 7 != 0, F.col("_p")).alias("product_id"),
+        F.when((F.col("_p") % 7 == 0) & (F.col("_p") % 3 != 0), F.concat(F.lit("ing"), F.col("_p") % 40)).alias("ingredient_name_en"), "_p",
     )
     named = items.join(t.part.select(F.col("p_partkey").alias("_p"), F.concat_ws(" ", "p_name", "p_brand").alias("product_name")), "_p").drop("_p")
     existing = t.part.filter("p_partkey % 11 = 0").select(
