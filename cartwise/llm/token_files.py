@@ -10,6 +10,7 @@ skips stripes by index and filter.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,14 @@ INDEX_ROWS = 2_000
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, crc32 long, slice long"
 
 
+@functools.cache
+def _encoder() -> ByteIds:
+    """One for each worker, whose tasks share what it knows."""
+    return ByteIds()
+
+
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, end = ByteIds(), END_ID.to_bytes(4, "little")
+    encoder, end = _encoder(), END_ID.to_bytes(4, "little")
     for batch in batches:
         found = [encoder.encode(text) + end for text in batch.column(2).to_pylist()]
         sizes = np.array([len(x) // 4 for x in found], np.int64)
@@ -45,11 +52,12 @@ def write_tokens(docs: DataFrame, path: str) -> None:
     order (null first; equal ids by length, then by checksum) below `path`. A
     null or empty text has the end id alone; other columns are ignored."""
     number, slices = sliced(docs.select("doc_id"), "doc_id")
-    # a slice is never split, and a range of slices is a task: as many as there are slices, evenly filled
-    dealt = docs.select(number.alias("slice"), "doc_id", "text").repartitionByRange(max(1, slices), "slice")
+    # each slice is a task of its own; those without a doc_id are the last one
+    task = F.when(F.col("slice") < 0, slices).otherwise(F.col("slice")).cast("int")
+    dealt = docs.select(number.alias("slice"), "doc_id", "text").repartitionById(slices + 1, task)
     rows = dealt.mapInArrow(_encoded, SCHEMA).sortWithinPartitions("slice", "doc_id", "n_tokens", "crc32")
     rows.write.partitionBy("slice").options(**{
-        "compression": "zstd", "orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_ROWS, "orc.bloom.filter.columns": "doc_id",
+        "compression": "lz4", "orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_ROWS, "orc.bloom.filter.columns": "doc_id",
     }).orc(path)
 
 
