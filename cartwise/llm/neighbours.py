@@ -10,9 +10,11 @@ nodes at equal distance are taken in the order of a hash. The lists of nodes
 that lie near each other are compared in one task, which needs the vector of a
 node once for all its lists.
 
-A query starts at its own node and always follows the nearest nodes not yet
-followed, all queries of a block together, one join a round, until its nearest
-`pool` nodes have been followed.
+A query is a row: its vector, the nearest `pool` nodes it has met, and the
+nodes it need not meet again. It starts at its own node and follows, a few at a
+time, the nearest nodes of its pool not yet followed, all queries together, one
+round after the other, until every node of every pool has been followed. Only
+nodes that a query hasn't met are compared with it.
 """
 
 from __future__ import annotations
@@ -37,9 +39,8 @@ TREES, LEAF = 12, 128
 SETTLED = 0.02
 #: Nodes whose lists are compared in one task, and bytes of the vectors that they can need.
 CELL, CELL_BYTES = 1024, 64 << 20
-POOL, STEP = 400, 100
-#: Queries searched together; their vectors are broadcast (8 MB at 256 dimensions).
-BLOCK = 4096
+#: Nodes a query keeps, and follows in a round.
+POOL, STEP = 120, 30
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -172,53 +173,63 @@ def build_graph(nodes: DataFrame, folder: str, width: str = "<f8") -> DataFrame:
     return graph.select("a", "b", "d")
 
 
-def _exact(block):
-    """Distance of each node to the queries that ask for it."""
+def _packed(width: str):
+    """Vectors as bytes of the type `width`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, queries = block.value
         for batch in batches:
-            asked, values = batch.column(1), batch.column(2)
-            q, node, d = [], [], []
-            for row in range(batch.num_rows):
-                own = asked[row].values.to_numpy()
-                difference = vectors[own] - values[row].values.to_numpy()
-                q.append(own), node.append(np.full(len(own), batch.column(0)[row].as_py())), d.append(np.sqrt((difference * difference).sum(axis=1)))
-            columns = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((q, np.int64), (node, np.int64), (d, np.float64))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "node", "d"])
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], names=["node", "code"])
 
     return run
 
 
-def _search(block: list, nodes: DataFrame, links: DataFrame, folder: str, number: int, pool: int) -> DataFrame:
-    """(query_id, node, d): all nodes met by a block of queries."""
-    spark = nodes.sparkSession
-    ids = np.array([row["vec_id"] for row in block])
-    shared = spark.sparkContext.broadcast((np.array([row["vector"] for row in block], np.float64), ids))
-    start = [(i, row["node"]) for i, row in enumerate(block)]
-    wanted = spark.createDataFrame(start, "q long, node long")
-    met = None
-    for turn in range(10_000):
-        asked = wanted.groupBy("node").agg(F.collect_list("q").alias("asked"))  # at most BLOCK
-        found = asked.join(nodes.select("node", "vector"), "node").select("node", "asked", "vector").mapInArrow(_exact(shared), "q long, node long, d double")
-        found = found.withColumn("followed", F.lit(False))
-        nearest = found if met is None else met.unionByName(found)
-        # of the nearest `pool` nodes those not followed yet, STEP at a time
-        best = top_n(nearest, "q", pool, F.col("d"), F.col("node"), rank="place")
-        follow = top_n(best.filter(~F.col("followed")), "q", STEP, F.col("d"), F.col("node")).select("q", "node", F.lit(True).alias("now"))
-        met = nearest.join(follow, ["q", "node"], "left").withColumn("followed", F.col("followed") | F.coalesce("now", F.lit(False)))
-        met = settle(met.select("q", "node", "d", "followed", F.coalesce("now", F.lit(False)).alias("now")), folder, f"met-{number}-{turn}")
-        front = met.filter("now").select("q", "node")
-        met = met.drop("now")
-        wanted = front.join(links, "node").select("q", F.explode("near").alias("node")).distinct().join(met.select("q", "node"), ["q", "node"], "left_anti")
-        wanted = settle(wanted, folder, f"wanted-{number}-{turn}")
-        if wanted.isEmpty():
-            break
-    names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "q long, query_id long")
-    return met.join(F.broadcast(names), "q").select("query_id", "node", "d")  # at most BLOCK names
+def _apart(width: str):
+    """Distance of each node to the query that asks for it, from components in
+    double precision."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                difference = _vectors(batch.column(3).to_pylist(), width) - _vectors(batch.column(4).to_pylist(), width)
+                d = pa.array(np.sqrt((difference * difference).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], d], names=["query_id", "home", "node", "d"])
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = POOL) -> DataFrame:
+    return run
+
+
+def _search(asking: DataFrame, codes: DataFrame, links: DataFrame, folder: str, width: str, pool: int, step: int) -> DataFrame:
+    """(query_id, d, node) of the pools of all queries (query_id, home, code);
+    `home` is the node that a query starts at."""
+    spark, key = asking.sparkSession, ["query_id", "home"]
+    met = F.array().cast("array<struct<d:double,node:bigint,followed:boolean>>")
+    state = asking.select(*key, "code", met.alias("pool"), F.array("home").alias("seen"), F.array("home").alias("fresh"))
+    state = settle(state, folder, "state-0")
+    for turn in count(1):
+        asked = state.select(*key, F.col("code").alias("own"), F.explode("fresh").alias("node"))
+        found = asked.join(codes, "node").select(*key, "node", "own", "code").mapInArrow(_apart(width), "query_id long, home long, node long, d double")
+        # a query meets the links of `step` nodes at most
+        found = found.groupBy(*key).agg(F.collect_list(F.struct("d", "node", F.lit(False).alias("followed"))).alias("found"))
+        both = F.slice(F.array_sort(F.concat("pool", F.coalesce("found", met))), 1, pool)
+        nearest_ = state.join(found, key, "left").select(*key, "code", "seen", both.alias("pool"))
+        front = F.slice(F.transform(F.filter("pool", lambda x: ~x["followed"]), lambda x: x["node"]), 1, step)
+        marked = F.transform("pool", lambda x: F.struct(x["d"], x["node"], (x["followed"] | F.array_contains("front", x["node"])).alias("followed")))
+        nearest_ = nearest_.withColumn("front", front).withColumn("pool", marked)
+        nearest_ = settle(nearest_, folder, f"pools-{turn}")
+        near = nearest_.select(*key, F.explode("front").alias("node")).join(links, "node")
+        near = near.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        nobody = F.array().cast("array<bigint>")
+        fresh = F.array_except(F.coalesce("near", nobody), F.col("seen"))
+        state = nearest_.join(near, key, "left").select(*key, "code", "pool", fresh.alias("fresh"), F.concat("seen", fresh).alias("seen"))
+        state = settle(state, folder, f"state-{turn}")
+        forget(spark, folder, f"state-{turn - 1}"), forget(spark, folder, f"pools-{turn}")
+        if state.filter(F.size("fresh") > 0).isEmpty():
+            # nothing new is near what was followed; nodes not followed yet may still lead on
+            if state.filter(F.exists("pool", lambda x: ~x["followed"])).isEmpty():
+                return state.select("query_id", F.explode("pool").alias("x")).select("query_id", "x.d", "x.node")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = POOL, step: int = STEP) -> DataFrame:
     """query_id, rank, vec_id, score: for each of `queries` (vec_id), rows of
     `vectors` themselves, the k nearest others (vec_id, embedding) that were
     found, by Euclidean distance, ties to the smaller vec_id.
@@ -233,22 +244,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = POO
     members = top_n(rows, "vector", k + 1, F.col("vec_id"))
     members = members.groupBy("vector").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("members"))
     nodes = settle(members.select("node", "vector", "members"), folder, "nodes")
-    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
-    graph = build_graph(nodes, folder, "<f4" if single else "<f8")
+    width = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+    graph = build_graph(nodes, folder, width)
     back = _closest(graph, "b", REVERSE)
     both = graph.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(back.select(F.col("b").alias("node"), F.col("a").alias("other")))
     links = settle(both.groupBy("node").agg(F.collect_set("other").alias("near")), folder, "links")  # NEIGHBOURS + REVERSE at most
+    codes = settle(nodes.select("node", "vector").mapInArrow(_packed(width), "node long, code binary"), folder, "codes")
     asking = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").join(nodes.select("node", "vector"), "vector")
-    asking = asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // (BLOCK // 2))))))
-    asking = settle(asking.select("vec_id", "node", "vector", "block"), folder, "asking")
-    met = None
-    for number in range(max(1, -(-queries.count() // (BLOCK // 2)))):
-        block = asking.filter(F.col("block") == number).orderBy("vec_id").collect()  # BLOCK at most, half of it on average
-        if block:
-            found = _search(block, nodes, links, folder, number, pool)
-            met = found if met is None else met.unionByName(found)
-    if met is None:
-        met = spark.createDataFrame([], "query_id long, node long, d double")
+    asking = asking.select(F.col("vec_id").alias("query_id"), "node").join(codes, "node").withColumnRenamed("node", "home")
+    met = _search(asking, codes, links, folder, width, max(pool, k + 1), step)
+    met = met.groupBy("query_id", "node").agg(F.min("d").alias("d"))
     answers = top_n(met, "query_id", k + 1, F.col("d"), F.col("node")).join(nodes.select("node", "members"), "node")
     answers = answers.select("query_id", "d", F.explode("members").alias("vec_id")).filter("vec_id <> query_id")
     ranked = top_n(answers, "query_id", k, F.col("d"), F.col("vec_id"), rank="rank")
