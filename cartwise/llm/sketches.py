@@ -10,10 +10,12 @@ hexadecimal, after the number of paragraphs.
 
 Two sketches are compared by subtracting cell from cell and peeling: a cell
 with a single digest left gives it away, and the digest is taken out of its
-other cells, until all is empty. What was peeled is what the texts differ in.
-If cells are left, larger sketches of small texts are built and peeled in the
-same way; of others the digests themselves are compared, in linear time.
-Everything here is a column expression.
+other cells, until all is empty. What was peeled, digests and the side each is
+on, is what the texts differ in. If cells are left, larger sketches are built
+from the digests and peeled in the same way, twice as large each time. A larger
+sketch is a row of sketches of CELLS cells: the first bits of a digest choose
+which, so that its cost follows the number of paragraphs. Everything here is a
+column expression.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ CELLS = 24
 WORD = r"(?:\p{Lo}|[\p{L}&&[^\p{Lo}]]+|\p{N}+)[^\p{L}\p{N}\n]*|[^\p{L}\p{N}\n]+|\n"
 #: One pair of words in so many ends a paragraph.
 EVERY = 8
-#: Paragraphs of both texts up to which larger sketches are tried.
-SMALL = 24
+#: Digests of both texts for each sketch of the first larger row, and how often rows are doubled.
+LOAD, DOUBLED = 8, 6
 ROUNDS = 24
 
 
@@ -46,12 +48,14 @@ def paragraph_digests(text: Column) -> Column:
 
 
 THIRDS = ("x", "y", "z")
+WIDTH = CELLS // len(THIRDS)
 
 
-def _entry(digest: Column, n: Column, width: Column) -> Column:
+def _entry(digest: Column, n: Column, seed: Column | int) -> Column:
     """A digest with its check value and its cell in each third: other bits of
-    the digest choose each."""
-    at = [F.pmod(F.shiftrightunsigned(digest, 20 * i), width).cast("int").alias(third) for i, third in enumerate(THIRDS)]
+    the digest, or with a seed (a column) of its hash, choose each."""
+    source = F.xxhash64(digest, seed) if isinstance(seed, Column) else digest
+    at = [F.pmod(F.shiftrightunsigned(source, 20 * i), F.lit(WIDTH)).cast("int").alias(third) for i, third in enumerate(THIRDS)]
     return F.struct(n.alias("n"), digest.alias("k"), F.xxhash64(digest, F.lit(1)).alias("c"), *at)
 
 
@@ -66,15 +70,29 @@ def _own(entries: Column, third: str, index: Column) -> Column:
     return F.filter(entries, lambda e: e[third] == index)
 
 
-def sketch(digests: Column, width: Column) -> Column:
-    """Three lists of `width` cells: (n, keys, checks) for each."""
+def sketch(digests: Column, seed: Column | int = 0) -> Column:
+    """Three lists of WIDTH cells: (n, keys, checks) for each."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    places = F.sequence(F.lit(0), width - 1)
+    places = F.sequence(F.lit(0), F.lit(WIDTH - 1))
 
     def cells(entries: Column, third: str) -> Column:
         return F.transform(places, lambda i: _merged(empty, _own(entries, third, i), 1)).alias(third)
 
-    return let(F.transform(digests, lambda d: _entry(d, F.lit(1), width)), lambda entries: F.struct(*(cells(entries, t) for t in THIRDS)))
+    return let(F.transform(digests, lambda d: _entry(d, F.lit(1), seed)), lambda entries: F.struct(*(cells(entries, t) for t in THIRDS)))
+
+
+def in_groups(one: Column, two: Column, bits: Column) -> Column:
+    """The digests of two lists, as lists of (digest, side) with equal first
+    `bits` bits, one or more, in ascending order; groups without any are left out."""
+    marked = lambda side: lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side"))
+    tagged = F.array_sort(F.concat(F.transform(one, marked(1)), F.transform(two, marked(-1))))
+    number = lambda x: F.call_function("shiftrightunsigned", x["digest"].bitwiseXOR(F.lit(-(1 << 63))), F.lit(64) - bits)
+
+    def cut(every: Column) -> Column:
+        begins = F.filter(F.transform(every, lambda x, i: F.when((i == 0) | (number(F.get(every, i - 1)) != number(x)), i)), lambda i: i.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda b, j: F.slice(every, b + 1, F.coalesce(F.get(at, j + 1), F.size(every)) - b)))
+
+    return let(tagged, cut)
 
 
 def _minus(one: Column, two: Column) -> Column:
@@ -82,23 +100,28 @@ def _minus(one: Column, two: Column) -> Column:
     return F.struct(*(F.zip_with(one[t], two[t], less).alias(t) for t in THIRDS))
 
 
-def _peel(cells: Column, width: Column) -> Column:
-    """Number of digests that two subtracted sketches differ in, or null if
-    cells are left that no single digest fills."""
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("stuck"))
+_FOUND = "array<struct<digest:bigint,side:int>>"
+
+
+def _peel(cells: Column, seed: Column | int = 0) -> Column:
+    """The digests that two subtracted sketches differ in, `side` 1 for those
+    of the first and -1 for those of the second; null if cells are left that no
+    single digest fills."""
+    start = F.struct(cells.alias("cells"), F.array().cast(_FOUND).alias("found"), F.lit(False).alias("stuck"))
     lone = lambda x: (F.abs(x["n"]) == 1) & (x["c"] == F.xxhash64(x["k"], F.lit(1)))
 
     def turn(s: Column) -> Column:
         found = F.concat(*(F.filter(s["cells"][t], lone) for t in THIRDS))
         # a digest may be alone in several cells
-        pure = F.array_distinct(F.transform(found, lambda x: _entry(x["k"], x["n"], width)))
+        pure = F.array_distinct(F.transform(found, lambda x: _entry(x["k"], x["n"], seed)))
 
         def rest(entries: Column, third: str) -> Column:
             return F.transform(s["cells"][third], lambda x, i: _merged(x, _own(entries, third, i), -1)).alias(third)
 
         return let(pure, lambda entries: F.struct(
             F.struct(*(rest(entries, t) for t in THIRDS)).alias("cells"),
-            (s["found"] + F.size(entries)).alias("found"), (F.size(entries) == 0).alias("stuck"),
+            F.concat(s["found"], F.transform(entries, lambda e: F.struct(e["k"].alias("digest"), e["n"].alias("side")))).alias("found"),
+            (F.size(entries) == 0).alias("stuck"),
         ))
 
     def clean(s: Column) -> Column:
@@ -111,30 +134,42 @@ def _peel(cells: Column, width: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Digests of a text and the sketch that is its fingerprint."""
-    return let(paragraph_digests(text), lambda d: F.struct(d.alias("digests"), sketch(d, F.lit(CELLS // 3)).alias("cells")))
+    return let(paragraph_digests(text), lambda d: F.struct(d.alias("digests"), sketch(d).alias("cells")))
+
+
+def _by_larger(one: Column, two: Column, attempt: Column) -> Column:
+    """What two lists of digests differ in, by a row of sketches, which grows
+    with each attempt; null if one of them can't be peeled."""
+    both = F.size(one) + F.size(two)
+    bits = F.greatest(F.ceil(F.log2(F.greatest(both, F.lit(1)) / LOAD)), F.lit(1)).cast("int") + attempt - 1
+    side = lambda x, of: F.transform(F.filter(x, lambda e: e["side"] == of), lambda e: e["digest"])
+    peeled = lambda x: _peel(_minus(sketch(side(x, 1), attempt), sketch(side(x, -1), attempt)), attempt)
+    apart = let(bits, lambda b: F.transform(in_groups(one, two, b), peeled))
+    return let(apart, lambda a: F.when(F.forall(a, lambda x: x.isNotNull()), F.flatten(a)))
 
 
 def differing(one: Column, two: Column) -> Column:
-    """Number of paragraphs that two texts differ in: by their fingerprints,
-    then, if both are small, by larger sketches, the last with three cells for
-    each paragraph of both. Else, or should that one fail too, the digests
-    decide: the number is the same, and a sketch costs its cells times its
-    paragraphs."""
-    both = F.size(one["digests"]) + F.size(two["digests"])
-
-    def attempt(width: Column) -> Column:
-        return F.when(both <= SMALL, let(width, lambda w: _peel(_minus(sketch(one["digests"], w), sketch(two["digests"], w)), w)))
-
-    exact = F.size(F.array_except(one["digests"], two["digests"])) + F.size(F.array_except(two["digests"], one["digests"]))
-    return F.when(one["digests"] == two["digests"], F.lit(0)).otherwise(F.coalesce(
-        _peel(_minus(one["cells"], two["cells"]), F.lit(CELLS // 3)), attempt(F.ceil(both / 2).cast("int") + 3), attempt(both + 9), exact,
-    ))
+    """The paragraph digests that two texts differ in, with their side: by
+    their fingerprints, else by larger and larger sketches. Null if not even
+    rows doubled `DOUBLED` times can be peeled, whose sketches hold less than one
+    digest on average."""
+
+    def search(own: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(DOUBLED + 1)), _peel(_minus(own["one"]["cells"], own["two"]["cells"])),
+            lambda found, attempt: F.when(found.isNotNull(), found).otherwise(_by_larger(own["one"]["digests"], own["two"]["digests"], attempt)),
+        )
+
+    return let(F.struct(one.alias("one"), two.alias("two")), search)
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Shared paragraphs by all paragraphs of two texts; 1 for two empty ones."""
+    """Shared paragraphs by all paragraphs of two texts; 1 for two empty ones.
+    The lists of digests decide only if no sketch could be peeled."""
     both = (F.size(one["digests"]) + F.size(two["digests"])).cast("double")
-    return F.when(both == 0, F.lit(1.0)).otherwise(let(differing(one, two), lambda apart: (both - apart) / (both + apart)))
+    listed = F.size(F.array_except(one["digests"], two["digests"])) + F.size(F.array_except(two["digests"], one["digests"]))
+    apart = let(differing(one, two), lambda found: F.when(found.isNotNull(), F.size(found)).otherwise(listed))
+    return F.when(both == 0, F.lit(1.0)).otherwise(let(apart, lambda n: (both - n) / (both + n)))
 
 
 def fingerprint(of: Column) -> Column:
@@ -153,7 +188,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     slice needs another. Equal ids: by text. Rows with a null doc_id come last.
     """
     ids = docs.select(F.col("doc_id").alias("doc_id"))
-    number, _ = sliced(ids, "doc_id", rows=1024)
+    number, slices = sliced(ids, "doc_id", rows=1024)
     # 65,537 rows at most: the greatest id of each slice, shown to the slice above
     tops = ids.groupBy(number.alias("slice")).agg(F.max("doc_id").alias("top"))
     above = Window.orderBy("slice")
@@ -165,7 +200,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     also = F.array(F.struct(F.col("host").alias("slice"), F.when(F.col("wrap"), 2).otherwise(1).alias("guest")))
     rows = rows.select("doc_id", "text", F.explode(F.when(F.col("host").isNull(), at).otherwise(F.concat(at, also))).alias("p"))
     order = Window.partitionBy("p.slice").orderBy("p.guest", F.desc_nulls_last("doc_id"), "text")
-    rows = rows.select("doc_id", "text", "p", paragraphs(F.col("text")).alias("own"))
+    rows = rows.repartition(slices + 1, F.col("p.slice")).select("doc_id", "text", "p", paragraphs(F.col("text")).alias("own"))
     follows = F.lead(F.struct("text", "own")).over(order)
     return rows.select("doc_id", "text", "own", follows.alias("next"), F.col("p.guest").alias("guest")).filter("guest = 0").drop("guest")
 

@@ -214,7 +214,29 @@ def test_peeling_counts_what_differs(spark):
         rows.append((i, "\n".join(lines), "\n".join(x if pick.random() < 0.6 else x + "!" for x in lines)))
     df = spark.createDataFrame(rows, "i long, one string, two string").select("i", sketches.paragraphs(sketches.F.col("one")).alias("one"), sketches.paragraphs(sketches.F.col("two")).alias("two"))
     for r in df.select("i", "one.digests", sketches.F.col("two.digests").alias("other"), sketches.differing(sketches.F.col("one"), sketches.F.col("two")).alias("d")).collect():
-        assert r["d"] == len(set(r["digests"]) ^ set(r["other"]))
+        assert {(x["digest"], x["side"]) for x in r["d"]} == sides(r["digests"], r["other"]) and len(r["d"]) == len(set(r["digests"]) ^ set(r["other"]))
+
+
+def sides(one, two):
+    return {(d, 1) for d in set(one) - set(two)} | {(d, -1) for d in set(two) - set(one)}
+
+
+def test_every_real_pair_is_peeled(spark):
+    docs = shared.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = sketches.with_next(docs).select("own.digests", sketches.F.col("next.own.digests").alias("other"), sketches.differing(sketches.F.col("own"), sketches.F.col("next.own")).alias("d")).collect()
+    assert len(rows) == 1000 and all(r["d"] is not None and {(x["digest"], x["side"]) for x in r["d"]} == sides(r["digests"], r["other"]) for r in rows)
+
+
+def test_digests_are_grouped_by_their_first_bits(spark):
+    pick = random.Random(8)
+    data = [tuple(sorted(pick.randrange(-(1 << 63), 1 << 63) for _ in range(n)) for n in sizes) for sizes in ((0, 0), (1, 0), (5, 3), (200, 190))]
+    df = spark.createDataFrame(data, "one array<long>, two array<long>")
+    for bits in (1, 3, 6):
+        for r in df.select("one", "two", sketches.in_groups(sketches.F.col("one"), sketches.F.col("two"), sketches.F.lit(bits)).alias("g")).collect():
+            want = {}
+            for d, side in sorted([(d, 1) for d in r["one"]] + [(d, -1) for d in r["two"]]):
+                want.setdefault((d + (1 << 63)) >> (64 - bits), []).append((d, side))
+            assert [[tuple(x) for x in g] for g in r["g"]] == list(want.values())
 
 
 @pytest.mark.parametrize("lines", [1, 12])
@@ -238,7 +260,7 @@ def test_texts_of_many_lines_are_compared_in_linear_time(spark):
     df = df.select(*(sketches.paragraphs(sketches.F.col(c)).alias(c) for c in ("one", "two")))
     began = time.monotonic()
     got = df.select("one.digests", sketches.F.col("two.digests").alias("other"), sketches.differing(sketches.F.col("one"), sketches.F.col("two")).alias("d")).first()
-    assert got["d"] == len(set(got["digests"]) ^ set(got["other"])) > 10_000 and time.monotonic() - began < 60
+    assert {(x["digest"], x["side"]) for x in got["d"]} == sides(got["digests"], got["other"]) and len(got["d"]) > 10_000 and time.monotonic() - began < 90
 
 
 def test_fingerprints_of_null_and_repeated_ids(spark):
