@@ -11,8 +11,6 @@ multiplied with itself.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +19,8 @@ from cartwise.functions import sizes, traits, vocab
 
 SHORTLIST = 8
 KEY = ["sub_code", "chain", "want_unit"]
-WIDEST = max(limits[1] for limits in vocab.QUANTITY_LIMITS.values()) / 100  # of all suggested limits
-BIN = math.log1p(WIDEST) + 0.005  # a quantity in reach above is in the same or the next bin
-BELOW = math.ceil(-math.log1p(-WIDEST) / BIN)  # and one below at most so many bins down
+BIN = 0.1  # width of a bin of quantities, as a difference of logarithms; all limits are below 100 percent
+CROWD = 2_000  # carried shapes of a bin from which it is dealt into parts
 QTY = "decimal(12,3)"
 REASONS = ("missing_rule", "missing_candidate_quantity", "unit_mismatch", "unknown_unit", "outside_allowed_range")
 
@@ -172,21 +169,29 @@ def _bin(qty: Column) -> Column:
     return F.floor(F.log(qty.cast("double")) / BIN).cast("int")
 
 
-def shape_pairs(shapes: DataFrame) -> DataFrame:
-    """Pairs of shapes that fit by quantity, with their tier, the gap and
-    whether the traits allow the pair.
+def shape_pairs(asked: DataFrame, carried: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs of an asked and a carried shape (shape, shape_id) that fit by
+    quantity, with their tier, the gap and whether the traits allow the pair.
 
-    Quantities sit in logarithmic bins one widest limit wide, so a pair in
-    reach is in the same bin, the next one or one of the `BELOW` before. The
-    pairs do not depend on the chain.
+    Quantities sit in logarithmic bins; an asked shape looks into the bins that
+    the limit of its category reaches, and into no others. A bin with more than
+    `crowd` carried shapes is dealt into parts, and those who look into it look
+    into each. The pairs do not depend on the chain.
     """
-    sized = shapes.filter("shape.base_unit IS NOT NULL").withColumns({
-        "sub_code": F.col("shape.sub_code"), "base_unit": F.col("shape.base_unit"), "_bin": _bin(F.col("shape.base_qty")),
-    })
-    left = sized.select("sub_code", "base_unit", F.explode(F.sequence(F.col("_bin") - BELOW, F.col("_bin") + 1)).alias("_bin"),
-                        F.col("shape").alias("o"), F.col("shape_id").alias("o_shape"))
-    right = sized.select("sub_code", "base_unit", "_bin", F.col("shape").alias("c"), F.col("shape_id").alias("c_shape"))
-    pairs = left.join(right, ["sub_code", "base_unit", "_bin"])
+    fields = {"sub_code": F.col("shape.sub_code"), "base_unit": F.col("shape.base_unit")}
+    sized = lambda shapes: shapes.filter("shape.base_unit IS NOT NULL AND shape.base_qty > 0").withColumns(fields)
+    qty, reach = F.col("shape.base_qty").cast("double"), limit_of(F.col("sub_code"), 1).cast("double") / 100
+    # a little wider than the limit, as the limit itself is checked exactly
+    low = _bin(qty * (1 - reach) * 0.999999)
+    left = sized(asked).filter(reach.isNotNull()).select(
+        "sub_code", "base_unit", F.explode(F.sequence(low, _bin(qty * (1 + reach) * 1.000001))).alias("_bin"), F.col("shape").alias("o"), F.col("shape_id").alias("o_shape")
+    )
+    right = sized(carried).select("sub_code", "base_unit", _bin(qty).alias("_bin"), F.col("shape").alias("c"), F.col("shape_id").alias("c_shape"))
+    key = ["sub_code", "base_unit", "_bin"]
+    parts = right.groupBy(*key).agg(F.ceil(F.count("*") / crowd).cast("int").alias("_parts"))
+    left = left.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    right = right.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("c_shape"), F.col("_parts")).cast("int")).drop("_parts")
+    pairs = left.join(right, [*key, "_part"])
     o, c, sub = F.col("o"), F.col("c"), F.col("sub_code")
     tier = quantity_tier(sub, o["base_unit"], o["base_qty"], o["multipack"], c["base_unit"], c["base_qty"], c["multipack"])
     pairs = pairs.withColumn("tier", tier).filter(F.col("tier").isin("auto", "suggested"))
@@ -224,7 +229,8 @@ def matches(wanted: DataFrame, pool: DataFrame, shapes: DataFrame, shortlist: in
     lowest = top_n(goods, [*at, "c_shape"], shortlist, F.col("group_id").asc())
     lowest = lowest.groupBy(*at, "c_shape").agg(F.array_sort(F.collect_list("group_id")).alias("c_ids"))
     kinds = sizes_.join(lowest, [*at, "c_shape"])
-    met = asked.join(shape_pairs(shapes), "o_shape").join(kinds, [*at, "c_shape"])
+    of = lambda ids, column: shapes.join(ids.select(F.col(column).alias("shape_id")).distinct(), "shape_id", "left_semi")
+    met = asked.join(shape_pairs(of(asked, "o_shape"), of(goods, "c_shape")), "o_shape").join(kinds, [*at, "c_shape"])
     counted = lambda test: F.sum(F.when(test, F.col("c_count")).otherwise(0))
     key = [*at, "o_shape"]
     counts = met.groupBy(*key).agg(
