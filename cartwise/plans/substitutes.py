@@ -115,6 +115,18 @@ def _pool(t: Tables) -> DataFrame:
     return asked.join(pool, X.KEY).select("group_id", "chain", "n", "id_sum")
 
 
+@query("sb17_capped_pool", f"""
+WITH {PAIRS} SELECT group_id, chain, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_id) AS BIGINT) AS id_sum
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id, chain ORDER BY c_id) AS place FROM pairs) x WHERE place <= 5 GROUP BY 1, 2""")
+def _capped_pool(t: Tables) -> DataFrame:
+    """The pool with its cap: of each pool the lowest group ids."""
+    carried = X.carried_products(t.shelf_prices, t.stores, t.shelf_members)
+    _, profiled = X.number_shapes(X.profiles(t.shelf_groups, t.shelf_members, t.shelf_products))
+    asked = X.originals(_requests(t), profiled).filter("known")
+    pool = X.candidates(asked, carried, profiled, pool_limit=5).groupBy(*X.KEY).agg(F.count("*").alias("n"), F.sum("group_id").alias("id_sum"))
+    return asked.join(pool, X.KEY).select("group_id", "chain", "n", "id_sum")
+
+
 @query("sb04_quantity_tiers", f"""
 WITH {PAIRS} SELECT group_id, chain, CAST(count(*) FILTER (WHERE tier = 'auto') AS BIGINT) AS n_auto, CAST(count(*) FILTER (WHERE tier = 'suggested') AS BIGINT) AS n_suggested,
   CAST(count(*) FILTER (WHERE tier = 'incompatible') AS BIGINT) AS n_incompatible, CAST(count(*) FILTER (WHERE tier = 'unknown') AS BIGINT) AS n_unknown

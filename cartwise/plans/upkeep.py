@@ -363,7 +363,7 @@ def _lookup(t: Tables) -> DataFrame:
     return t.part.select(word.alias("ingredient")).distinct().select("ingredient", F.array(F.upper("ingredient")).alias("search_terms"), codes_.alias("sub_codes"))
 
 
-def _per_chain(t: Tables) -> DataFrame:
+def per_chain(t: Tables) -> DataFrame:
     return R.ingredient_prices(R.ingredient_candidates(_lookup(t), t.products), t.prices, PRICE_AS_OF, aliases={"africa": "asia"})
 
 
@@ -375,12 +375,12 @@ def _candidates(t: Tables) -> DataFrame:
 
 @query("ag09_ingredient_prices", f"WITH {INGREDIENTS} SELECT ingredient, chain, price FROM per")
 def _ingredient_prices(t: Tables) -> DataFrame:
-    return _per_chain(t).select("ingredient", "chain", "price")
+    return per_chain(t).select("ingredient", "chain", "price")
 
 
 @query("ag10_ingredient_best", f"WITH {INGREDIENTS} SELECT ingredient, min(price) AS price FROM per GROUP BY 1")
 def _best(t: Tables) -> DataFrame:
-    return R.ingredient_best(_per_chain(t)).select("ingredient", "price")
+    return R.ingredient_best(per_chain(t)).select("ingredient", "price")
 
 
 RECIPES = "items AS (SELECT DISTINCT basket_id AS recipe_id, split_part(p_name, ' ', 2) AS ingredient FROM baskets JOIN part ON p_partkey = product_id)"
@@ -393,7 +393,7 @@ SELECT c.recipe_id, c.chain, CAST(count(p.price) AS BIGINT) AS covered, CAST(cou
 FROM ch c JOIN items i ON i.recipe_id = c.recipe_id LEFT JOIN per p ON p.ingredient = i.ingredient AND p.chain = c.chain GROUP BY 1, 2""")
 def _price_recipes(t: Tables) -> DataFrame:
     items = t.baskets.join(t.part, F.col("p_partkey") == F.col("product_id")).select(F.col("basket_id").alias("recipe_id"), F.get(F.split("p_name", " "), F.lit(1)).alias("ingredient"))
-    rows = R.price_recipes(items, _per_chain(t))
+    rows = R.price_recipes(items, per_chain(t))
     return rows.select("recipe_id", "chain", "covered", "total", "total_price", F.array_join("not_found", ",").alias("not_found"))
 
 
