@@ -48,7 +48,7 @@ DECAY, SPAN = 0.7, 5
 GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: Bounds of what the machine is fitted on: labelled rows, and their words: those
 #: that toxic documents prefer most significantly, and the most frequent others.
-MAX_ROWS, MAX_PREFERRED, MAX_OTHERS, LANDMARKS = 10_000, 4_000, 8_000, 600
+MAX_ROWS, MAX_PREFERRED, MAX_OTHERS, LANDMARKS = 10_000, 3_000, 5_000, 320
 #: Preferred words that enter with a letter put in, and their weight.
 INSERTED, INSERTED_WEIGHT = 200, 0.1
 PENALTY = 1e-4
@@ -175,7 +175,10 @@ def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
 def embed(words: list[str], chosen: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nystroem features of words, and the two matrices that lead from weights
     of these features to weights of landmarks, and on to those of subsequences."""
-    marks = features(chosen)
+    by_subsequence = np.empty((LETTERS**3, len(chosen)), np.float32)  # as `kernel` reads them
+    for at in range(0, len(chosen), 64):
+        by_subsequence[:, at : at + 64] = features(chosen[at : at + 64]).T
+    marks = by_subsequence.T
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
     return kernel(words, marks) @ root, root, marks
@@ -316,28 +319,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     share = sums["toxic"] / (sums["toxic"] + sums["clean"])
     expected = (F.col("toxic") + F.col("clean")) * share
     words = words.withColumn("preference", (F.col("toxic") - expected) / F.sqrt(expected * (1 - share)))
-    preferred = words.orderBy(F.desc("preference"), "word").limit(MAX_PREFERRED)
-    others = words.orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(MAX_PREFERRED + MAX_OTHERS)
-    table_ = {r["word"]: r for r in preferred.collect()}  # at most MAX_PREFERRED, and those MAX_OTHERS more
-    first = list(table_)
-    for r in others.collect():
-        if len(table_) < MAX_PREFERRED + MAX_OTHERS:
-            table_.setdefault(r["word"], r)
-    spelled = list(table_)
+    preferred = words.orderBy(F.desc("preference"), "word").limit(MAX_PREFERRED).toArrow()
+    others = words.orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(MAX_PREFERRED + MAX_OTHERS).toArrow()
+    known_words = set(preferred["word"].to_pylist())
+    new = [w not in known_words for w in others["word"].to_pylist()]
+    both = pa.concat_tables([preferred, others.filter(pa.array(new, pa.bool_()))]).slice(0, MAX_PREFERRED + MAX_OTHERS)
+    spelled, preference = both["word"].to_pylist(), both["preference"].to_numpy()
     rest = sorted(spelled[LANDMARKS // 2 :], key=lambda w: crc32(w.encode()))
-    near = [w for w in first[:INSERTED] if len(w) > 3 and table_[w]["preference"] > 3]
-    x, root, marks = embed(spelled + with_letter(near), spelled[: LANDMARKS // 2] + rest[: LANDMARKS // 2])
+    near = [i for i in range(min(INSERTED, len(preferred))) if len(spelled[i]) > 3 and preference[i] > 3]
+    x, root, marks = embed(spelled + with_letter([spelled[i] for i in near]), spelled[: LANDMARKS // 2] + rest[: LANDMARKS // 2])
     machines = []
-    place = {w: i for i, w in enumerate(spelled)}
     for without in (*range(FOLDS), None):
-        seen = {side: np.array([table_[w][side] - (0 if without is None else table_[w][f"{side}{without}"]) for w in spelled], float) for side in sides}
-        varied = np.array([seen["toxic"][place[w]] * INSERTED_WEIGHT for w in near])
-        w, offset = machine(x, np.append(seen["toxic"], varied), np.append(seen["clean"], np.zeros(len(near))))
+        seen = {side: both[side].to_numpy() - (0.0 if without is None else both[f"{side}{without}"].to_numpy()) for side in sides}
+        w, offset = machine(x, np.append(seen["toxic"], seen["toxic"][near] * INSERTED_WEIGHT), np.append(seen["clean"], np.zeros(len(near))))
         machines.append(((root @ w.astype(np.float32) @ marks).astype(np.float64), offset))
+    del x, marks, both, preferred, others
     shared = spark.sparkContext.broadcast(machines)
     found = rows.select("doc_id", "text", "fold").mapInArrow(_evidence(shared), "doc_id long, sum double, top double")
-    found = found.join(F.broadcast(chosen), "doc_id").filter("top IS NOT NULL").select("sum", "top", "toxic").toPandas()  # about max_rows
-    curve = _curve(found[["sum", "top"]].to_numpy(), found["toxic"].to_numpy().astype(float))
+    found = found.join(F.broadcast(chosen), "doc_id").filter("top IS NOT NULL").select("sum", "top", "toxic").toArrow()  # about max_rows
+    curve = _curve(np.stack([found["sum"].to_numpy(), found["top"].to_numpy()], axis=1), found["toxic"].to_numpy().astype(float))
     return Model(*machines[-1], tuple(float(c) for c in curve))
 
 
