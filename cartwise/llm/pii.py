@@ -117,11 +117,20 @@ def well_formed(text: str, kind: int) -> bool:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text around its triggers; outside of them no kind is possible."""
+    """Parts of a text around its triggers, to the end of the runs of address
+    characters that they cut. What has no digit, no @ and no "at" in brackets
+    near it, such as an address written out in words, is not read."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        start, end = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and start <= out[-1][1]:
+        done = out[-1][1] if out else 0
+        if m.end() + MARGIN <= done:
+            continue
+        start, end = max(0, m.start() - MARGIN), max(done, min(len(text), m.end() + MARGIN))
+        while done < start and text[start - 1] in _LOCAL:
+            start -= 1
+        while end < len(text) and text[end] in _LOCAL:
+            end += 1
+        if out and start <= done:
             out[-1][1] = end
         else:
             out.append([start, end])
@@ -133,8 +142,10 @@ _SIGNS = " \n.,-()[]{}@+_%/:=\"'"
 
 def _symbols(text: str) -> np.ndarray:
     """Numbers of characters: letters without case, digits alike, some signs."""
-    out = np.empty(len(text), np.int64)
-    for i, c in enumerate(text.lower()[: len(text)]):
+    out, small = np.empty(len(text), np.int64), text.lower()
+    if len(small) != len(text):  # some capitals have two characters as small ones
+        small = "".join(c.lower()[:1] or c for c in text)
+    for i, c in enumerate(small):
         out[i] = ord(c) - 96 if "a" <= c <= "z" else 27 if "0" <= c <= "9" else 28 + _SIGNS.index(c) if c in _SIGNS else 49 if c.isalpha() else 50
     return out
 

@@ -50,6 +50,20 @@ def test_the_model_adds_rewritten_spans_and_keeps_the_rest(tagger):
     assert [found[t] for t in TEXTS[3:]] == ["", "", ""]
 
 
+def test_capitals_of_two_small_characters_shift_nothing(tagger):
+    text = "İİİİİİ " + TEXTS[0]
+    assert pii.written(pii.all_spans([text], tagger)[0][1]) == "email:16:44"
+
+
+def test_stretches_reach_the_end_of_runs():
+    local, domain = "a" * 60, "b" * 70 + ".example"
+    text = f"see {local} (at) {domain} and so on, 5 of them. " + "z" * 50 + " 7"
+    (a, b), *rest = pii.stretches(text)
+    assert text[a:b].startswith(local) and domain in text[a:b] and rest
+    assert all(x[1] < y[0] for x, y in zip([(a, b), *rest], rest)) and rest[-1][1] == len(text)
+    assert pii.stretches("x" * 5_000 + "1" * 5_000) == [(0, 10_000)] and pii.stretches("nothing") == []
+
+
 TEXTS = ["write to anna.b (at) mail.example.com today", "call 743-555-3824 please", "host 10.2.3.4 is up", "version 3 of 2024-01-02", "nothing here", ""]
 
 
