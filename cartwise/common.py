@@ -60,11 +60,6 @@ def blank_to_null(column: Column | str) -> Column:
     return F.nullif(F.trim(column), F.lit(""))
 
 
-def round2(column: Column) -> Column:
-    """Two decimals, half up, on decimal money."""
-    return F.round(column, 2)
-
-
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, however often the body uses
     it. Plain nesting would copy the expression to every use."""

@@ -18,6 +18,7 @@ from cartwise.common import blank_to_null, literal_map, pick_first, settled, top
 from cartwise.functions import sizes, traits, vocab
 
 SHORTLIST = 8
+RULES_VERSION = "1"
 KEY = ["sub_code", "chain", "want_unit"]
 BIN = 0.1  # width of a bin of quantities, as a difference of logarithms; all limits are below 100 percent
 CROWD = 2_000  # carried shapes of a bin from which it is dealt into parts
@@ -365,17 +366,49 @@ def merge_decisions(cache: DataFrame, decided: DataFrame, as_of) -> DataFrame:
     return cache.select(*fields).join(new, key, "left_anti").unionByName(new)
 
 
+def share_of(column: str, parts: int = 10_000) -> Column:
+    """A stable number below `parts` for a key, the same in every engine that
+    has md5."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(column).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(parts))
+
+
+def missing_lines(baskets: DataFrame, members: DataFrame, groups: DataFrame, open_pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """Basket lines that a chain near the basket doesn't carry: request_id,
+    position, group_id, sub_code, chain and the first store of the chain in
+    reach. `open_pairs` are the (group, chain) without a price."""
+    reach = near.groupBy("basket_id", F.lower("chain").alias("chain")).agg(F.min("store_id").alias("first_seen_store_id"))
+    lines = baskets.select("basket_id", "product_id").join(members.select("product_id", "group_id"), "product_id")
+    coded = groups.select(F.col("id").alias("group_id"), "sub_code")
+    met = lines.join(coded, "group_id").join(reach, "basket_id").join(open_pairs.select("group_id", F.lower("chain").alias("chain")), ["group_id", "chain"])
+    return met.select(F.col("basket_id").alias("request_id"), F.col("product_id").alias("position"), "group_id", "sub_code", "chain", "first_seen_store_id")
+
+
 def shadow_sample(missing: DataFrame, categories: list[str], rate: float = 0.05, per_request: int = 2) -> DataFrame:
     """Shadow work of compare requests: a stable share of the requests, watched
     categories only, each (group, chain) once per request, a few per request.
-    `missing` has request_id, position, group_id, sub_code, chain. The share is
-    taken by hash, so a rerun samples the same requests."""
-    sampled = missing.filter(F.col("sub_code").isin(*categories) & (F.pmod(F.xxhash64("request_id"), F.lit(10000)) < int(rate * 10000)))
-    chain = F.lower("chain")
-    once = sampled.groupBy("request_id", "group_id", "sub_code", chain.alias("chain")).agg(F.min("position").alias("position"))
+    `missing` has request_id, position, group_id, sub_code, chain and
+    first_seen_store_id. The share is taken by hash, so a rerun samples the same
+    requests."""
+    sampled = missing.filter(F.col("sub_code").isin(*categories) & (share_of("request_id") < int(rate * 10_000)))
+    once = sampled.groupBy("request_id", "group_id", "sub_code", F.lower("chain").alias("chain")).agg(
+        F.min("position").alias("position"), F.min("first_seen_store_id").alias("first_seen_store_id")
+    )
     return top_n(once, "request_id", per_request, F.col("position").asc(), F.col("group_id").asc(), F.col("chain").asc())
 
 
+def shadow_events(sampled: DataFrame, decided: DataFrame, rules_version: str = RULES_VERSION) -> DataFrame:
+    """One event for each sampled line with what the rules decided for it, and
+    the figures behind the decision as JSON."""
+    trace = F.to_json(F.struct("sql_candidate_count", "quantity_auto_count", "quantity_suggested_count", "trait_eligible_count"))
+    answers = decided.select(
+        "group_id", F.lower("chain").alias("chain"), "substitute_group_id", "decision_type", F.col("price").alias("candidate_price"), trace.alias("trace")
+    )
+    return sampled.join(answers, ["group_id", "chain"]).select(
+        F.col("request_id").alias("compare_request_id"), F.lit(rules_version).alias("rules_version"), "chain", "first_seen_store_id",
+        F.col("group_id").alias("original_group_id"), "substitute_group_id", "sub_code", "decision_type", "candidate_price", "trace",
+    )
+
+
 def decision_report(decided: DataFrame) -> DataFrame:
     """Decisions per kind over distinct cases."""
     cases = decided.select("group_id", F.lower("chain").alias("chain"), "decision_type").distinct()

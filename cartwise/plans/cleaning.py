@@ -505,7 +505,11 @@ def _image(t: Tables) -> DataFrame:
     return _shop_pages(t).select("page_id", web.extract_image_url(F.col("html")).alias("image_url"))
 
 
-@query("sf27_given_page_images")
+@query("sf27_given_page_images", r"""
+SELECT page_id, nullif(regexp_extract(html, '<meta[^>]+property=.og:image.[^>]+content=.(http[^"'']+)', 1), '') AS image_url,
+  CAST(len(list_filter(list_transform(
+    regexp_extract_all(html, '(?is)<(?:li|p|span|div)[^>]*>[^<:]{1,60}:[^<]{1,160}</(?:li|p|span|div)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')),
+    lambda x: regexp_matches(x, '^[^:]*[^:\s][^:]*:\s*\S'))) AS INTEGER) AS labels FROM pages""")
 def _given_images(t: Tables) -> DataFrame:
     return t.pages.select("page_id", web.extract_image_url(F.col("html")).alias("image_url"), F.size(web.label_pairs(F.col("html"))).alias("labels"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartwise.common import settled
 from cartwise.functions import traits, vocab
 from cartwise.operators import substitution as X
-from cartwise.plans.pricing import CHAINS
+from cartwise.plans.pricing import CHAINS, NEAR, near
 from cartwise.plans.registry import query
 from cartwise.sources.adapters import Tables
 
@@ -86,6 +86,13 @@ usable AS (SELECT *, row_number() OVER (PARTITION BY group_id, chain ORDER BY CA
 """
 
 
+DECISIONS = """
+tally AS (SELECT group_id, chain, count(*) AS n, count(*) FILTER (WHERE tier IN ('auto', 'suggested')) AS fitting FROM pairs GROUP BY 1, 2),
+kept AS (SELECT group_id, chain, count(*) AS eligible, max(CASE WHEN position = 1 THEN c_id END) AS pick, max(CASE WHEN position = 1 THEN final END) AS pick_tier FROM usable GROUP BY 1, 2),
+live AS (SELECT m.group_id, s.chain, min(p.price) AS price FROM shelf_prices p JOIN stores s ON s.id = p.store_id JOIN shelf_members m ON m.product_id = p.product_id GROUP BY 1, 2)
+"""
+
+
 def _requests(t: Tables) -> DataFrame:
     carried = X.carried_products(t.shelf_prices, t.stores, t.shelf_members)
     return X.gaps(t.shelf_groups, CHAINS, carried)
@@ -160,9 +167,7 @@ def _shortlist(t: Tables) -> DataFrame:
 
 @query("sb13_substitution_decisions", f"""
 WITH {PAIRS},
-tally AS (SELECT group_id, chain, count(*) AS n, count(*) FILTER (WHERE tier IN ('auto', 'suggested')) AS fitting FROM pairs GROUP BY 1, 2),
-kept AS (SELECT group_id, chain, count(*) AS eligible, max(CASE WHEN position = 1 THEN c_id END) AS pick, max(CASE WHEN position = 1 THEN final END) AS pick_tier FROM usable GROUP BY 1, 2),
-live AS (SELECT m.group_id, s.chain, min(p.price) AS price FROM shelf_prices p JOIN stores s ON s.id = p.store_id JOIN shelf_members m ON m.product_id = p.product_id GROUP BY 1, 2)
+{DECISIONS}
 SELECT o.group_id, o.chain, CASE WHEN NOT (coalesce(o.net_qty, 0) <> 0 AND coalesce(o.net_unit, '') <> '') THEN 'no_quantity_data' WHEN k.eligible IS NULL THEN 'no_eligible_candidates'
          WHEN k.pick_tier = 'auto' THEN 'auto_substitute' ELSE 'suggested_substitute' END AS decision_type,
   k.pick AS substitute_group_id, CAST(coalesce(t.n, 0) AS BIGINT) AS sql_candidate_count, CAST(coalesce(t.fitting, 0) AS BIGINT) AS quantity_eligible_count,
@@ -278,12 +283,25 @@ def _reuse(t: Tables) -> DataFrame:
     )
 
 
-@query("sb16_shadow_sample")
+_WATCHED = ("dairy_milk", "dairy_yogurt_kefir", "cheese_regular")
+
+
+@query("sb16_shadow_sample", f"""
+WITH {PAIRS}, {DECISIONS}, {NEAR},
+decided AS (SELECT o.group_id, o.chain, CASE WHEN NOT (coalesce(o.net_qty, 0) <> 0 AND coalesce(o.net_unit, '') <> '') THEN 'no_quantity_data' WHEN k.eligible IS NULL THEN 'no_eligible_candidates'
+    WHEN k.pick_tier = 'auto' THEN 'auto_substitute' ELSE 'suggested_substitute' END AS decision_type, k.pick, l.price, coalesce(t.n, 0) AS n
+  FROM originals o LEFT JOIN tally t ON t.group_id = o.group_id AND t.chain = o.chain LEFT JOIN kept k ON k.group_id = o.group_id AND k.chain = o.chain LEFT JOIN live l ON l.group_id = k.pick AND l.chain = o.chain),
+reach AS (SELECT basket_id, lower(chain) AS chain, min(store_id) AS first_seen_store_id FROM near GROUP BY 1, 2),
+missed AS (SELECT b.basket_id, m.group_id, g.sub_code, x.chain, min(b.product_id) AS position, min(r.first_seen_store_id) AS first_seen_store_id
+  FROM baskets b JOIN shelf_members m ON m.product_id = b.product_id JOIN shelf_groups g ON g.id = m.group_id JOIN gaps x ON x.group_id = m.group_id JOIN reach r ON r.basket_id = b.basket_id AND r.chain = x.chain
+  WHERE g.sub_code IN {_WATCHED} AND CAST(concat('0x', substr(md5(CAST(b.basket_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10000 < 5000 GROUP BY 1, 2, 3, 4),
+taken AS (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY position, group_id, chain) AS r FROM missed)
+SELECT s.basket_id AS compare_request_id, s.chain, s.first_seen_store_id, s.group_id AS original_group_id, d.pick AS substitute_group_id, s.sub_code, d.decision_type, d.price AS candidate_price, CAST(d.n AS BIGINT) AS pool
+FROM taken s JOIN decided d ON d.group_id = s.group_id AND d.chain = s.chain WHERE s.r <= 2""")
 def _shadow(t: Tables) -> DataFrame:
-    members = t.shelf_members.withColumnRenamed("group_id", "_g")
-    missing = (
-        t.baskets.join(members, "product_id").join(t.shelf_groups.withColumnRenamed("id", "_g"), "_g")
-        .select(F.col("basket_id").alias("request_id"), F.col("product_id").alias("position"), F.col("_g").alias("group_id"), "sub_code",
-                F.element_at(F.array(*[F.lit(c) for c in CHAINS]), (F.col("product_id") % 5 + 1).cast("int")).alias("chain"))
-    )
-    return X.shadow_sample(missing, ["dairy_milk", "dairy_yogurt_kefir", "cheese_regular"])
+    """Events of sampled baskets: lines that chains near them don't carry."""
+    requests = _requests(t)
+    decided, _ = _decided(t)
+    missing = X.missing_lines(t.baskets, t.shelf_members, t.shelf_groups, requests, near(t))
+    events = X.shadow_events(X.shadow_sample(missing, list(_WATCHED), 0.5), decided)
+    return events.withColumn("pool", F.get_json_object("trace", "$.sql_candidate_count").cast("long")).drop("trace", "rules_version")

@@ -163,7 +163,7 @@ def test_cache_holds_for_version_and_time(spark):
 
 
 def test_shadow_sample_is_stable_and_capped(spark):
-    missing = spark.range(2000).select((F.col("id") % 100).alias("request_id"), "id", (F.col("id") % 7).alias("group_id"), F.lit("tea").alias("sub_code"), F.lit("A").alias("chain")).withColumnRenamed("id", "position")
+    missing = spark.range(2000).select((F.col("id") % 100).alias("request_id"), "id", (F.col("id") % 7).alias("group_id"), F.lit("tea").alias("sub_code"), F.lit("A").alias("chain"), F.lit(1).alias("first_seen_store_id")).withColumnRenamed("id", "position")
     first, again = (rows(X.shadow_sample(missing, ["tea"], rate=0.5)) for _ in range(2))
     assert first == again and first
     per = {}
