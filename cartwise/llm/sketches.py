@@ -12,9 +12,10 @@ Two sketches are compared by subtracting cell from cell and peeling: a cell
 with a single digest left gives it away, and the digest is taken out of its
 other cells, until all is empty. What was peeled, digests and the side each is
 on, is what the texts differ in. If cells are left, larger sketches are built
-from the digests and peeled in the same way, twice as large each time. A larger
-sketch is a row of sketches of CELLS cells: the first bits of a digest choose
-which, so that its cost follows the number of paragraphs. Everything here is a
+from the digests and peeled in the same way. A larger sketch is a row of
+sketches of CELLS cells: the first bits of a digest choose which, so that its
+cost follows the number of paragraphs. What of the row can't be peeled is tried
+again at twice the size, until all is. Everything here is a
 column expression.
 """
 
@@ -33,7 +34,7 @@ WORD = r"(?:\p{Lo}|[\p{L}&&[^\p{Lo}]]+|\p{N}+)[^\p{L}\p{N}\n]*|[^\p{L}\p{N}\n]+|
 #: One pair of words in so many ends a paragraph.
 EVERY = 8
 #: Digests of both texts for each sketch of the first larger row, and how often rows are doubled.
-LOAD, DOUBLED = 8, 6
+LOAD, DOUBLED = 12, 7
 ROUNDS = 24
 
 
@@ -70,29 +71,38 @@ def _own(entries: Column, third: str, index: Column) -> Column:
     return F.filter(entries, lambda e: e[third] == index)
 
 
-def sketch(digests: Column, seed: Column | int = 0) -> Column:
-    """Three lists of WIDTH cells: (n, keys, checks) for each."""
+def _cells(entries: Column) -> Column:
+    """Three lists of WIDTH cells: (n, keys, checks) of the entries in each."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
     places = F.sequence(F.lit(0), F.lit(WIDTH - 1))
 
-    def cells(entries: Column, third: str) -> Column:
-        return F.transform(places, lambda i: _merged(empty, _own(entries, third, i), 1)).alias(third)
+    def third_of(own: Column, third: str) -> Column:
+        return F.transform(places, lambda i: _merged(empty, _own(own, third, i), 1)).alias(third)
 
-    return let(F.transform(digests, lambda d: _entry(d, F.lit(1), seed)), lambda entries: F.struct(*(cells(entries, t) for t in THIRDS)))
+    return let(entries, lambda own: F.struct(*(third_of(own, t) for t in THIRDS)))
 
 
-def in_groups(one: Column, two: Column, bits: Column) -> Column:
-    """The digests of two lists, as lists of (digest, side) with equal first
-    `bits` bits, one or more, in ascending order; groups without any are left out."""
+def sketch(digests: Column) -> Column:
+    return _cells(F.transform(digests, lambda d: _entry(d, F.lit(1), 0)))
+
+
+def tagged(one: Column, two: Column) -> Column:
+    """The digests of two lists in ascending order, each with its side."""
     marked = lambda side: lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side"))
-    tagged = F.array_sort(F.concat(F.transform(one, marked(1)), F.transform(two, marked(-1))))
-    number = lambda x: F.call_function("shiftrightunsigned", x["digest"].bitwiseXOR(F.lit(-(1 << 63))), F.lit(64) - bits)
+    return F.array_sort(F.concat(F.transform(one, marked(1)), F.transform(two, marked(-1))))
+
 
-    def cut(every: Column) -> Column:
-        begins = F.filter(F.transform(every, lambda x, i: F.when((i == 0) | (number(F.get(every, i - 1)) != number(x)), i)), lambda i: i.isNotNull())
+def in_groups(every: Column, groups: Column) -> Column:
+    """Ascending (digest, side) as lists, one for each of `groups` equal parts
+    of the range of digests; parts without any are left out."""
+    upper = lambda x: F.shiftrightunsigned(x["digest"].bitwiseXOR(F.lit(-(1 << 63))), 32)
+    number = lambda x: F.shiftrightunsigned(upper(x) * groups, 32)
+
+    def cut(numbers: Column) -> Column:
+        begins = F.filter(F.transform(numbers, lambda x, i: F.when((i == 0) | (F.get(numbers, i - 1) != x), i)), lambda i: i.isNotNull())
         return let(begins, lambda at: F.transform(at, lambda b, j: F.slice(every, b + 1, F.coalesce(F.get(at, j + 1), F.size(every)) - b)))
 
-    return let(tagged, cut)
+    return let(F.transform(every, number), cut)
 
 
 def _minus(one: Column, two: Column) -> Column:
@@ -100,6 +110,12 @@ def _minus(one: Column, two: Column) -> Column:
     return F.struct(*(F.zip_with(one[t], two[t], less).alias(t) for t in THIRDS))
 
 
+def _difference(every: Column, seed: Column) -> Column:
+    """The sketch of the first side's digests less that of the second's, in one
+    pass over both."""
+    return _cells(F.transform(every, lambda x: _entry(x["digest"], x["side"], seed)))
+
+
 _FOUND = "array<struct<digest:bigint,side:int>>"
 
 
@@ -137,28 +153,37 @@ def paragraphs(text: Column) -> Column:
     return let(paragraph_digests(text), lambda d: F.struct(d.alias("digests"), sketch(d).alias("cells")))
 
 
-def _by_larger(one: Column, two: Column, attempt: Column) -> Column:
-    """What two lists of digests differ in, by a row of sketches, which grows
-    with each attempt; null if one of them can't be peeled."""
-    both = F.size(one) + F.size(two)
-    bits = F.greatest(F.ceil(F.log2(F.greatest(both, F.lit(1)) / LOAD)), F.lit(1)).cast("int") + attempt - 1
-    side = lambda x, of: F.transform(F.filter(x, lambda e: e["side"] == of), lambda e: e["digest"])
-    peeled = lambda x: _peel(_minus(sketch(side(x, 1), attempt), sketch(side(x, -1), attempt)), attempt)
-    apart = let(bits, lambda b: F.transform(in_groups(one, two, b), peeled))
-    return let(apart, lambda a: F.when(F.forall(a, lambda x: x.isNotNull()), F.flatten(a)))
+def _turn(state: Column, attempt: Column) -> Column:
+    """One attempt on what is open: a row of sketches, of which those that can
+    be peeled give what they differ in, and the others stay open."""
+    groups = F.call_function("shiftleft", F.ceil(state["size"] / LOAD).cast("long"), (attempt - 1).cast("int"))
+    tried = let(groups, lambda g: F.transform(in_groups(state["open"], g), lambda x: F.struct(
+        x.alias("own"), _peel(_difference(x, attempt), attempt).alias("found")
+    )))
+
+    def sorted_out(rows: Column) -> Column:
+        left = F.flatten(F.transform(F.filter(rows, lambda r: r["found"].isNull()), lambda r: r["own"]))
+        got = F.flatten(F.transform(F.filter(rows, lambda r: r["found"].isNotNull()), lambda r: r["found"]))
+        return F.struct(left.alias("open"), F.concat(state["found"], got).alias("found"), state["size"].alias("size"))
+
+    return let(tried, sorted_out)
 
 
 def differing(one: Column, two: Column) -> Column:
     """The paragraph digests that two texts differ in, with their side: by
     their fingerprints, else by larger and larger sketches. Null if not even
-    rows doubled `DOUBLED` times can be peeled, whose sketches hold less than one
+    rows doubled `DOUBLED` times can be peeled, whose sketches hold a tenth of a
     digest on average."""
+    nothing = F.array().cast(_FOUND)
 
     def search(own: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(DOUBLED + 1)), _peel(_minus(own["one"]["cells"], own["two"]["cells"])),
-            lambda found, attempt: F.when(found.isNotNull(), found).otherwise(_by_larger(own["one"]["digests"], own["two"]["digests"], attempt)),
-        )
+        every = tagged(own["one"]["digests"], own["two"]["digests"])
+        start = F.struct(every.alias("open"), nothing.alias("found"), F.size(every).alias("size"))
+        larger = let(start, lambda begun: F.aggregate(
+            F.sequence(F.lit(1), F.lit(DOUBLED + 1)), begun, lambda s, attempt: F.when(F.size(s["open"]) == 0, s).otherwise(_turn(s, attempt)),
+            lambda s: F.when(F.size(s["open"]) == 0, s["found"]),
+        ))
+        return F.coalesce(_peel(_minus(own["one"]["cells"], own["two"]["cells"])), larger)
 
     return let(F.struct(one.alias("one"), two.alias("two")), search)
 

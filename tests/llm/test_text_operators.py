@@ -227,15 +227,16 @@ def test_every_real_pair_is_peeled(spark):
     assert len(rows) == 1000 and all(r["d"] is not None and {(x["digest"], x["side"]) for x in r["d"]} == sides(r["digests"], r["other"]) for r in rows)
 
 
-def test_digests_are_grouped_by_their_first_bits(spark):
+def test_digests_are_grouped_by_equal_parts_of_their_range(spark):
     pick = random.Random(8)
     data = [tuple(sorted(pick.randrange(-(1 << 63), 1 << 63) for _ in range(n)) for n in sizes) for sizes in ((0, 0), (1, 0), (5, 3), (200, 190))]
     df = spark.createDataFrame(data, "one array<long>, two array<long>")
-    for bits in (1, 3, 6):
-        for r in df.select("one", "two", sketches.in_groups(sketches.F.col("one"), sketches.F.col("two"), sketches.F.lit(bits)).alias("g")).collect():
+    for groups in (1, 3, 50):
+        both = sketches.tagged(sketches.F.col("one"), sketches.F.col("two"))
+        for r in df.select("one", "two", sketches.in_groups(both, sketches.F.lit(groups)).alias("g")).collect():
             want = {}
             for d, side in sorted([(d, 1) for d in r["one"]] + [(d, -1) for d in r["two"]]):
-                want.setdefault((d + (1 << 63)) >> (64 - bits), []).append((d, side))
+                want.setdefault((((d + (1 << 63)) >> 32) * groups) >> 32, []).append((d, side))
             assert [[tuple(x) for x in g] for g in r["g"]] == list(want.values())
 
 
