@@ -254,7 +254,7 @@ def _attribute(t: Tables) -> DataFrame:
 
 
 def _compare_log(t: Tables) -> DataFrame:
-    return compare_events(compare_summary(results(t)), RADIUS_KM)
+    return compare_events(compare_summary(results(t, "chain")), RADIUS_KM)
 
 
 SENSITIVE = f"""
