@@ -6,6 +6,7 @@ import random
 from datetime import datetime
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from cartwise.common import positions
 from cartwise.operators import baskets as B
@@ -163,3 +164,38 @@ def test_a_late_row_does_not_replace_a_newer_copy(spark):
     first = P.mirror_prices(spark.createDataFrame([], shape + ", source string"), spark.createDataFrame([(5, 1, 20, at(20))], shape), stores)
     for price, day, want in ((10, 3, 20), (30, 20, 20), (15, 20, 15), (40, 21, 40)):
         assert P.mirror_prices(first, spark.createDataFrame([(5, 1, price, at(day))], shape), stores).first()["price"] == want
+
+
+def test_groups_expand_without_comparing_all_pairs(spark):
+    products = spark.createDataFrame([(1,), (1,), (2,), (9,), (None,)], "product_id long")
+    members = spark.createDataFrame([(5, 1), (5, 1), (5, 3), (6, 2), (7, 2), (6, 4), (7, 4), (None, 9)], "group_id long, product_id long")
+    expanded = B.expand_groups(products, members)
+    assert rows(expanded) == sorted([(1, 1), (1, 3), (2, 2), (2, 4), (None, None)], key=repr)
+    top = expanded._jdf.queryExecution().optimizedPlan()
+    assert top.nodeName() == "Union"  # no step over the pairs of all products
+
+
+def test_mirror_spreads_without_moving_copies(spark):
+    rng = random.Random(5)
+    shops = [(i, rng.choice(["x", "y", None]), rng.choice([True, False, None])) for i in range(12)] + [(3, "y", False), (4, "x", False), (None, "x", False)]
+    stores = spark.createDataFrame(shops + shops[:5], "id long, chain string, is_online boolean")
+    fields = "product_id long, store_id long, price long, collected_at timestamp, source string"
+    some = lambda n, kinds: [(rng.choice([*range(6), None]), rng.choice([*range(12), None]), rng.choice([1, 2, 3, None]), rng.choice([T1, T2, None]), rng.choice(kinds)) for _ in range(n)]
+    have = list({r[:2]: r for r in some(60, ["physical", "feed", "mirror:x:online", None])}.values())
+    current, batch = spark.createDataFrame(have, fields), spark.createDataFrame(some(60, ["web"]), fields)
+    copies = P.pick_first(
+        P.mirror_rows(batch, stores), ["product_id", "store_id"], F.col("collected_at").desc_nulls_last(), F.col("price").asc(), F.col("source").asc()
+    )
+    want, news = {}, [tuple(r) for r in copies.select("product_id", "store_id", "price", "collected_at", "source").collect()]
+    out = []
+    for p, s, *new in news:
+        want[p, s] = new
+    seen = lambda t: T1.replace(year=1900) if t is None else t
+    for p, s, *old in have:
+        new = want.pop((p, s), None) if p is not None and s is not None else None
+        late = new and (old[2] or "").startswith("mirror:") and (
+            seen(old[1]) > seen(new[1]) or seen(old[1]) == seen(new[1]) and None not in (old[0], new[0]) and old[0] <= new[0]
+        )
+        out.append((p, s, *(old if new is None or old[2] == "physical" or late else new)))
+    out += [(p, s, *new) for (p, s), new in want.items()]
+    assert rows(P.mirror_prices(current, batch, stores).select("product_id", "store_id", "price", "collected_at", "source")) == sorted(out, key=repr)
