@@ -61,3 +61,13 @@ def test_reach_equals_pairs(spark, monkeypatch, seed, require_all, recipes, mapp
     won = near.join(best.select("basket_id", F.col("winner_store_id").alias("store_id")), ["basket_id", "store_id"], "left_semi")
     assert rows(met) == rows(won.select(*met.columns))
     pairs.unpersist()
+
+
+def test_chains_fold_before_origins_are_looked_up(spark):
+    stores, origins, *_ = _tables(spark, 5, True)
+    origins = origins.unionByName(spark.createDataFrame([(3, 58.1, 24.2), (None, 58.1, 24.2)], origins.schema))
+    want = S.nearby_chains(S.stores_within(origins, stores, 10.0, None, "basket_id"), "basket_id", {"a": "zz"})
+    assert rows(S.chains_within(origins, stores, 10.0, "basket_id", {"a": "zz"})) == rows(want)
+    rounded = S.stores_within(origins, stores, 10.0, None, "basket_id", digits=3)
+    plain = S.stores_within(origins, stores, 10.0, None, "basket_id").withColumn("distance_km", F.round("distance_km", 3))
+    assert rows(rounded) == rows(plain)
