@@ -47,6 +47,8 @@ def test_reach_equals_pairs(spark, monkeypatch, seed, require_all, recipes, mapp
     place = ["basket_id", "rank", "store_id", "total_price", "lines_found"]
     assert rows(B.rank_baskets(price("rank"))[0].select(*place)) == rows(ranked.select(*place))
     assert tidy(B.rank_baskets(price("winner"))[1]) == tidy(winners)
+    slim = B.price_baskets(lines, R.Reach(origins, stores, 10.0), offers, members, require_all, recipe, sources, missing=False)
+    assert rows(slim.drop("distance_km", "chain", "store_name")) == rows(pairs.select(*slim.drop("distance_km", "chain", "store_name").columns))
     assert rows(B.chain_totals(price("chain"))) == rows(B.chain_totals(pairs))
     assert rows(B.compare_summary(price("chain"))) == rows(B.compare_summary(pairs))
     wanted = origins.select("basket_id", (F.col("basket_id") % 40).alias("store_id")).distinct()
