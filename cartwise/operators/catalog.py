@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.common import blank_to_null, fresh, pick_first, settled, top_n
+from cartwise.common import blank_to_null, dealt, fresh, pick_first, settled, top_n
 from cartwise.functions import vocab
 from cartwise.functions.names import canonical_name, contains_any, produce_family, unaccent
 from cartwise.functions.similarity import set_similarity, trigrams, word_similarity
@@ -113,10 +113,13 @@ def paginate(df: DataFrame, order: list[Column], limit: int, offset: int = 0) ->
     return numbered.filter(F.col("_row") <= limit).drop("_row").withColumn("next_offset", following)
 
 
-def selection_totals(selections: DataFrame, members: DataFrame) -> DataFrame:
-    """How often each user picked each dedup key."""
-    keyed = selections.join(members.select("product_id", "group_id"), "product_id", "left")
-    return keyed.groupBy("user_id", dedup_key().alias("dedup_key")).agg(F.sum("count").alias("selection_count"))
+def selection_totals(selections: DataFrame, members: DataFrame, rows: int = 0) -> DataFrame:
+    """How often each user picked each dedup key; `rows` is about the number of
+    selections, where it is known."""
+    keyed = selections.join(members.select("product_id", "group_id"), "product_id", "left").select("user_id", dedup_key().alias("dedup_key"), "count")
+    if rows:
+        keyed = dealt(keyed, rows, "user_id", "dedup_key")
+    return keyed.groupBy("user_id", "dedup_key").agg(F.sum("count").alias("selection_count"))
 
 
 def search_text(*parts: Column) -> Column:

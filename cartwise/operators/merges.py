@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.common import Keys, blank_to_null, names, pick_first, positions, settled
+from cartwise.common import Keys, blank_to_null, dealt, names, pick_first, positions, settled
 from cartwise.functions.codes import is_bad_ean, is_bogus_ean, normalize_ean
 
 
@@ -242,10 +242,13 @@ def merge_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("family_id").agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
 
 
-def bump_selections(selections: DataFrame, events: DataFrame) -> DataFrame:
-    """Selection counters after a batch of picks."""
-    picks = events.groupBy("user_id", "product_id").agg(F.count("*").alias("count"), F.max("at").alias("last_used"))
+def bump_selections(selections: DataFrame, events: DataFrame, rows: int = 0) -> DataFrame:
+    """Selection counters after a batch of picks, of about `rows` rows together
+    where that is known."""
+    picks = events.select("user_id", "product_id", F.lit(1).cast("long").alias("count"), F.col("at").alias("last_used"))
     both = selections.select("user_id", "product_id", "count", "last_used").unionByName(picks)
+    if rows:
+        both = dealt(both, rows, "user_id", "product_id")
     return both.groupBy("user_id", "product_id").agg(F.sum("count").alias("count"), F.max("last_used").alias("last_used"))
 
 

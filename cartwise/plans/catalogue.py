@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.common import dealt
 from cartwise.functions import codes, names, similarity
 from cartwise.operators import catalog as C
 from cartwise.operators import prices as P
@@ -489,14 +490,15 @@ def _freshness(t: Tables) -> DataFrame:
 
 
 def _selections(t: Tables) -> DataFrame:
-    return t.baskets.groupBy("user_id", "product_id").agg(F.sum("quantity").alias("count"), F.max("basket_id").alias("last_used"))
+    lines = dealt(t.baskets, t.rows("lineitem"), "user_id", "product_id")
+    return lines.groupBy("user_id", "product_id").agg(F.sum("quantity").alias("count"), F.max("basket_id").alias("last_used"))
 
 
 @query("ag36_selection_totals", """
 SELECT b.user_id, coalesce(CAST(m.group_id AS VARCHAR), concat('u_', b.product_id)) AS dedup_key, CAST(sum(quantity) AS BIGINT) AS selection_count
 FROM baskets b LEFT JOIN product_group_members m ON m.product_id = b.product_id GROUP BY 1, 2""")
 def _totals(t: Tables) -> DataFrame:
-    return C.selection_totals(_selections(t), t.product_group_members)
+    return C.selection_totals(_selections(t), t.product_group_members, t.rows("lineitem"))
 
 
 @query("sl10_my_selections", """
