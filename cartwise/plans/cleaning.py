@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.common import spread
 from cartwise.functions import codes, geo, money, names, sizes, vocab, web
 from cartwise.operators import baskets as B
 from cartwise.operators import catalog as C
@@ -440,7 +441,9 @@ def _oversized(t: Tables) -> DataFrame:
 
 
 def _shop_pages(t: Tables) -> DataFrame:
-    """One page per product, in the shapes shops use, made of the part table."""
+    """One page per product, in the shapes shops use, made of the part table.
+    Products are dealt out before there are pages of them."""
+    products = spread(t.products, t.rows("part"))
     quoted = lambda key, value: F.concat(F.lit(f'"{key}":"'), value.cast("string"), F.lit('"'))
     name, ean = F.col("name"), F.col("ean")
     euros = F.format_string("%.2f", F.col("list_price") / 100.0)
@@ -458,7 +461,7 @@ def _shop_pages(t: Tables) -> DataFrame:
         F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"apolloState":{"Product:'), F.col("id"), F.lit('":{"__typename":"Product",'), quoted("ean", ean), F.lit(","), quoted("name", name),
         F.when(F.col("id") % 2 == 0, F.concat(F.lit(',"price":'), euros)).otherwise(""), F.lit('},"ProductStoreEdge:1":{"price":7.5,"product":{"__ref":"Product:'), F.col("id"), F.lit('"}}}}}}</script>'),
     )
-    return t.products.select(F.col("id").alias("page_id"), F.concat(F.lit("<html>"), jsonld, listed, card, shop, specs, state, F.lit("</html>")).alias("html"))
+    return products.select(F.col("id").alias("page_id"), F.concat(F.lit("<html>"), jsonld, listed, card, shop, specs, state, F.lit("</html>")).alias("html"))
 
 
 EUROS = "list_price / 100.0::DOUBLE"
