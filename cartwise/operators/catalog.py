@@ -384,8 +384,8 @@ def is_kg_produce() -> Column:
 def build_groups(products: DataFrame, smallest: int = 2) -> tuple[DataFrame, DataFrame]:
     """Groups of products with the same canonical name and category, and their
     members. A group's number is its lowest member, so a rebuild keeps it and
-    no global numbering is needed."""
-    named = products.select(F.col("id").alias("product_id"), canonical_name(F.col("name")).alias("canonical_name"), "sub_code")
+    no global numbering is needed. Canonical names are made once and settled."""
+    named = settled(products.select(F.col("id").alias("product_id"), canonical_name(F.col("name")).alias("canonical_name"), "sub_code"))
     groups = named.groupBy("canonical_name", "sub_code").agg(F.min("product_id").alias("group_id"), F.count("*").alias("member_count"))
     groups = groups.filter(F.col("member_count") >= smallest)
     return groups, named.join(groups, ["canonical_name", "sub_code"]).select("group_id", "product_id")
@@ -427,7 +427,7 @@ def parsed_quantities(products: DataFrame, members: DataFrame, groups: DataFrame
     linked = members.select("group_id", F.col("product_id").alias("id")).join(products.select("id", "name", "sub_code"), "id").join(coded, "group_id")
     parsed = linked.withColumn("_q", parse_quantity(F.col("name"))).select("*", "_q.*").drop("_q")
     clash = F.col("status").startswith("WOULD_SET") & ~F.col("sub_code").eqNullSafe(F.col("group_sub_code"))
-    parsed = parsed.withColumn("status", F.when(clash, "SKIP_CATEGORY_CONFLICT").otherwise(F.col("status")))
+    parsed = settled(parsed.withColumn("status", F.when(clash, "SKIP_CATEGORY_CONFLICT").otherwise(F.col("status"))))
     value = F.when(F.col("status").startswith("WOULD_SET"), F.struct("net_qty", "net_unit", "pack_count"))
     spread = parsed.groupBy("group_id").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     mixed = spread.filter(F.col("_low") != F.col("_high")).select("group_id", F.lit(True).alias("_mixed"))

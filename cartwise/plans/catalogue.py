@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.common import dealt
+from cartwise.common import dealt, spread
 from cartwise.functions import codes, names, similarity
 from cartwise.operators import catalog as C
 from cartwise.operators import prices as P
@@ -330,7 +330,7 @@ def _canonical(t: Tables) -> DataFrame:
 
 
 def _scraped_products(t: Tables) -> DataFrame:
-    return t.scraped.select(F.col("row_no").alias("id"), "name", F.col("category").alias("sub_code"))
+    return spread(t.scraped.select(F.col("row_no").alias("id"), "name", F.col("category").alias("sub_code")), t.rows("part"))
 
 
 @query("ag32_build_groups", f"""

@@ -48,3 +48,14 @@ def test_json_cards_are_read_once(spark):
     got = web.extract_cards(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string"))
     assert not [line for line in plan(got).splitlines() if "Filter" in line and "from_json" in line]
     assert rows(got.select("position", "ext_id", "name", "price", "size_text")) == [(0, "7", "Sai 300g", 2.5, "300 g"), (4, "9", "Juust", 2.5, "")]
+
+
+def test_canonical_names_are_made_once(spark):
+    products = spark.createDataFrame(
+        [(1, "Coop Piim 1 kg", "a"), (2, "Piim 2 kg", "a"), (3, "Sai 500 g", "b"), (4, "Sai 500 g", "b"), (5, "Sai", None), (6, None, "a"), (7, "Juust", "a")], "id long, name string, sub_code string"
+    )
+    groups, members = C.build_groups(products)
+    parsed = C.parsed_quantities(products, members, groups.withColumnRenamed("group_id", "id"))
+    assert "regexp_replace" not in plan(parsed)  # canonical names and quantities were read eight times and twice
+    want = [(1, 1, "SKIP_GROUP_CONFLICT"), (1, 2, "SKIP_GROUP_CONFLICT"), (3, 3, "WOULD_SET_SINGLE"), (3, 4, "WOULD_SET_SINGLE")]
+    assert rows(parsed.select("group_id", "id", "status")) == want
