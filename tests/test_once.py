@@ -59,3 +59,56 @@ def test_canonical_names_are_made_once(spark):
     assert "regexp_replace" not in plan(parsed)  # canonical names and quantities were read eight times and twice
     want = [(1, 1, "SKIP_GROUP_CONFLICT"), (1, 2, "SKIP_GROUP_CONFLICT"), (3, 3, "WOULD_SET_SINGLE"), (3, 4, "WOULD_SET_SINGLE")]
     assert rows(parsed.select("group_id", "id", "status")) == want
+
+
+def test_breaches_equal_a_count_of_what_came_in_time(spark, tmp_path):
+    rng = random.Random(7)
+    schema = "at timestamp, client string, endpoint string"
+    batches, newest, counts, want = [], None, Counter(), []
+    for b in range(4):
+        batch = [(T0 + timedelta(seconds=b * 100 + rng.randint(-200, 100), microseconds=rng.randint(0, 999)), rng.choice(["a", "b", None]), rng.choice(["x", None])) for _ in range(60)]
+        batch += [(None, "a", "x")]
+        before = Counter(counts)
+        for at, client, endpoint in batch:
+            if at and (newest is None or at > newest - timedelta(seconds=120)):
+                counts[int((at - datetime(1970, 1, 1)).total_seconds()) // 60 * 60, client, endpoint] += 1
+        want.append(sorted((k for k, n in counts.items() if before[k] <= 4 < n), key=repr))
+        newest = max([at for at, *_ in batch if at] + ([newest] if newest else []))
+        newest = newest.replace(microsecond=newest.microsecond // 1000 * 1000)
+        batches.append(batch)
+    seen = []
+
+    def build(stream):
+        return J.breach_feed(stream, str(tmp_path / "out"), str(tmp_path / "state"), 60, 4)
+
+    send(spark, tmp_path / "in", schema, batches, build)
+    for folder in sorted((tmp_path / "out").glob("version=*")):
+        seen.append(rows(spark.read.parquet(str(folder)).select(F.unix_seconds("window_start"), "client", "endpoint")))
+    assert seen == want and sum(map(len, want)) > 5
+
+
+def test_feeds_keep_no_state_a_key(spark, tmp_path):
+    """A call to Python for each key and batch took hours on large tables."""
+    progress = []
+    requests = "at timestamp, client string, endpoint string"
+    decisions = "k long, decided_at timestamp, expires_at timestamp"
+    table = J.decision_table(spark, str(tmp_path / "current"), spark.createDataFrame([], decisions).schema, ["k"])
+    for name, schema, data, build in (
+        ("requests", requests, [(T0, "a", "x")], lambda s: J.breach_feed(s, str(tmp_path / "out"), str(tmp_path / "s1"))),
+        ("decisions", decisions, [(1, T0, T0 + timedelta(days=1))], lambda s: J.decision_feed(s, table, str(tmp_path / "s2"))),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name))
+        running = J.start(build(J.read_stream(spark, str(tmp_path / name), spark.createDataFrame([], schema).schema, None)), spark)
+        running.awaitTermination()
+        progress.append([p["stateOperators"] for p in running.recentProgress])
+    assert all(not ops for batches in progress for ops in batches)
+
+
+def test_a_batch_that_is_run_again_sees_the_table_before_it(spark, tmp_path):
+    schema = spark.createDataFrame([], "k long, v long").schema
+    table = ChangeTable(spark, str(tmp_path / "t"), schema, ["k"], [F.col("v").desc()])
+    for batch in range(6):
+        for _ in range(3):  # as after failures
+            assert rows(table.read(before=batch)) == [(k, k) for k in range(batch)]
+            table.append(spark.createDataFrame([(batch, batch)], schema), batch)
+    assert rows(table.read()) == [(k, k) for k in range(6)]
