@@ -239,25 +239,31 @@ def alternatives(
     the cheapest goods of the shelf, one row for each dedup
     key, fill up what is left, and twice the limit of them is enough, as fewer
     than the limit can be similar when there is something to fill.
+
+    Requests are made once. What depends on a name is done once a name, and all
+    else once for each shelf and name; a request only meets the result.
     """
-    coded = settled(category_of(requests, grouped)).withColumnRenamed("sub_code", "code")
-    asked = requests.join(coded, "product_name").join(source, "store_id")
+    requests = settled(requests.select("request_id", "product_name", "store_id"))
+    seen = settled(requests.select("product_name", "store_id").distinct())
+    grouped = settled(grouped.select("id", "name", "canonical_name", "group_sub_code", "sub_code", "dedup_key"))
+    coded = category_of(seen, grouped).withColumnRenamed("sub_code", "code")
     family = F.when(F.col("code").isin(*vocab.FAMILY_FILTER_CATEGORIES), produce_family(F.col("product_name")))
-    asked = asked.withColumn("family", F.coalesce(family, F.lit("")))
+    coded = coded.withColumn("family", F.coalesce(family, F.lit("")))
     stem = F.coalesce(*[F.when(F.col("family") == f, stems[0]) for f, stems, _ in vocab.PRODUCE_FAMILIES])
-    asked = settled(asked.withColumn("wanted", unaccent(F.lower(F.coalesce(stem, F.trim("product_name"))))))
+    coded = settled(coded.withColumn("wanted", unaccent(F.lower(F.coalesce(stem, F.trim("product_name"))))))
+    shelf = ["source_store_id", "code", "family"]
+    kinds = settled(seen.join(coded, "product_name").join(source, "store_id").select(*shelf, "wanted").distinct())
+    asked = requests.join(coded, "product_name").join(source, "store_id")
     recent = fresh(prices.filter(F.col("price") > 0), as_of, days)
-    shelves = asked.select(F.col("source_store_id").alias("store_id")).distinct()
+    shelves = kinds.select(F.col("source_store_id").alias("store_id")).distinct()
     latest = pick_first(recent.join(shelves, "store_id", "left_semi"), ["product_id", "store_id"], F.col("collected_at").desc_nulls_last(), F.col(tie).desc())
     offers = latest.select(F.col("product_id").alias("id"), F.col("store_id").alias("source_store_id"), effective_price().alias("price"))
     goods = grouped.withColumn("code", F.coalesce(blank_to_null("group_sub_code"), F.col("sub_code"))).select(
         "id", "name", "dedup_key", "code", unaccent(F.lower(shown_name())).alias("shown"),
         F.explode(_families(F.col("name"), F.col("canonical_name"), F.col("code"))).alias("family"),
     )
-    shelf = ["source_store_id", "code", "family"]
     stocked = offers.join(goods, "id").groupBy(*shelf, "dedup_key", "shown").agg(F.min(F.struct("price", "id", "name")).alias("_best"))
     stocked = settled(stocked.select(*shelf, "dedup_key", "shown", "_best.*"))
-    kinds = asked.select(*shelf, "wanted").distinct()
     alike = similar_names(kinds, stocked, shelf, limit).join(stocked, [*shelf, "shown"])
     whole = stocked.groupBy(*shelf, "dedup_key").agg(F.min(F.struct("price", "id", "name")).alias("_best")).select(*shelf, "dedup_key", "_best.*")
     cheap = top_n(whole, shelf, 2 * limit, F.col("price").asc(), F.col("name").asc(), F.col("id").asc())

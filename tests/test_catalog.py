@@ -16,6 +16,7 @@ from cartwise.functions.names import unaccent
 from cartwise.operators import catalog as C
 from cartwise.operators import demand as D
 from cartwise.operators import recipes as R
+from cartwise.operators import textsearch
 from cartwise.sources import files
 
 T0 = datetime(2024, 1, 1)
@@ -33,6 +34,34 @@ def test_many_searches_equal_one_by_one(spark):
     assert got == want and want
 
 
+def test_requests_for_alternatives_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    products = spark.createDataFrame([(1, "red tea", "dry_other"), (2, "green tea", "dry_other")], "id long, name string, sub_code string")
+    members = spark.createDataFrame([], "group_id long, product_id long")
+    grouped = C.with_group(products, members, spark.createDataFrame([], "id long, canonical_name string, sub_code string, brand string"))
+    prices = spark.createDataFrame([(1, 2, 5, 0, T0, "a"), (2, 2, 4, 0, T0, "b")], "product_id long, store_id long, price long, promo_price long, collected_at timestamp, price_id string")
+    source = spark.createDataFrame([(1, 2)], "store_id long, source_store_id long")
+    form = "request_id long, product_name string, store_id long"
+    requests = spark.createDataFrame([(1, "red tea", 1), (1, "red tea", 1), (2, "green tea", 1), (3, "tea", 1), (4, None, 1), (5, "tea", 9)], form)
+    got = C.alternatives(requests.mapInPandas(counted, form), grouped, prices, source, "2024-01-01 12:00:00", 7, 4).collect()
+    assert sorted((r["request_id"], r["position"], r["id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (1, 2, 2), (1, 2, 2), (2, 1, 2), (2, 2, 1), (3, 1, 2), (3, 2, 1)]
+    assert made.value == 6
+
+
+def test_only_distinct_texts_are_cut_into_trigrams(spark):
+    left = spark.createDataFrame([("c", "red tea")] * 3, "code string, wanted string")
+    right = spark.createDataFrame([("c", "green tea")] * 3, "code string, shown string")
+    met = textsearch.shared_grams(left, right, "code")
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    assert [(r["wanted"], r["shown"]) for r in met.collect()] == [("red tea", "green tea")]
+
+
 def test_alternatives_equal_brute_force(spark):
     rng = random.Random(8)
     words = ["tomat", "kirsstomat", "kartul", "sibul", "ploomtomat", "kurk", "oliiv", "punane", "suur"]
