@@ -197,7 +197,7 @@ def _compared(percent: int):
     return run
 
 
-def _blocks(mixed: DataFrame) -> DataFrame:
+def _blocks(mixed: DataFrame, folder: str) -> DataFrame:
     """(block, node, side) for the members (key, members, node) of keys that
     hold several components, so that any two members of a key meet.
 
@@ -205,21 +205,24 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     so formed that it shares a key with; so a family of copies, whose keys are
     many, gives one large group and few others. Two groups meet if a key has
     members of both; large groups are cut into chunks of about BLOCK nodes.
+    Every step is written before the next: as one plan its branches would be
+    repeated in each other, hundreds of shuffles that the driver keeps at once.
     """
     own = mixed.groupBy("node").agg(F.max(F.struct("members", "key")).alias("_top")).select("node", F.col("_top.key").alias("g"))
+    own = settle(own, folder, "block-keys")
     named = own.join(own.groupBy("g").agg(F.count("*").alias("size")), "g").select("node", F.struct("size", "g").alias("_group"))
     tops = mixed.select("key", "node").join(named, "node").groupBy("key").agg(F.max("_group").alias("_group"))
     own = mixed.select("key", "node").join(tops, "key").groupBy("node").agg(F.max("_group").alias("_group")).select("node", F.col("_group.g").alias("g"))
+    own = settle(own, folder, "block-groups")
     sizes = own.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    own = own.join(sizes, "g").withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
-    here = mixed.select("key", "node").join(own.select("node", "g"), "node").select("key", "g").distinct()
-    meet = here.withColumnRenamed("g", "g1").join(here.withColumnRenamed("g", "g2"), "key").filter("g1 <= g2").select("g1", "g2").distinct()
-    for side in ("1", "2"):
-        meet = meet.join(sizes.select(F.col("g").alias(f"g{side}"), F.col("chunks").alias(f"n{side}")), f"g{side}")
+    own = settle(own.join(sizes, "g").withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks"))), folder, "block-chunks")
+    here = settle(mixed.select("key", "node").join(own, "node").select("key", "g", "chunks").distinct(), folder, "block-places")
+    one, two = (here.select("key", F.col("g").alias(f"g{side}"), F.col("chunks").alias(f"n{side}")) for side in "12")
+    meet = one.join(two, "key").filter("g1 <= g2").select("g1", "g2", "n1", "n2").distinct()
     meet = meet.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
-    meet = meet.filter("g1 <> g2 OR i <= j").withColumn("block", F.xxhash64("g1", "g2", "i", "j"))
-    place = lambda g, chunk, side: meet.select("block", F.col(g).alias("g"), F.col(chunk).alias("chunk"), F.lit(side).alias("side"))
-    sides = place("g1", "i", 0).unionByName(place("g2", "j", 1).join(meet.filter("g1 = g2 AND i = j").select("block"), "block", "left_anti"))
+    meet = settle(meet.filter("g1 <> g2 OR i <= j").withColumn("block", F.xxhash64("g1", "g2", "i", "j")), folder, "block-pairs")
+    place = lambda rows, g, chunk, side: rows.select("block", F.col(g).alias("g"), F.col(chunk).alias("chunk"), F.lit(side).alias("side"))
+    sides = place(meet, "g1", "i", 0).unionByName(place(meet.filter("g1 <> g2 OR i <> j"), "g2", "j", 1))
     return sides.join(own.select("node", "g", "chunk"), ["g", "chunk"]).select("block", "node", "side")
 
 
@@ -338,7 +341,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     mixed = settle(placed.join(several, "key").select("key", "members", "node", "comp"), folder, "mixed")
     if not mixed.isEmpty():
         facts = mixed.select("node", "comp").distinct().join(nodes, "node").join(full, "node")
-        blocks = settle(_blocks(mixed), folder, "blocks").join(facts, "node")
+        blocks = settle(_blocks(mixed, folder), folder, "blocks").join(facts, "node")
         links.add(blocks.groupBy("block").applyInPandas(_compared(percent), "a long, b long"))
 
     labels = links.labels.select(F.col("node").alias("_node"), "comp")

@@ -170,6 +170,27 @@ def test_members_of_a_key_that_share_no_hub_are_found(spark, monkeypatch):
     assert got == brute_components(texts, 2)
 
 
+def test_blocks_meet_and_no_plan_repeats_its_branches(spark, monkeypatch):
+    """The driver keeps a step's whole plan; that of the blocks had hundreds of shuffles."""
+    shuffles = []
+
+    def noted(df, folder, name):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return shared.settle(df, folder, name)
+
+    monkeypatch.setattr(near_dedup, "settle", noted)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    keys = {1: range(30), 2: range(25, 40), 3: [3, 39], 4: [50, 51]}
+    mixed = shared.settle(spark.createDataFrame([(k, len(n), x, x) for k, n in keys.items() for x in n], "key long, members long, node long, comp long"), folder := shared.own_folder(spark, "test"), "mixed")
+    blocks = noted(near_dedup._blocks(mixed, folder), folder, "blocks")
+    assert max(shuffles) <= 12, shuffles
+    within = {}
+    for r in blocks.collect():
+        within.setdefault(r["block"], ([], []))[r["side"]].append(r["node"])
+    met = {frozenset((x, y)) for left, right in within.values() for x in left for y in right or left}
+    assert all(frozenset((x, y)) in met for n in keys.values() for x in n for y in n if x != y)
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (7, "a b c")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, 2).collect()), key=str)
