@@ -338,7 +338,8 @@ FROM best b JOIN lines l ON l.basket_id = b.basket_id AND l.store_id = b.store_i
 def _snapshots(t: Tables) -> DataFrame:
     lines = t.baskets.select("basket_id", "product_id", "quantity")
     goods, found = P.source_offers(latest(t)), results(t, "list")
-    best = B.saved_winner(found, lines.select("basket_id", F.lit(None).cast("bigint").alias("store_id")).distinct())
+    # the winners come from sums of their own, else all lists would be made twice
+    best = B.saved_winner(results(t, "saved"), lines.select("basket_id", F.lit(None).cast("bigint").alias("store_id")).distinct())
     winners = S.within_pairs(best.select("basket_id", F.col("winner_store_id").alias("store_id")), t.basket_origins, t.stores, RADIUS_KM, "basket_id")
     priced = B.price_lines(lines, winners, goods, t.product_group_members, sources(t))
     headers, items = B.snapshot_baskets(priced, found, best)

@@ -39,3 +39,11 @@ def test_equal_searches_are_asked_once(spark, folder, monkeypatch):
     got = rows(QUERIES["pf07_token_search_many"](spark, folder).select("query_id", "hits", "id_sum"))
     assert got == [(0, 4, 6), (1, 4, 6), (2, 4, 6), (3, 8, 12), (4, 2, 9)]  # the customer that comes twice counts twice
     assert rows(asked[0].select("q")) == [("bolt red",), ("ring hot",)]
+
+
+def test_snapshot_winners_need_no_lists(spark, folder, monkeypatch):
+    seen, saved = [], B.saved_winner
+    monkeypatch.setattr(B, "saved_winner", lambda results, *more: seen.append(results.columns) or saved(results, *more))
+    got = QUERIES["me16_basket_snapshots"](spark, folder).collect()
+    assert "stores" not in seen[0]
+    assert all(r["items"] > 0 and r["stores_listed"] > 0 for r in got)
